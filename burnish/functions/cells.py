@@ -33,19 +33,22 @@ NA_TOKENS = (
 # Spark's cast also takes 1d and 1f, which are not numbers in a data file.
 NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
 
-# ISO forms are tried first, by the plain cast.
-DATE_FORMATS = (
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd-MM-yyyy",
-    "dd.MM.yyyy",
-    "d MMM yyyy",
-    "MMM d, yyyy",
-    "yyyyMMdd",
-    "MM/dd/yyyy HH:mm:ss",
-    "yyyy/MM/dd HH:mm:ss",
+# Dates in digits, rewritten to year-month-day before one cast. Month comes first
+# unless the first number cannot be a month or the parts are split by dots.
+DIGIT_DATE = r"^\d{1,4}[-/.]\d{1,2}([-/.]\d{1,4}([ T][0-9:.+Zz-]+)?)?$"
+DATE_ORDERS = (
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})\b", "$1-$2-$3"),
+    (r"^(1[3-9]|2\d|3[01])[-/](\d{1,2})[-/](\d{4})\b", "$3-$2-$1"),
+    (r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})\b", "$3-$1-$2"),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})\b", "$3-$2-$1"),
+)
+
+# Dates with a month's name: the shape a text must have, and its format. A failed
+# parse costs far more than a failed match.
+NAMED_DATES = (
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 )
-ISO_PATTERN = r"^\s*\d{4}-\d{1,2}(-\d{1,2}([ T].*)?)?\s*$"
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -62,11 +65,16 @@ def parse_number(value: Column) -> Column:
     return F.when(value.rlike(NUMBER_PATTERN), value.try_cast("double"))
 
 
-def parse_date(value: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """A timestamp where the text is a date in any of the formats, else null."""
-    iso = F.when(value.rlike(ISO_PATTERN), F.trim(value).try_cast("timestamp_ntz"))
-    tries = [F.try_to_timestamp(value, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(iso, *tries)
+def parse_date(value: Column) -> Column:
+    """A timestamp where the text is a date, else null."""
+    value = F.trim(value)
+    iso = value
+    for order, rewritten in DATE_ORDERS:
+        iso = F.regexp_replace(iso, order, rewritten)
+    out = F.when(value.rlike(DIGIT_DATE), iso.try_cast("timestamp_ntz"))
+    for shape, form in NAMED_DATES:
+        out = out.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(form)).cast("timestamp_ntz"))
+    return out
 
 
 def number(name: str, dtype: T.DataType) -> Column:

@@ -26,6 +26,10 @@ K = 5
 PIVOTS = 128
 TEST_BLOCK = 2_048
 TRAIN_BLOCK = 32_768
+
+# Copies per row up to which letting all blocks meet is not worth a second thought.
+PLAIN_COPIES = 8
+
 _SLACK = 1e-9
 
 
@@ -53,14 +57,14 @@ def _fold_train(train: DataFrame, k: int) -> DataFrame:
 def _assign(df: DataFrame, pivots: np.ndarray, extra: str = "") -> DataFrame:
     """Each row's nearest pivot and the distance to it."""
 
-    def nearest(batches):
+    def place(batches):
         for pdf in batches:
             if len(pdf):
                 d = np.sqrt(_distances(_matrix(pdf["z"]), pivots))
                 cell = d.argmin(axis=1)
                 yield pdf.assign(cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
 
-    return df.mapInPandas(nearest, f"z array<double>, {extra}cell int, r double")
+    return df.mapInPandas(place, f"z array<double>, {extra}cell int, r double")
 
 
 def _reach(points: DataFrame, rows: DataFrame, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,42 +139,63 @@ def _nearest_in_block(k: int):
     return pick
 
 
-def nearest(train: DataFrame, test: DataFrame, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def _cell_counts(df: DataFrame, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for r in df.groupBy("cell").count().collect():  # one row per pivot
+        out[r["cell"]] = r["count"]
+    return out
+
+
+def nearest(
+    train: DataFrame,
+    test: DataFrame,
+    k: int = K,
+    pivots: int = PIVOTS,
+    test_block: int = TEST_BLOCK,
+    train_block: int = TRAIN_BLOCK,
+) -> DataFrame:
     """The k nearest training rows of each distinct test vector; ties by lowest id.
 
     ``train`` has ``_rowId, z, label``; ``test`` has ``z``. Returns ``z, d`` (squared
-    distance), ``id, y``.
+    distance), ``id, y``. Both sides are cut into blocks of bounded size; a test
+    block meets a train block once and passes on only k candidates per row. Pivots
+    decide which blocks need not meet. Where that saves nothing (little data, or so
+    many features that everything is about equally far) all blocks meet.
     """
     points = checkpointed(_fold_train(train.select(ROW_ID, "z", F.col("label").cast("double")), k), "points")
     wanted = checkpointed(test.select("z").distinct(), "wanted")
-    sample = points.select("z").orderBy(F.xxhash64("z")).limit(pivots).collect()
-    if not sample:
+    n_points, n_wanted = points.count(), wanted.count()
+    if not n_points:
         raise ValueError("no training rows")
-    centre = np.array([r["z"] for r in sample], dtype=float)
-
-    placed = _assign(points, centre, "ids array<long>, ys array<double>, ")
-    asked = _assign(wanted, centre)
-    radius, bound = _reach(placed, asked, centre, k)
-    copies = _travel(points, centre, radius, bound)
-
-    n_test, n_train = np.zeros(len(centre)), np.zeros(len(centre))
-    for r in asked.groupBy("cell").count().collect():  # one row per pivot
-        n_test[r["cell"]] = r["count"]
-    for r in copies.groupBy("cell").count().collect():  # one row per pivot
-        n_train[r["cell"]] = r["count"]
-    blocks = np.maximum(1, np.ceil(n_test / TEST_BLOCK))
-    chunks = np.maximum(1, np.ceil(n_train / TRAIN_BLOCK))
-
-    # A cell of any size is cut into test blocks and train chunks of bounded size;
-    # every block meets every chunk once and passes on only k candidates per row.
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    test_block = max(1, min(test_block, -(-n_wanted // cores)))
+
+    def blocks(n_test: np.ndarray, n_train: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Blocks of both sides in each cell, and the rows sent between tasks."""
+        a = np.maximum(1, np.ceil(n_test / test_block))
+        b = np.maximum(1, np.ceil(n_train / train_block))
+        return a, b, float((n_test * b + n_train * a).sum())
+
+    asked, copies = wanted.withColumn("cell", F.lit(0)), points.withColumn("cell", F.lit(0))
+    a, b, sent = blocks(np.array([n_wanted]), np.array([n_points]))
+    if pivots > 1 and sent > PLAIN_COPIES * (n_wanted + n_points):
+        sample = points.select("z").orderBy(F.xxhash64("z")).limit(pivots).collect()
+        centre = np.array([r["z"] for r in sample], dtype=float)
+        placed = checkpointed(_assign(wanted, centre), "asked")
+        radius, bound = _reach(_assign(points, centre, "ids array<long>, ys array<double>, "), placed, centre, k)
+        pruned = _travel(points, centre, radius, bound)
+        pa, pb, pruned_sent = blocks(_cell_counts(placed, len(centre)), _cell_counts(pruned, len(centre)))
+        if pruned_sent < sent:
+            asked, copies, a, b = placed, pruned, pa, pb
+
     spot = F.xxhash64("z")
     left = asked.select(
-        "z", "cell", F.pmod(spot, _per_cell(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), _per_cell(chunks) - 1)).alias("chunk"),
+        "z", "cell", F.pmod(spot, _per_cell(a)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), _per_cell(b) - 1)).alias("chunk"),
     )
     right = copies.select(
-        "z", "ids", "ys", "cell", F.pmod(spot, _per_cell(chunks)).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), _per_cell(blocks) - 1)).alias("block"),
+        "z", "ids", "ys", "cell", F.pmod(spot, _per_cell(b)).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), _per_cell(a) - 1)).alias("block"),
     )
     keys = ["cell", "block", "chunk"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
@@ -188,9 +213,9 @@ def _vote(near: DataFrame) -> DataFrame:
     return votes.groupBy("z").agg(winner, (ones / F.sum("n")).alias("score"))
 
 
-def predict(train: DataFrame, test: DataFrame, classify: bool, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def predict(train: DataFrame, test: DataFrame, classify: bool, k: int = K, **options) -> DataFrame:
     """``test`` with ``prediction`` and ``score`` columns."""
-    near = nearest(train, test, k, pivots)
+    near = nearest(train, test, k, **options)
     if classify:
         made = _vote(near)
     else:

@@ -39,6 +39,9 @@ DEFAULTS = {
 TRAIN_RATIO = 0.8
 TOP_FEATURES = 10
 
+CELLS_PER_PARTITION = 8_000_000
+MAX_PARTITIONS = 50_000
+
 Score = Callable[[DataFrame], DataFrame]
 
 
@@ -206,10 +209,10 @@ def _gamma(train: DataFrame, width: int) -> float:
 def _fit_svm_class(train: DataFrame, n: int, width: int, p: dict) -> Learned:
     gamma = _gamma(train, width)
     lifted = kernel.fourier(train, width, gamma, p["width"]).persist(StorageLevel.MEMORY_AND_DISK)
-    svc = mc.LinearSVC(regParam=1.0 / (p["C"] * n), standardization=False, maxIter=100)
+    svc = mc.LinearSVC(regParam=1.0 / (p["C"] * n), standardization=False, maxIter=100, tol=1e-3)
     classes = lifted.agg(F.max(LABEL)).first()[0] + 1
     if classes > 2:
-        many = mc.OneVsRest(classifier=svc).fit(lifted)
+        many = mc.OneVsRest(classifier=svc, parallelism=4).fit(lifted)
         predict = lambda df: _value_score(many.transform(kernel.fourier(df, width, gamma, p["width"])))
     else:
         model = svc.fit(lifted)
@@ -263,6 +266,12 @@ FITS = {
 }
 
 
+def _partitions(spark, rows: int, width: int) -> int:
+    """At least one per core, at most a few million cells each."""
+    by_size = -(-rows * (width + 2) // CELLS_PER_PARTITION)
+    return min(MAX_PARTITIONS, max(spark.sparkContext.defaultParallelism, by_size))
+
+
 def train(
     t: PrepTable,
     model: str,
@@ -300,7 +309,9 @@ def train(
 
     xs = [c.alias(f"_x{i}") for i, c in enumerate(design.columns)]
     flagged = cases.df.select(ROW_ID, label.alias(LABEL), *xs, prep.split_flag(cases.df, ratio, seed).alias("_train"))
-    flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
+    # Fitting passes over these rows many times, so it pays to spread them evenly once.
+    spread = _partitions(t.df.sparkSession, rows, design.width)
+    flagged = flagged.repartition(spread, ROW_ID).persist(StorageLevel.MEMORY_AND_DISK)
     known = flagged.filter("_train")
     n = known.count()
     if n == 0 or n == rows:

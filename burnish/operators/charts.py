@@ -6,8 +6,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from burnish.functions.cells import col
+from burnish.functions.cells import col, parse_date
 from burnish.operators.clean import FENCE
 from burnish.operators.grid import filter_equals
 from burnish.operators.quantiles import group_quantiles
@@ -91,7 +92,7 @@ def line(t: PrepTable, x: str, y: str) -> DataFrame:
     """Pairs in order of ``x``, a number or a date."""
     t.require(x, y)
     if t.kind(x) == DATE:
-        key = col(x)
+        key = parse_date(col(x)) if isinstance(t.dtype(x), T.StringType) else col(x)
     else:
         key = t.number(x)
     ties = [F.col(ROW_ID)] if t.has_row_ids else []

@@ -1,4 +1,11 @@
-"""Cleaning operators: table in, table out, nothing computed until asked."""
+"""Cleaning operators: table in, table out.
+
+Rows are never computed while operators are chained. An operator that needs a
+statistic (a fill value, outlier bounds) computes it when applied, as one bounded
+aggregate, and puts it in the plan as a constant. That keeps the plan of a long
+chain as long as the chain; statistics nested as subqueries would double it at
+every step. It also fixes the value, so every evaluation of the plan agrees on it.
+"""
 
 from __future__ import annotations
 
@@ -73,8 +80,7 @@ def fill_value(t: PrepTable, column: str, strategy: str, exact: bool = True) ->
     if strategy == "mean":
         return t.df.agg(F.avg(t.number(column)).alias("value"))
     if strategy == "median":
-        q = column_quantiles(t, column, {"value": 0.5}, exact)
-        return q
+        return column_quantiles(t, column, {"value": 0.5}, exact)
     if strategy == "mode":
         present = t.df.filter(col(column).isNotNull()).groupBy(col(column).alias("value"))
         return present.agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(1).select("value")
@@ -84,9 +90,8 @@ def fill_value(t: PrepTable, column: str, strategy: str, exact: bool = True) ->
 def fill_missing(t: PrepTable, column: str, strategy: str, value=None, exact: bool = True) -> PrepTable:
     """Fill missing cells with the mean, median, mode or a given value.
 
-    The statistic is a scalar subquery of the same plan, so nothing is collected
-    while a chain of operators is built. Mean and median do nothing on a column
-    without numbers; mode takes the smallest of equally frequent values.
+    Mean and median do nothing on a column without numbers; mode takes the
+    smallest of equally frequent values.
     """
     t.require(column)
     if strategy not in STRATEGIES:
@@ -98,15 +103,16 @@ def fill_missing(t: PrepTable, column: str, strategy: str, value=None, exact: bo
             old, new = _store_number(t, column, n)
             return t.with_df(_set(t, column, F.coalesce(old, new)))
         return t.with_df(_set(t, column, F.coalesce(c.cast("string"), F.lit(str(value)))))
-    stat = fill_value(t, column, strategy, exact).scalar()
-    if strategy == "mode":
-        last = [F.lit("")] if isinstance(t.dtype(column), T.StringType) else []
-        return t.with_df(_set(t, column, F.coalesce(c, stat, *last)))
-    if isinstance(t.dtype(column), T.StringType):
-        return t.with_df(_set(t, column, F.coalesce(c, stat.cast("string"))))
-    if _numeric_type(t, column) or isinstance(t.dtype(column), T.BooleanType):
-        return t.with_df(_set(t, column, F.coalesce(t.number(column), stat)))
-    return t
+    found = fill_value(t, column, strategy, exact).first()
+    stat = None if found is None else found["value"]
+    is_text = isinstance(t.dtype(column), T.StringType)
+    if stat is None and strategy == "mode" and is_text:
+        stat = ""
+    if stat is None:
+        return t
+    if strategy == "mode" or is_text:
+        return t.with_df(_set(t, column, F.coalesce(c, F.lit(stat).cast(t.dtype(column)))))
+    return t.with_df(_set(t, column, F.coalesce(t.number(column), F.lit(stat))))
 
 
 def drop_column(t: PrepTable, column: str) -> PrepTable:
@@ -170,9 +176,11 @@ def outlier_bounds(t: PrepTable, column: str, multiplier: float = FENCE, exact:
 
 
 def _inside(t: PrepTable, column: str, multiplier: float, exact: bool) -> Column:
-    bounds = outlier_bounds(t, column, multiplier, exact).select(F.struct("lower", "upper")).scalar()
+    bounds = outlier_bounds(t, column, multiplier, exact).first()
     x = t.number(column)
-    return x.isNull() | ((x >= bounds.getField("lower")) & (x <= bounds.getField("upper")))
+    if bounds is None or bounds["lower"] is None:
+        return x.isNull()
+    return x.isNull() | ((x >= F.lit(bounds["lower"])) & (x <= F.lit(bounds["upper"])))
 
 
 def remove_outliers(t: PrepTable, column: str, multiplier: float = FENCE, exact: bool = True) -> PrepTable:

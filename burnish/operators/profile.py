@@ -33,6 +33,11 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
+def _percent(part: Column, whole: Column, places: int = 2) -> Column:
+    """A share in percent, ties to the even digit; 0 of nothing."""
+    return F.bround(_share(part * F.lit(100.0), whole), places)
+
+
 def _missing_cells(t: PrepTable) -> Column:
     total = F.lit(0).cast("long")
     for c in t.columns:
@@ -69,9 +74,9 @@ def table_summary(t: PrepTable) -> DataFrame:
     """One row: shape, missing cells, duplicates, quality score and band."""
     counts = t.df.agg(F.count("*").alias("rows"), _missing_cells(t).alias("missing_cells"))
     cells = F.col("rows") * len(t.columns)
-    missing_ratio = _share(F.col("missing_cells"), cells)
-    duplicate_ratio = _share(F.col("duplicates"), F.col("rows"))
-    raw = F.lit(100) - missing_ratio * MISSING_PENALTY - duplicate_ratio * DUPLICATE_PENALTY
+    missing = _share(F.col("missing_cells") * F.lit(float(MISSING_PENALTY)), cells)
+    repeated = _share(F.col("duplicates") * F.lit(float(DUPLICATE_PENALTY)), F.col("rows"))
+    raw = F.lit(100) - missing - repeated
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(raw, 0))).cast("long")
     return (
         counts.withColumn("duplicates", duplicate_count(t).scalar())
@@ -80,7 +85,7 @@ def table_summary(t: PrepTable) -> DataFrame:
             "rows",
             F.lit(len(t.columns)).alias("columns"),
             "missing_cells",
-            F.bround(missing_ratio * 100, 2).alias("missing_pct"),
+            _percent(F.col("missing_cells"), cells).alias("missing_pct"),
             "duplicates",
             "quality_score",
             quality_band(F.col("quality_score")).alias("quality_band"),
@@ -101,7 +106,7 @@ def missing_profile(t: PrepTable) -> DataFrame:
                 F.lit(t.kind(c)).alias("kind"),
                 F.col("_rows").alias("rows"),
                 missing.alias("missing_count"),
-                F.bround(_share(missing, F.col("_rows")) * 100, 2).alias("missing_pct"),
+                _percent(missing, F.col("_rows")).alias("missing_pct"),
             )
         )
     return t.df.agg(*aggs).select(F.inline(F.array(*entries)))
@@ -127,10 +132,8 @@ def numeric_profile(t: PrepTable) -> DataFrame:
                 F.count(x).alias("n"),
                 F.min(x).alias("min"),
                 F.max(x).alias("max"),
-                F.avg(x).alias("mean"),
                 F.sum(x).alias("sum"),
-                F.stddev_samp(x).alias("std"),
-                F.var_samp(x).alias("variance"),
+                F.var_samp(x).alias("v"),
                 F.skewness(x).alias("g1"),
             ).alias(f"s{i}")
         )
@@ -138,7 +141,7 @@ def numeric_profile(t: PrepTable) -> DataFrame:
             F.struct(F.lit(t.columns.index(c)).alias("position"), F.lit(c).alias("name"), F.col(f"s{i}").alias("s"))
         )
     n = F.col("n")
-    single = lambda c: F.when(n == 1, 0.0).otherwise(F.col(c)).alias(c)
+    variance = F.when(n == 1, 0.0).otherwise(F.col("v"))
     corrected = F.col("g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))
     skew = F.when(n >= 3, F.coalesce(corrected, F.lit(0.0))).when(n > 0, 0.0)
     return (
@@ -146,8 +149,8 @@ def numeric_profile(t: PrepTable) -> DataFrame:
         .select(F.inline(F.array(*entries)))
         .select("position", "name", "s.*")
         .select(
-            "position", "name", "n", "min", "max", "mean", "sum", single("std"), single("variance"),
-            skew.alias("skewness"),
+            "position", "name", "n", "min", "max", F.try_divide("sum", "n").alias("mean"), "sum",
+            F.sqrt(variance).alias("std"), variance.alias("variance"), skew.alias("skewness"),
         )
     )
 
@@ -216,8 +219,8 @@ def top_values(t: PrepTable, name: str, k: int = TOP_VALUES) -> DataFrame:
     t.require(name)
     counts = t.df.groupBy(F.coalesce(t.text(name), F.lit(BLANK)).alias("label")).agg(F.count("*").alias("count"))
     total = t.df.agg(F.count("*")).scalar()
-    share = F.bround(F.col("count") / total * 100, 2)
-    return counts.orderBy(F.desc("count"), "label").limit(k).withColumn("percentage", share)
+    top = counts.orderBy(F.desc("count"), "label").limit(k)
+    return top.withColumn("percentage", _percent(F.col("count"), total))
 
 
 def skew_label(skew: Column) -> Column:

@@ -63,7 +63,7 @@ class Recipe:
         return Recipe((*self.steps, Step(action, params)))
 
     def apply(self, t: PrepTable) -> PrepTable:
-        """Run the steps as one lazy plan."""
+        """Run the steps one after the other; rows are computed when asked for."""
         return reduce(apply_step, self.steps, t)
 
     def to_json(self) -> str:

@@ -14,37 +14,57 @@ MAJORITY = 0.8
 
 WHOLE_PATTERN = r"^\s*[+-]?\d+\s*$"
 
+# No date is written longer than this.
+DATE_LENGTH = 40
+
+
+def _reads_as(c: Column) -> Column:
+    """The narrowest type a text reads as; tests a text can only pass if short come late."""
+    return (
+        F.when(c.rlike(WHOLE_PATTERN) & F.trim(c).try_cast("long").isNotNull(), "whole")
+        .when(parse_number(c).isNotNull(), "number")
+        .when(F.length(c) > DATE_LENGTH, "text")
+        .when(F.lower(c).isin("true", "false"), "boolean")
+        .when(parse_date(c).isNotNull(), "date")
+        .when(c.isNotNull(), "text")
+    )
+
 
 def _counts(df: DataFrame) -> DataFrame:
-    """One row per column: values present, and how many read as each type."""
+    """One row per column: values present, and how many read as each type.
+
+    Cells are stacked as (position, type read) and counted by both, so each cell is
+    looked at once and a task passes on a handful of counts per column.
+    """
     names = [c for c in df.columns if c != ROW_ID]
-    aggs, entries = [], []
+    entries, labels = [], []
     for i, name in enumerate(names):
         dtype = df.schema[name].dataType
         if isinstance(dtype, NESTED):
             raise ValueError(f"column {name} is {dtype.simpleString()}; drop or flatten it first")
         c = col(name)
-        present = F.count(c)
         if isinstance(dtype, T.StringType):
-            digits = F.when(c.rlike(WHOLE_PATTERN), F.trim(c).try_cast("long"))
-            parts = {
-                "numbers": F.count(parse_number(c)),
-                "wholes": F.count(digits),
-                "booleans": F.count_if(F.lower(c).isin("true", "false")),
-                "dates": F.count(F.when(parse_number(c).isNull(), parse_date(c))),
-            }
+            reads_as = _reads_as(c)
         else:
-            is_date = isinstance(dtype, TEMPORAL)
-            zero = F.lit(0).cast("long")
-            parts = {
-                "numbers": zero if is_date else present,
-                "wholes": zero,
-                "booleans": zero,
-                "dates": present if is_date else zero,
-            }
-        aggs.append(F.struct(present.alias("present"), *[v.alias(k) for k, v in parts.items()]).alias(f"_{i}"))
-        entries.append(F.struct(F.lit(i).alias("position"), F.lit(name).alias("name"), F.col(f"_{i}").alias("c")))
-    return df.agg(*aggs).select(F.inline(F.array(*entries))).select("position", "name", "c.*")
+            reads_as = F.when(c.isNotNull(), "date" if isinstance(dtype, TEMPORAL) else "number")
+        entries.append(F.struct(F.lit(i).alias("position"), reads_as.alias("reads_as")))
+        labels.append(F.struct(F.lit(i).alias("position"), F.lit(name).alias("name")))
+    seen = df.select(F.inline(F.array(*entries))).groupBy("position", "reads_as").agg(F.count("*").alias("n"))
+    n = F.col("n")
+
+    def total(*types: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("reads_as").isin(*types), n)), F.lit(0))
+
+    found = seen.groupBy("position").agg(
+        F.coalesce(F.sum(F.when(F.col("reads_as").isNotNull(), n)), F.lit(0)).alias("present"),
+        total("whole", "number").alias("numbers"),
+        total("whole").alias("wholes"),
+        total("boolean").alias("booleans"),
+        total("date").alias("dates"),
+    )
+    columns = df.sparkSession.range(1).select(F.inline(F.array(*labels)))
+    out = columns.join(found, "position", "left").na.fill(0)
+    return out.select("position", "name", "present", "numbers", "wholes", "booleans", "dates")
 
 
 def _kind(present: Column, numbers: Column, dates: Column) -> Column:
@@ -82,6 +102,8 @@ def infer(df: DataFrame, name: str = "", at_most: int | None = None) -> PrepTabl
 
     Runs one aggregation; the driver sees a few counts per column.
     """
+    if not [c for c in df.columns if c != ROW_ID]:
+        raise ValueError("the table has no columns")
     found = {r["name"]: r for r in _counts(df).collect()}
     kinds, out = {}, []
     for field in df.schema.fields:
