@@ -47,8 +47,8 @@ def _missing_cells(t: PrepTable) -> Column:
 
 def duplicate_count(t: PrepTable) -> DataFrame:
     """Rows equal to an earlier row on all data columns; missing equals missing."""
-    groups = t.data.groupBy(*[col(c) for c in t.columns]).agg(F.count("*").alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    groups = t.data.groupBy(*[col(c) for c in t.columns]).agg(F.count("*").alias("_copies"))
+    return groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"))
 
 
 def quality_band(score: Column) -> Column:
