@@ -78,14 +78,15 @@ def parse_date(value: Column) -> Column:
 
 
 def number(name: str, dtype: T.DataType) -> Column:
-    """A column read as a double; null where it holds no number."""
+    """A column read as a double; null where it holds no number.
+
+    Tables hold no NaN (see ``strip_missing``), so numbers are taken as they are.
+    """
     c = col(name)
     if isinstance(dtype, T.StringType):
         return parse_number(c)
     if isinstance(dtype, T.BooleanType):
         return c.cast("int").cast("double")
-    if isinstance(dtype, FLOATING):
-        return F.nullif(c.cast("double"), F.lit(float("nan")))
     if isinstance(dtype, T.NumericType):
         return c.cast("double")
     return F.lit(None).cast("double")

@@ -109,10 +109,11 @@ def _box_rows(t: PrepTable, y: str, x: str) -> DataFrame:
 
 def _fenced(t: PrepTable, rows: DataFrame) -> DataFrame:
     """Each value beside its group's quartiles and fences."""
-    q = group_quantiles(rows, ["x"], "y", at_most=t.at_most)
+    at_most = t.bound()
+    q = group_quantiles(rows, ["x"], "y", at_most=at_most)
     reach = (F.col("q3") - F.col("q1")) * FENCE
     fences = q.withColumn("fence_low", F.col("q1") - reach).withColumn("fence_high", F.col("q3") + reach)
-    return attach(rows, fences, ["x"], at_most=t.at_most)
+    return attach(rows, fences, ["x"], at_most=at_most)
 
 
 def box(t: PrepTable, y: str, x: str = "") -> DataFrame:

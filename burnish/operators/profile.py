@@ -162,7 +162,7 @@ def quartile_profile(t: PrepTable, exact: bool = True) -> DataFrame:
         return t.df.sparkSession.createDataFrame([], "position int, q1 double, median double, q3 double")
     rows = _long(t, {c: t.number(c) for c in names}, "x")
     if exact:
-        return group_quantiles(rows, ["position"], "x", QUARTILES, at_most=t.at_most)
+        return group_quantiles(rows, ["position"], "x", QUARTILES, at_most=t.bound())
     points = F.array(*[F.lit(p) for p in QUARTILES.values()])
     q = rows.groupBy("position").agg(F.percentile_approx("x", points, 10_000).alias("q"))
     return q.select("position", *[F.col("q")[i].alias(n) for i, n in enumerate(QUARTILES)])

@@ -139,4 +139,4 @@ def column_quantiles(
         points = F.array(*[F.lit(p) for p in probs.values()])
         q = rows.agg(F.percentile_approx("_x", points, 10_000).alias("_q"))
         return q.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-    return group_quantiles(rows, ["_g"], "_x", probs, hot_rows, t.at_most).drop("_g")
+    return group_quantiles(rows, ["_g"], "_x", probs, hot_rows, t.bound()).drop("_g")

@@ -98,6 +98,10 @@ class PrepTable:
     def with_df(self, df: DataFrame, **changes) -> PrepTable:
         return replace(self, df=df, **changes)
 
+    def bound(self) -> int:
+        """A bound on the row count; counts the rows where loading did not."""
+        return self.df.count() if self.at_most is None else self.at_most
+
     def numbered(self) -> PrepTable:
         """The same rows with ``_rowId`` running 1..n again."""
         if self.dense or not self.has_row_ids:
