@@ -85,7 +85,8 @@ def _hot_quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str,
 
 
 def _between(low: Column, high: Column, place: Column) -> Column:
-    return F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place)))
+    part = place - F.floor(place)
+    return F.when((low == high) | (part == 0), low).otherwise(low + (high - low) * part)
 
 
 def _ranked_quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
