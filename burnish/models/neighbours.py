@@ -134,7 +134,9 @@ def _nearest_in_block(k: int):
                         out["d"].append(dd)
                         out["id"].append(m)
                         out["y"].append(y)
-        return pd.DataFrame(out)
+        # Types are spelled out: an empty block must still read as arrays and numbers.
+        kinds = {"z": object, "d": float, "id": "int64", "y": float}
+        return pd.DataFrame({c: pd.Series(out[c], dtype=kinds[c]) for c in kinds})
 
     return pick
 

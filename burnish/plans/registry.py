@@ -499,11 +499,6 @@ def _(spark, sf):
     return grid.search(customer(spark, sf), "mER#00", regex=False).df
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Number rows in the order a sort left them in."""
-    return df.withColumn("place", F.monotonically_increasing_id()).coalesce(1)
-
-
 @register(
     "grid_sort_numeric",
     f"""WITH {ORDERS} SELECT _rowId, o_orderkey, o_totalprice,

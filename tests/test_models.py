@@ -113,6 +113,12 @@ def test_fewer_points_than_neighbours(spark):
     assert neighbours.nearest(a, b, 5).count() == 4
 
 
+def test_blocks_without_test_rows(spark):
+    a = spark.createDataFrame([(i, [float(i)], 1.0) for i in range(50)], f"{ROW_ID} long, z array<double>, label double")
+    b = spark.createDataFrame([([float(i)],) for i in range(5)], "z array<double>")
+    assert neighbours.nearest(a, b, 3, test_block=1, train_block=7).count() == 15
+
+
 def test_vote_ties_go_to_smallest(spark):
     a = spark.createDataFrame([(i, [float(i)], float(i % 2)) for i in range(4)], f"{ROW_ID} long, z array<double>, label double")
     b = spark.createDataFrame([(7, [1.5], 0.0)], f"{ROW_ID} long, z array<double>, label double")

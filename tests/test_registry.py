@@ -6,7 +6,6 @@ from compare import connect, from_spark, from_sql
 from burnish.plans.registry import REGISTRY
 
 SF = "/root/testdata/sf0.001"
-# A few scored rows are tied there, or the query has no SQL and is tested elsewhere.
 WITH_SQL = [n for n, e in REGISTRY.items() if e.sql]
 LIGHT = ["profile_distinct_approx", "profile_approx", "operation_ledger", "ml_importances", "shap_any_model"]
 
