@@ -32,6 +32,24 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+# --- 1: exact top-k search -----------------------------------------------------
+
+
+@register(
+    "op1_topk_search",
+    """WITH e AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+ FROM e q, e c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+)
+def _(spark, sf):
+    from burnish.llm.topk_search import top_inner_products
+
+    return top_inner_products(read(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 # --- 2: quality classifier -----------------------------------------------------
 
 #: Rows that a fifth of the ids hold out from training.
@@ -70,6 +88,62 @@ def _(spark, sf):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+# --- 5: mixing sources to target weights ---------------------------------------
+
+MIX_ROUNDS = 20
+MARGINS = ("source", "lang", "topic")
+
+
+def _raking_sql() -> str:
+    """The cells' weights, one SELECT per margin and round."""
+    steps = [
+        f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+ CASE WHEN contains(t, 'license') OR contains(t, 'copyright') THEN 'legal' WHEN contains(t, ' | ') THEN 'tabular'
+ WHEN contains(t, '@') OR contains(t, 'http') THEN 'contact' ELSE 'prose' END AS topic,
+ len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens
+ FROM (SELECT *, lower(coalesce(text, '')) AS t FROM documents)),
+c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(sum(tokens)) OVER ()::DOUBLE AS total FROM d GROUP BY ALL)"""
+    ]
+    for m in MARGINS:
+        steps.append(
+            f"t_{m} AS (SELECT {m}, pow(sum(tokens) / any_value(total), 0.7) AS s FROM c WHERE tokens > 0 GROUP BY {m})"
+        )
+        steps.append(f"n_{m} AS (SELECT {m}, s / sum(s) OVER () AS want_{m} FROM t_{m})")
+    steps.append(
+        "w0 AS MATERIALIZED (SELECT c.*, tokens / total AS w, want_source, want_lang, want_topic FROM c JOIN n_source USING (source)"
+        " JOIN n_lang USING (lang) JOIN n_topic USING (topic) WHERE tokens > 0)"
+    )
+    k = 0
+    for _ in range(MIX_ROUNDS):
+        for m in MARGINS:
+            k += 1
+            steps.append(
+                f"w{k} AS MATERIALIZED (SELECT * EXCLUDE (w), w * want_{m} / sum(w) OVER (PARTITION BY {m}) AS w FROM w{k - 1})"
+            )
+    steps.append(f"f AS (SELECT source, lang, topic, w * total / tokens AS weight, max(w * total / tokens) OVER () AS most FROM w{k})")
+    return ", ".join(steps)
+
+
+@register(
+    "op5_mixing",
+    f"""WITH {_raking_sql()}, j AS (SELECT doc_id, d.tokens::BIGINT AS tokens, coalesce(weight, 0) AS weight, coalesce(weight / most, 0) AS p,
+ ('0x' || substr(md5(doc_id::VARCHAR || ':17'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+ FROM d LEFT JOIN f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic)
+SELECT doc_id, tokens, round(weight, 6) AS weight, round(p, 6) AS probability, u < p AS kept FROM j""",
+)
+def _(spark, sf):
+    from burnish.llm.mixing import mix_sources
+
+    out = mix_sources(read(spark, sf, "documents"), rounds=MIX_ROUNDS)
+    return out.select(
+        "doc_id",
+        F.col("mix_tokens").alias("tokens"),
+        F.round("mix_weight", 6).alias("weight"),
+        F.round("mix_probability", 6).alias("probability"),
+        F.col("mix_kept").alias("kept"),
+    )
+
+
 # --- 6: SentencePiece ----------------------------------------------------------
 
 
@@ -88,6 +162,54 @@ def _(spark, sf):
     return digests(read(spark, sf, "documents"), piece_model()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+# --- 8: WARC archives ----------------------------------------------------------
+
+BASE32_SQL = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * c + 1}, 5))::INTEGER >> {s}) & 31) + 1, 1)"
+    for c in range(8)
+    for s in (15, 10, 5, 0)
+)
+
+
+@register(
+    "op8_warc",
+    f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {BASE32_SQL} AS payload_digest,
+ CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to FROM k""",
+)
+def _(spark, sf):
+    from burnish.llm.warc import read_archives, resolve_revisits, write_archives
+    from burnish.session import scratch_path
+
+    folder = scratch_path(spark, "archives")
+    write_archives(read(spark, sf, "pages"), folder, min_payload=0)
+    found = resolve_revisits(read_archives(spark, folder))
+    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+# --- 9: approximate nearest neighbours -----------------------------------------
+
+
+@register("op9_nearest_neighbours")
+def _(spark, sf):
+    from burnish.llm.ann import nearest
+
+    return nearest(read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+# --- 10: suffix-array dedup ----------------------------------------------------
+
+
+@register("op10_suffix_dedup")
+def _(spark, sf):
+    from burnish.llm.suffix_dedup import drop_repeated_bytes
+
+    out = drop_repeated_bytes(read(spark, sf, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {name: e.query for name, e in REGISTRY.items()}
 
