@@ -230,3 +230,33 @@ def vectors_in_use(v: Column) -> Column:
     """True for vectors that are whole: not null, no null, NaN or infinite component."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     return v.isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
+# --- about how often a hash occurs ---------------------------------------------
+
+
+def frequency_sketch(rows: DataFrame, hashes_of: Callable[[pd.DataFrame], np.ndarray], slots: int = 1 << 20) -> np.ndarray:
+    """Counts of the hashes by slot (an upper bound for each), summed over all rows; 4 bytes a slot."""
+    step = slots // SEGMENTS
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(slots, dtype=np.uint32)
+        for batch in batches:
+            total += np.bincount((hashes_of(batch) & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint32)
+        for s in range(SEGMENTS):
+            part = total[s * step : (s + 1) * step]
+            if part.any():
+                yield pd.DataFrame({"segment": [s], "counts": [zlib.compress(part.tobytes(), 1)]})
+
+    def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(step, dtype=np.uint32)
+        for batch in batches:
+            for c in batch["counts"]:
+                total += np.frombuffer(zlib.decompress(c), dtype=np.uint32)
+        yield pd.DataFrame({"segment": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    schema = "segment int, counts binary"
+    whole = np.zeros(slots, dtype=np.uint32)
+    for r in rows.mapInPandas(count, schema).groupBy("segment").applyInPandas(add, schema).toLocalIterator():
+        whole[r.segment * step : (r.segment + 1) * step] = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint32)
+    return whole
