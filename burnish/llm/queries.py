@@ -184,6 +184,16 @@ def _(spark, sf):
     return digests(read(spark, sf, "documents"), piece_model()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+# --- 7: HTML extraction --------------------------------------------------------
+
+
+@register("op7_html_text")
+def _(spark, sf):
+    from burnish.llm.html_text import main_text
+
+    return main_text(read(spark, sf, "pages")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 # --- 8: WARC archives ----------------------------------------------------------
 
 BASE32_SQL = " || ".join(
