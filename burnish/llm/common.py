@@ -31,6 +31,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """The columns of a table but ``without`` as one struct, so that no name can clash with an operator's own."""
+    return F.struct(*[column(c) for c in df.columns if c not in without], F.lit(0).alias("_"))
+
+
+def unpacked(df: DataFrame, row: str, columns: dict[str, Column]) -> list[Column]:
+    """The packed columns again and ``columns``, which replace or follow them."""
+    own = [f.name for f in df.schema[row].dataType.fields[:-1]]
+    return [F.col(row).getField(c).alias(c) for c in own if c not in columns] + [v.alias(c) for c, v in columns.items()]
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows to one entry per group, without a hot group meeting in one task.
 

@@ -366,7 +366,9 @@ def page_maker(rng: random.Random) -> str:
         middle = f"<div class='{rng.choice(['wrapper', 'container', 'row', 'layout'])}'>{side()}{middle}{rng.choice(['', side()])}</div>"
     if rng.random() < 0.5:
         after.append(end())
-    return f"<html><head><title>{words(2, 6)}</title></head><body>{''.join(before)}{middle}{''.join(after)}</body></html>"
+    inner = f"{''.join(before)}{middle}{''.join(after)}"
+    body = rng.choice([f"<body>{inner}</body>", f"<body{mark('main')}>{inner}", inner])
+    return rng.choice([f"<html><head><title>{words(2, 6)}</title></head>{body}</html>", f"<!DOCTYPE html><html>{body}", body])
 
 
 def labelled(source: str) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import Suspects, attach, repeat_filter
+from burnish.llm.common import Suspects, attach, column, packed, repeat_filter, unpacked
 from burnish.session import checkpointed
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -51,7 +51,7 @@ def drop_repeated_lines(
     """
     if min_docs < 2:
         raise ValueError("min_docs must be at least 2")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
 
     def hashes(batch: pd.DataFrame) -> np.ndarray:
         found = []
@@ -93,9 +93,8 @@ def drop_repeated_lines(
             out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    joined = docs.join(by_doc, docs[id_col] == by_doc["id"], "left").select(
-        *[docs[c] for c in others], cut(docs[text_col], by_doc["_gone"]).alias("_cut")
-    )
-    ordered = [F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*ordered, "_cut.n_lines", "_cut.n_dropped")
+    rest = docs.select(packed(docs, (text_col,)).alias("row"), column(id_col).alias("id"), column(text_col).alias("text"))
+    joined = rest.join(by_doc, "id", "left").select("row", cut("text", "_gone").alias("cut"))
+    done = unpacked(joined, "row", {text_col: F.col("cut.text"), "n_lines": F.col("cut.n_lines"), "n_dropped": F.col("cut.n_dropped")})
+    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    return joined.select(*done).select(*map(column, order))

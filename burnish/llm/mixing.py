@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnish.llm.common import attach
+from burnish.llm.common import attach, column, packed, unpacked
 from burnish.session import checkpointed
 
 #: Characters that are no white space, in runs: the words that weigh a document.
@@ -62,15 +62,18 @@ def mix_sources(
     share their fate, as do null ids. Extra columns pass through; columns named like the
     new ones are replaced. An empty table gives an empty table.
     """
-    margins = margins or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col(text_col))}
+    margins = margins or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(column(text_col))}
     targets = targets or {}
     new = ("mix_tokens", "mix_weight", "mix_probability", "mix_kept")
-    old = [c for c in docs.columns if c not in new]
     names = [f"_m{i}" for i in range(len(margins))]
     values = [F.coalesce(m.cast("string"), F.lit("")) for m in margins.values()]
-    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
+    tokens = F.regexp_count(F.coalesce(column(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
     marked = docs.select(
-        *old, tokens.alias("_tokens"), F.to_json(F.array(*values)).alias("_cell"), *[v.alias(n) for v, n in zip(values, names)]
+        packed(docs).alias("_row"),
+        column(id_col).alias("_id"),
+        tokens.alias("_tokens"),
+        F.to_json(F.array(*values)).alias("_cell"),
+        *[v.alias(n) for v, n in zip(values, names)],
     )
     cells = marked.groupBy("_cell", *names).agg(F.sum("_tokens").alias("_tokens"), F.count("*").alias("_n"))
     cells = checkpointed(cells, "cells")
@@ -98,6 +101,6 @@ def mix_sources(
     most = weighed.agg(F.max("mix_weight").alias("m")).first().m or 1.0
     joined = attach(marked, weighed, "_cell", "_n", sums.n, "left")
     weight = F.coalesce("mix_weight", F.lit(0.0))
-    return joined.select(
-        *old, F.col("_tokens").alias("mix_tokens"), weight.alias("mix_weight"), (weight / F.lit(most)).alias("mix_probability")
-    ).withColumn("mix_kept", unit_hash(F.col(id_col), seed) < F.col("mix_probability"))
+    chance = weight / F.lit(most)
+    values = (F.col("_tokens"), weight, chance, unit_hash(F.col("_id"), seed) < chance)
+    return joined.select(*unpacked(joined, "_row", dict(zip(new, values))))

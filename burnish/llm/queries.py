@@ -52,8 +52,8 @@ def _(spark, sf):
 
 # --- 2: quality classifier -----------------------------------------------------
 
-#: Rows that a fifth of the ids hold out from training.
-REMAINDER = F.expr("crc32(cast(doc_id AS string)) % 5")
+#: A remainder of 0 holds a fifth of the ids out from training.
+REMAINDER = "crc32(cast(doc_id AS string)) % 5"
 
 
 @register("op2_quality_classifier")
@@ -61,8 +61,8 @@ def _(spark, sf):
     from burnish.llm.quality import score_quality
 
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
-    scored = score_quality(docs, labels, train=REMAINDER != 0)
-    return scored.select("doc_id", (REMAINDER == 0).alias("held_out"), "score", "predicted")
+    scored = score_quality(docs, labels, train=F.expr(f"{REMAINDER} <> 0"))
+    return scored.select("doc_id", F.coalesce(F.expr(f"{REMAINDER} = 0"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 # --- 3: line dedup -------------------------------------------------------------

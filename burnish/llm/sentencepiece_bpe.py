@@ -26,6 +26,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burnish.llm.common import column, packed, unpacked
+
 SPACE = "▁"
 #: A space that follows a non-space starts a new segment.
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -352,5 +354,5 @@ def digests(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
         return pd.DataFrame([m.digest(t) for t in text], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     new = ("n_tokens", "ids_sha256", "decoded_sha256")
-    kept = [c for c in docs.columns if c not in new]
-    return docs.select(*kept, digest(F.col(text_col)).alias("_d")).select(*kept, *[f"_d.{c}" for c in new])
+    rows = docs.select(packed(docs).alias("row"), digest(column(text_col)).alias("d"))
+    return rows.select(*unpacked(rows, "row", {c: F.col(f"d.{c}") for c in new}))

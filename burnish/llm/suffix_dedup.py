@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import Suspects, blocks, mix, repeat_filter
+from burnish.llm.common import Suspects, blocks, column, mix, packed, repeat_filter, unpacked
 from burnish.session import checkpointed
 
 GRAM = 16
@@ -259,7 +259,7 @@ def drop_repeated_bytes(
     if window < GRAM:
         raise ValueError(f"window must be at least {GRAM}")
     new = ("kept", "n_bytes", "n_removed", "n_spans")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
+    texts = docs.select(column(id_col).cast("bigint").alias("id"), F.xxhash64(column(text_col)).alias("rid"), column(text_col).alias("text"))
     texts = texts.filter((F.octet_length("text") >= window) & F.col("id").isNotNull())
 
     def hashes(batch: pd.DataFrame) -> np.ndarray:
@@ -319,8 +319,8 @@ def drop_repeated_bytes(
                     }
                 )
 
-    packed = ["strings", "sizes", "gram", "least", "most", "slot", "id", "rid", "first"]
-    sent = checkpointed(texts.mapInPandas(runs, "batch bigint, part int, " + ", ".join(f"{c} binary" for c in packed)), "runs")
+    fields = ["strings", "sizes", "gram", "least", "most", "slot", "id", "rid", "first"]
+    sent = checkpointed(texts.mapInPandas(runs, "batch bigint, part int, " + ", ".join(f"{c} binary" for c in fields)), "runs")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
@@ -455,8 +455,8 @@ def drop_repeated_bytes(
             out.append((kept, len(raw), len(raw) - len(kept), len(s)))
         return pd.DataFrame(out, columns=list(new))
 
-    old = [c for c in docs.columns if c not in new]
-    keyed = docs.select(*old, F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_rid"))
-    joined = keyed.join(cut, (keyed["_id"] == cut["id"]) & (keyed["_rid"] == cut["rid"]), "left")
-    done = joined.select(*[keyed[c] for c in old], apply(keyed[text_col], cut["starts"], cut["ends"]).alias("_cut"))
-    return done.select(*old, *[f"_cut.{c}" for c in new])
+    rest = docs.select(
+        packed(docs).alias("row"), column(id_col).cast("bigint").alias("id"), F.xxhash64(column(text_col)).alias("rid"), column(text_col).alias("text")
+    )
+    joined = rest.join(cut, ["id", "rid"], "left").select("row", apply("text", "starts", "ends").alias("cut"))
+    return joined.select(*unpacked(joined, "row", {c: F.col(f"cut.{c}") for c in new}))

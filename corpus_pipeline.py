@@ -23,7 +23,7 @@ from burnish.session import checkpointed
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts; it learns from four fifths of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, labels, train=REMAINDER != 0).filter("predicted = 1").select(*docs.columns)
+    return score_quality(docs, labels, train=F.expr(f"{REMAINDER} <> 0")).filter("predicted = 1").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
