@@ -1,6 +1,6 @@
 """Column expressions: parsing, text and hashing."""
 
-from burnish.functions.cells import NA_TOKENS, col, number, parse_date, parse_number, strip_missing, text
+from burnish.functions.cells import NA_TOKENS, col, fresh, number, parse_date, parse_number, strip_missing
 from burnish.functions.hashing import mix
 from burnish.functions.text import plain_number, sql_literal, title_case, trim_all
 
@@ -14,7 +14,7 @@ __all__ = [
     "plain_number",
     "sql_literal",
     "strip_missing",
-    "text",
+    "fresh",
     "title_case",
     "trim_all",
 ]

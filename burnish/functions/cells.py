@@ -60,6 +60,18 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for working columns that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def parse_number(value: Column) -> Column:
     """A double where the text is a number, else null."""
     return F.when(value.rlike(NUMBER_PATTERN), value.try_cast("double"))
@@ -92,10 +104,6 @@ def number(name: str, dtype: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
-def text(name: str) -> Column:
-    return col(name).cast("string")
-
-
 def strip_missing(df: DataFrame, tokens: tuple[str, ...] = ()) -> DataFrame:
     """One notion of missing: NaN becomes null, and so do the given texts."""
     out = []

@@ -13,8 +13,8 @@ def trim_all(value: Column) -> Column:
 
 
 def title_case(value: Column) -> Column:
-    """Capital after every non-letter; ``initcap`` looks at spaces only."""
-    runs = F.regexp_extract_all(F.lower(value), F.lit(r"([\p{L}]+|[^\p{L}]+)"), F.lit(1))
+    """Capital after everything that has no case; ``initcap`` looks at spaces only."""
+    runs = F.regexp_extract_all(F.lower(value), F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), F.lit(1))
     return F.array_join(
         F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), ""
     )

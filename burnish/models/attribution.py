@@ -11,33 +11,37 @@ from pyspark.sql.window import Window
 from burnish.functions.hashing import mix
 from burnish.models.prep import FEATURES, LABEL, SEED, hash_order
 from burnish.models.train import TrainResult
+from burnish.operators.rank import renumber
 from burnish.table import ROW_ID
 
-# Rows explained, rows of background, features in the summary.
-EXPLAINED = 100
-BACKGROUND_LINEAR = 100
-BACKGROUND = 50
+# Fixed value: features in the summary.
 TOP = 7
 
 PERMUTATIONS = 16
 
 
-def _head(df: DataFrame, rows: int, width: int) -> DataFrame:
-    """The first rows in split order, features as an array."""
+def _rows(df: DataFrame, rows: int | None, width: int) -> DataFrame:
+    """All rows, or the first in split order if a number is given; features as an array."""
     z = F.array(*[F.col(f"_z{i}") for i in range(width)])
-    return df.orderBy(*hash_order()).limit(rows).select(ROW_ID, z.alias("z"))
+    chosen = df if rows is None else df.orderBy(*hash_order()).limit(rows)
+    return chosen.select(ROW_ID, z.alias("z"))
 
 
-def linear_attribution(r: TrainResult, rows: int = EXPLAINED, background: int = BACKGROUND_LINEAR) -> DataFrame:
-    """Weight times distance from the background mean: exact for a linear model."""
+def linear_attribution(r: TrainResult, rows: int | None = None, background: int | None = None) -> DataFrame:
+    """Weight times distance from the background mean: exact for a linear model.
+
+    Explains every held-out row against all training rows; ``rows`` and ``background``
+    limit either.
+    """
     w = r.learned.weights
     if w is None:
         raise ValueError(f"{r.model} is not linear")
     names = F.array(*[F.lit(n) for n in r.design.names])
-    base = _head(r.train, background, r.design.width).select(F.posexplode("z").alias("i", "v"))
-    means = base.groupBy("i").agg(F.avg("v").alias("mean"))  # one row per feature
+    base = _rows(r.train, background, r.design.width)
+    means = base.agg(*[F.avg(F.col("z")[i]).alias(f"m{i}") for i in range(r.design.width)])
+    means = means.select(F.posexplode(F.array(*[F.col(f"m{i}") for i in range(r.design.width)])).alias("i", "mean"))  # one row per feature
     weights = F.array(*[F.lit(float(v)) for v in w])
-    told = _head(r.test, rows, r.design.width).select(ROW_ID, F.posexplode("z").alias("i", "value"))
+    told = _rows(r.test, rows, r.design.width).select(ROW_ID, F.posexplode("z").alias("i", "value"))
     return told.join(F.broadcast(means), "i").select(
         ROW_ID,
         names[F.col("i")].alias("feature"),
@@ -48,8 +52,8 @@ def linear_attribution(r: TrainResult, rows: int = EXPLAINED, background: int =
 
 def sampled_attribution(
     r: TrainResult,
-    rows: int = EXPLAINED,
-    background: int = BACKGROUND,
+    rows: int | None = None,
+    background: int | None = None,
     permutations: int = PERMUTATIONS,
     seed: int = SEED,
 ) -> DataFrame:
@@ -58,7 +62,9 @@ def sampled_attribution(
     Every explained row is turned, feature by feature in a random order, from a
     background row into itself; all in-between rows are scored in one pass of the
     model, and a feature earns the score change of its step. The values of a row
-    add up to its score less the mean score of the backgrounds it drew.
+    add up to its score less the mean score of the backgrounds it drew. Every held-out
+    row is explained and backgrounds are drawn from all training rows; ``rows`` and
+    ``background`` limit either, ``permutations`` sets how many orders are drawn.
     """
     width = r.design.width
     rng = np.random.default_rng(seed)
@@ -67,14 +73,13 @@ def sampled_attribution(
     rank = F.array(*[F.array(*[F.lit(int(j)) for j in np.argsort(o)]) for o in orders])
     names = F.array(*[F.lit(n) for n in r.design.names])
 
-    base = _head(r.train, background, width)
-    pool = base.agg(F.sort_array(F.collect_list(F.struct(ROW_ID, "z"))).alias("b"))  # bounded by `background`
-    pool = pool.select(F.col("b.z").alias("b")).scalar()
-    told = _head(r.test, rows, width).select(
+    base = renumber(_rows(r.train, background, width))
+    drawable = base.agg(F.count("*")).scalar()
+    told = _rows(r.test, rows, width).select(
         F.col(ROW_ID).alias("row"), "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("p")
     )
-    drawn = F.pmod(mix(F.col("row") * permutations + F.col("p"), seed), F.size(pool))
-    told = told.withColumn("b", F.element_at(pool, (drawn + 1).cast("int")))
+    drawn = F.pmod(mix(F.col("row") * permutations + F.col("p"), seed), drawable) + 1
+    told = told.withColumn("drawn", drawn).join(base.select(F.col(ROW_ID).alias("drawn"), F.col("z").alias("b")), "drawn")
     mixed = told.select("row", "p", "z", "b", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("s"))
     place = F.element_at(rank, F.col("p") + 1)
     hybrid = F.transform(
@@ -92,12 +97,10 @@ def sampled_attribution(
     return mean.select(F.col("row").alias(ROW_ID), names[F.col("i")].alias("feature"), "phi")
 
 
-def attribution(r: TrainResult, rows: int = EXPLAINED, **options) -> DataFrame:
+def attribution(r: TrainResult, rows: int | None = None, **options) -> DataFrame:
     """The exact form for linear models, the sampled one for the rest."""
     if r.learned.weights is not None:
         return linear_attribution(r, rows, **options).drop("value")
-    if r.model.startswith(("tree", "forest")):
-        options = {"background": 100, **options}
     return sampled_attribution(r, rows, **options)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_CELLS = 65_536
+from burnish.session import checkpointed
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -68,18 +68,16 @@ def confusion_matrix(df: DataFrame, classes: list) -> DataFrame:
 def _roc_steps(df: DataFrame) -> DataFrame:
     """Distinct scores with the positives and negatives at or above each.
 
-    Scores are counted first, so ties are one point. Running totals are taken
-    within 65,536 equal-width cells of the score range and shifted by the totals
-    of higher cells, so no task sees the whole curve.
+    Scores are counted first, so ties are one point. The points are dealt out by ranges
+    of the score that hold about as many points each and written once; running totals
+    are taken within a range and shifted by the totals of higher ranges, so no task
+    sees the whole curve, however the scores are spread.
     """
-    ends = df.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi"))).scalar()
-    lo, hi = ends.getField("lo"), ends.getField("hi")
-    at = F.when(hi > lo, F.floor((hi - F.col("score")) / (hi - lo) * F.lit(_CELLS - 1))).otherwise(0).cast("long")
     points = df.groupBy(F.col("score").cast("double").alias("score")).agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("n"),
     )
-    points = points.withColumn("_cell", at)
+    points = checkpointed(points.repartitionByRange(F.desc("score")).withColumn("_cell", F.spark_partition_id()), "roc")
     cells = points.groupBy("_cell").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -122,18 +122,18 @@ def _nearest_in_block(k: int):
             a, zs = _matrix(left["z"]), left["z"].to_numpy()
             for start in range(0, len(a), 64):
                 d = _distances(a[start : start + 64], b)
-                for row, dist in enumerate(d):
-                    if len(dist) > k:
-                        edge = np.partition(dist, k - 1)[k - 1]
-                        near = np.nonzero(dist <= edge)[0]
-                    else:
-                        near = np.arange(len(dist))
-                    found = sorted((dist[i], int(m), y) for i in near for m, y in zip(ids[i], ys[i]))[:k]
-                    for dd, m, y in found:
-                        out["z"].append(zs[start + row])
-                        out["d"].append(dd)
-                        out["id"].append(m)
-                        out["y"].append(y)
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+                row, near = np.nonzero(d <= edge)
+                many = np.array([len(ids[i]) for i in near], dtype=np.int64)
+                dist, of = np.repeat(d[row, near], many), np.repeat(row, many)
+                m, y = np.concatenate([ids[i] for i in near]), np.concatenate([ys[i] for i in near])
+                order = np.lexsort((m, dist, of))
+                of = of[order]
+                first = order[np.arange(len(of)) - np.searchsorted(of, of) < k]
+                out["z"].extend(zs[start + i] for i in np.repeat(row, many)[first])
+                out["d"].extend(dist[first])
+                out["id"].extend(m[first])
+                out["y"].extend(y[first])
         # Types are spelled out: an empty block must still read as arrays and numbers.
         kinds = {"z": object, "d": float, "id": "int64", "y": float}
         return pd.DataFrame({c: pd.Series(out[c], dtype=kinds[c]) for c in kinds})

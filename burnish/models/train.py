@@ -40,7 +40,6 @@ TRAIN_RATIO = 0.8
 TOP_FEATURES = 10
 
 CELLS_PER_PARTITION = 8_000_000
-MAX_PARTITIONS = 50_000
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -68,11 +67,14 @@ class TrainResult:
     train: DataFrame
     test: DataFrame
     params: dict = field(default_factory=dict)
+    kept: list[DataFrame] = field(default_factory=list)
 
     @cached_property
     def predictions(self) -> DataFrame:
-        """``_rowId, label, prediction, score`` of the held-out rows."""
-        return self.learned.predict(self.test).select(ROW_ID, LABEL, "prediction", "score")
+        """``_rowId, label, prediction, score`` of the held-out rows, scored once."""
+        out = self.learned.predict(self.test).select(ROW_ID, LABEL, "prediction", "score")
+        self.kept.append(out.persist(StorageLevel.MEMORY_AND_DISK))
+        return out
 
     @property
     def binary(self) -> bool:
@@ -129,8 +131,8 @@ class TrainResult:
         return self.train.sparkSession.createDataFrame(rows, "term string, weight double")
 
     def release(self) -> None:
-        self.train.unpersist()
-        self.test.unpersist()
+        for df in (self.train, self.test, *self.kept):
+            df.unpersist()
 
 
 def _class_score(df: DataFrame) -> DataFrame:
@@ -269,7 +271,7 @@ FITS = {
 def _partitions(spark, rows: int, width: int) -> int:
     """At least one per core, at most a few million cells each."""
     by_size = -(-rows * (width + 2) // CELLS_PER_PARTITION)
-    return min(MAX_PARTITIONS, max(spark.sparkContext.defaultParallelism, by_size))
+    return max(spark.sparkContext.defaultParallelism, by_size)
 
 
 def train(
@@ -322,4 +324,4 @@ def train(
         StorageLevel.MEMORY_AND_DISK
     )
     learned = FITS[model](train_rows, n, design.width, settings)
-    return TrainResult(model, task, design, scaling, labels, learned, train_rows, test_rows, settings)
+    return TrainResult(model, task, design, scaling, labels, learned, train_rows, test_rows, settings, [flagged])

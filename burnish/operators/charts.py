@@ -58,15 +58,21 @@ def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def histogram(t: PrepTable, x: str, bins: int = BINS) -> DataFrame:
-    """Rows in each non-empty bin, with the bin's edges."""
+    """Rows in each of the bins, empty ones included, with the bin's edges; no bin without a number."""
     t.require(x)
     rows = t.df.select(t.number(x).alias("x")).filter("x IS NOT NULL")
     ends = rows.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
     lo, hi = ends.getField("lo"), ends.getField("hi")
     counts = rows.groupBy(_bin(F.col("x"), lo, hi, bins).alias("bin")).agg(F.count("*").alias("count"))
+    # a column of one value has one bin, as no width can be cut
+    every = t.df.sparkSession.range(bins).select(F.col("id").alias("bin"))
+    every = every.filter((hi > lo) | ((hi == lo) & (F.col("bin") == 0)))
     width = (hi - lo) / F.lit(bins)
-    return counts.select(
-        "bin", (lo + F.col("bin") * width).alias("from"), (lo + (F.col("bin") + 1) * width).alias("to"), "count"
+    return every.join(F.broadcast(counts), "bin", "left").select(
+        "bin",
+        (lo + F.col("bin") * width).alias("from"),
+        (lo + (F.col("bin") + 1) * width).alias("to"),
+        F.coalesce("count", F.lit(0)).cast("long").alias("count"),
     )
 
 

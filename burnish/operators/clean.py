@@ -102,7 +102,7 @@ def fill_missing(t: PrepTable, column: str, strategy: str, value=None, exact: bo
         if n is not None and _numeric_type(t, column):
             old, new = _store_number(t, column, n)
             return t.with_df(_set(t, column, F.coalesce(old, new)))
-        return t.with_df(_set(t, column, F.coalesce(c.cast("string"), F.lit(str(value)))))
+        return t.with_df(_set(t, column, F.coalesce(t.text(column), F.lit("" if value is None else str(value)))))
     found = fill_value(t, column, strategy, exact).first()
     stat = None if found is None else found["value"]
     is_text = isinstance(t.dtype(column), T.StringType)
@@ -140,11 +140,11 @@ def _replacement(t: PrepTable, column: str, find: str, substitute: str) -> tuple
         if _numeric_type(t, column):
             old, new = _store_number(t, column, s)
             return old, hit, new
-        return c.cast("string"), hit, F.lit(None if gone else str(substitute)).cast("string")
+        return t.text(column), hit, F.lit(None if gone else str(substitute)).cast("string")
     if _numeric_type(t, column):
         return c, F.lit(False), c
-    hit = F.coalesce(c.cast("string") == F.lit(str(find)), F.lit(False))
-    return c.cast("string"), hit, F.lit(None if gone else str(substitute)).cast("string")
+    hit = F.coalesce(t.text(column) == F.lit(str(find)), F.lit(False))
+    return t.text(column), hit, F.lit(None if gone else str(substitute)).cast("string")
 
 
 def replace_values(t: PrepTable, column: str, find: str, substitute: str = "") -> PrepTable:

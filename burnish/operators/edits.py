@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.functions.cells import col, parse_number
+from burnish.functions.cells import col, fresh, parse_number
 from burnish.sources.inference import WHOLE_PATTERN
 from burnish.table import NUMERIC, ROW_ID, PrepTable
 
@@ -48,6 +48,9 @@ def apply_edits(t: PrepTable, edits: DataFrame) -> PrepTable:
     t.require_row_ids()
     t = t.numbered()
     edits = edits.filter(F.col("column").isin(*t.columns)).withColumn("value", _cleared(F.col("value")))
+    # an edit that loses, or whose row does not exist, changes nothing, types included
+    won = edits.groupBy(ROW_ID, "column").agg(F.max(F.struct("seq", "value")).alias("last"))
+    edits = won.select(ROW_ID, "column", "last.seq", "last.value").join(t.df.select(ROW_ID), ROW_ID, "left_semi")
     touched = [r["column"] for r in edits.select("column").distinct().collect()]  # at most the table's columns
     if not touched:
         return t
@@ -55,9 +58,12 @@ def apply_edits(t: PrepTable, edits: DataFrame) -> PrepTable:
     for i, name in enumerate(c for c in t.columns if c in touched):
         stored, dtype = _store(t, name, edits)
         latest = F.max(F.when(F.col("column") == name, F.struct("seq", stored.alias("value"))))
-        aggs.append(latest.alias(f"_e{i}"))
-        edit = F.col(f"_e{i}")
-        out[name] = F.when(edit.isNotNull(), edit["value"].cast(dtype)).otherwise(col(name).cast(dtype))
+        (edited,) = fresh(t.columns, f"_e{i}")
+        aggs.append(latest.alias(edited))
+        edit = F.col(edited)
+        out[name] = F.when(edit.isNotNull(), edit["value"].cast(dtype)).otherwise(
+            t.text(name) if isinstance(dtype, T.StringType) else col(name).cast(dtype)
+        )
     per_row = edits.groupBy(ROW_ID).agg(*aggs)
     joined = t.df.join(per_row, ROW_ID, "left")
     return t.with_df(joined.select(*[out[c].alias(c) if c in out else col(c) for c in t.df.columns]))

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.functions.cells import col
+from burnish.functions.cells import col, fresh
+from burnish.functions.text import plain_number
 from burnish.operators.clean import as_number
 from burnish.operators.profile import BLANK
-from burnish.operators.rank import number_rows
+from burnish.operators.rank import number_rows, positions
 from burnish.table import NUMERIC, ROW_ID, PrepTable
 
 # Fixed value: rows on a page.
@@ -27,7 +28,11 @@ SHALLOW_ROWS = 10_000
 
 @dataclass(frozen=True)
 class Page:
-    """The rows of one page, and where they lie."""
+    """The rows of one page, and where they lie.
+
+    ``order`` is the ranked table that a deep sorted page was cut from; handed to the
+    next ``page`` with the same search and sort, it spares ranking again.
+    """
 
     rows: DataFrame
     total: int
@@ -35,26 +40,27 @@ class Page:
     current_page: int
     start: int
     end: int
+    order: DataFrame | None = None
 
 
 def search(t: PrepTable, needle: str, regex: bool = True) -> PrepTable:
     """Rows in which any cell's text contains the needle, in any case."""
     if not needle:
         return t
-    pattern = "(?i)" + (needle if regex else re.escape(needle))
+    pattern = "(?iu)" + (needle if regex else re.escape(needle))
     hits = [F.coalesce(t.text(c).rlike(pattern), F.lit(False)) for c in t.columns]
-    return t.with_df(t.df.filter(reduce(or_, hits)))
+    return t.with_df(t.df.filter(reduce(or_, hits)), dense=False)
 
 
 def filter_equals(t: PrepTable, column: str, value: str) -> PrepTable:
     """Rows whose cell equals the value; numbers by value, ``[Blank]`` means missing."""
     t.require(column)
     if value == BLANK:
-        return t.with_df(t.df.filter(col(column).isNull() | (t.text(column) == BLANK)))
+        return t.with_df(t.df.filter(col(column).isNull() | (t.text(column) == BLANK)), dense=False)
     n = as_number(value)
     if isinstance(t.dtype(column), T.NumericType) and n is not None:
-        return t.with_df(t.df.filter(col(column) == F.lit(n)))
-    return t.with_df(t.df.filter(t.text(column) == str(value)))
+        return t.with_df(t.df.filter(col(column) == F.lit(n)), dense=False)
+    return t.with_df(t.df.filter(t.text(column) == str(value)), dense=False)
 
 
 def sort_key(t: PrepTable, column: str, ascending: bool = True) -> list[Column]:
@@ -72,18 +78,20 @@ def sort(t: PrepTable, column: str, ascending: bool = True) -> DataFrame:
 def display(df: DataFrame) -> DataFrame:
     """Cells as text, missing ones empty."""
     return df.select(
-        *[F.coalesce(col(c).cast("string"), F.lit("")).alias(c) if c != ROW_ID else col(c) for c in df.columns]
+        *[
+            col(f.name) if f.name == ROW_ID else F.coalesce(plain_number(col(f.name), f.dataType), F.lit("")).alias(f.name)
+            for f in df.schema.fields
+        ]
     )
 
 
-def ranked(t: PrepTable, column: str, ascending: bool = True) -> DataFrame:
-    """The table in sort order with a ``_rank``, written once so any page is a range scan."""
-    t = t.numbered()
-    df = t.df.withColumn("_id", F.col(ROW_ID)).drop(ROW_ID)
-    key = [k for k in sort_key(t, column, ascending)]
-    key[-1] = F.col("_id").asc()
-    out = number_rows(df, key).withColumnRenamed(ROW_ID, "_rank").withColumnRenamed("_id", ROW_ID)
-    return out
+def ranked(t: PrepTable, column: str = "", ascending: bool = True) -> DataFrame:
+    """The table in sort order (or row order) with a ``_rank``, written once so any page is a range scan."""
+    (own,) = fresh(t.columns, "_id")
+    (rank,) = fresh(t.columns, "_rank")
+    key = sort_key(t, column, ascending)[:-1] if column else []
+    out = number_rows(t.df.withColumnRenamed(ROW_ID, own), [*key, F.col(own).asc()])
+    return out.withColumnRenamed(ROW_ID, rank).withColumnRenamed(own, ROW_ID)
 
 
 def page(
@@ -94,41 +102,46 @@ def page(
     sort_column: str = "",
     ascending: bool = True,
     regex: bool = True,
+    order: DataFrame | None = None,
 ) -> Page:
     """One page of rows, its number clamped to the pages there are.
 
-    Row ids run 1..n, so a page of the whole table is a range of ids that reaches
-    the scan as a filter. A searched or sorted page near either end is a top-k;
-    a deep one ranks the table once.
+    Row ids of the page are the rows' places in the table, also where rows have gone
+    and left gaps. A page near either end is a top-k, one of a whole table with dense
+    ids a range of ids; a deep page of anything else ranks the table once, see ``Page``.
     """
     t.require_row_ids()
-    t = t.numbered()
     found = search(t, needle, regex)
     total = found.df.count()
     pages = max(1, math.ceil(total / size))
     current = max(1, min(number, pages))
     first = (current - 1) * size
     last = min(first + size, total)
-    if sort_column:
-        t.require(sort_column)
-        order = sort_key(t, sort_column, ascending)
-    else:
-        order = [F.col(ROW_ID).asc()]
-
-    if not needle and not sort_column:
-        rows = t.df.filter((F.col(ROW_ID) > first) & (F.col(ROW_ID) <= last)).orderBy(*order)
+    by = sort_key(t, sort_column, ascending) if sort_column else [F.col(ROW_ID).asc()]
+    if not needle and not sort_column and t.dense:
+        rows = t.df.filter((F.col(ROW_ID) > first) & (F.col(ROW_ID) <= last)).orderBy(*by)
     elif last <= SHALLOW_ROWS:
-        rows = found.df.orderBy(*order).offset(first).limit(last - first)
+        rows = found.df.orderBy(*by).offset(first).limit(last - first)
     elif total - first <= SHALLOW_ROWS:
         tail = found.df.orderBy(*_reversed(t, sort_column, ascending)).offset(total - last).limit(last - first)
-        rows = tail.orderBy(*order)
+        rows = tail.orderBy(*by)
     else:
-        by = ranked(found, sort_column, ascending) if sort_column else number_rows(
-            found.df.withColumn("_id", F.col(ROW_ID)), [F.col("_id").asc()]
-        ).withColumnRenamed(ROW_ID, "_rank").withColumnRenamed("_id", ROW_ID)
-        rows = by.filter((F.col("_rank") > first) & (F.col("_rank") <= last)).orderBy("_rank").drop("_rank")
+        order = ranked(found, sort_column, ascending) if order is None else order
+        (rank,) = [c for c in order.columns if c not in t.df.columns]
+        rows = order.filter((F.col(rank) > first) & (F.col(rank) <= last)).orderBy(rank).drop(rank)
+    if not t.dense:
+        rows = _placed(t, rows, by)
     rows = rows.select(ROW_ID, *[col(c) for c in t.columns])
-    return Page(rows, total, pages, current, first + 1 if total else 0, last)
+    return Page(rows, total, pages, current, first + 1 if total else 0, last, order)
+
+
+def _placed(t: PrepTable, rows: DataFrame, by: list[Column]) -> DataFrame:
+    """A page's rows with their places in the table as ids; at most a page of ids reaches the driver."""
+    places = positions(t.df, [r[ROW_ID] for r in rows.select(ROW_ID).collect()])
+    if not places:
+        return rows
+    at = F.create_map(*[F.lit(v).cast("long") for pair in places.items() for v in pair])
+    return rows.orderBy(*by).withColumn(ROW_ID, at[F.col(ROW_ID)])
 
 
 def _reversed(t: PrepTable, column: str, ascending: bool) -> list[Column]:

@@ -168,37 +168,41 @@ def quartile_profile(t: PrepTable, exact: bool = True) -> DataFrame:
     return q.select("position", *[F.col("q")[i].alias(n) for i, n in enumerate(QUARTILES)])
 
 
+# What cells are stored as when columns are stacked.
+FAMILIES = ("bigint", "double", "timestamp_ntz", "string")
+
+
 def distinct_profile(t: PrepTable, exact: bool = True) -> DataFrame:
     """Distinct values of every column, missing left out.
 
-    Exact counts stack the columns by storage family (whole, floating, text) and
-    group once, instead of one pass per column. ``exact=False`` uses a sketch of
+    Exact counts stack the columns, with a slot for each storage family (whole, floating,
+    time, text), and group once: one scan and one shuffle for all of them. ``exact=False`` uses a sketch of
     fixed size inside a single aggregation.
     """
     if not exact:
         aggs = [F.approx_count_distinct(col(c)).alias(f"_{i}") for i, c in enumerate(t.columns)]
         entries = [F.struct(F.lit(i).alias("position"), F.col(f"_{i}").alias("unique")) for i in range(len(aggs))]
         return t.df.agg(*aggs).select(F.inline(F.array(*entries)))
-    families: dict[str, dict[str, Column]] = {}
-    for f in t.data.schema.fields:
+    entries = []
+    for i, f in enumerate(t.data.schema.fields):
         c = col(f.name)
         if isinstance(f.dataType, NESTED):
             raise ValueError(f"column {f.name} is {f.dataType.simpleString()}; drop or flatten it first")
-        if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
-            families.setdefault("long", {})[f.name] = c.cast("int").cast("long") if isinstance(
-                f.dataType, T.BooleanType
-            ) else c.cast("long")
+        cells = dict.fromkeys(FAMILIES)
+        if isinstance(f.dataType, T.BooleanType):
+            cells["bigint"] = c.cast("int")
+        elif isinstance(f.dataType, T.IntegralType):
+            cells["bigint"] = c
         elif isinstance(f.dataType, FLOATING):
-            families.setdefault("double", {})[f.name] = c.cast("double")
+            cells["double"] = c
         elif isinstance(f.dataType, TEMPORAL):
-            families.setdefault("time", {})[f.name] = c.cast("timestamp_ntz")
+            cells["timestamp_ntz"] = c
         else:
-            families.setdefault("text", {})[f.name] = c.cast("string")
-    counted = None
-    for cells in families.values():
-        part = _long(t, cells, "v").distinct().groupBy("position").agg(F.count("*").alias("unique"))
-        counted = part if counted is None else counted.unionByName(part)
-    return counted
+            cells["string"] = c
+        slots = [(F.lit(None) if v is None else v).cast(k).alias(k) for k, v in cells.items()]
+        entries.append(F.struct(F.lit(i).alias("position"), c.isNotNull().alias("present"), *slots))
+    stacked = t.df.select(F.inline(F.array(*entries))).filter("present").drop("present")
+    return stacked.distinct().groupBy("position").agg(F.count("*").alias("unique"))
 
 
 def profile(t: PrepTable, exact: bool = True) -> DataFrame:

@@ -1,11 +1,11 @@
 """Exact quantiles that never gather a large group in one place.
 
-Groups of bounded size are counted by value and ranked in a window. Hot groups take
-another way, also exact: cut the values into ordered cells, count the cells, keep
-only the cells that hold a wanted rank, cut those again, and sort what is left.
-Cells depend on the values alone (and on exact cell minima and maxima), so every
-pass agrees on them. The built-in ``percentile`` is not used: it keeps every
-distinct value of a group in one buffer.
+Groups of bounded size use the built-in ``percentile``, which keeps a group's distinct
+values in one buffer. Hot groups take another way, also exact: cut the values into
+ordered cells, count the cells, keep only the cells that hold a wanted rank, cut those
+again, and sort what is left. Cells depend on the values alone (and on exact cell minima
+and maxima), so every pass agrees on them. Each pass writes its few counts, so a column
+is read four times, hot groups found included.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from burnish.operators.skew import HOT_ROWS, hot_groups
+from burnish.operators.skew import HOT_ROWS, hot_groups, small
+from burnish.session import checkpointed
 from burnish.table import PrepTable
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -43,12 +44,12 @@ def _locate(counts: DataFrame, keys: list[str], step: str, targets: DataFrame) -
     upto = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     ends = counts.withColumn("_end", F.sum("_m").over(upto))
     hit = (F.col("_r") >= F.col("_end") - F.col("_m")) & (F.col("_r") < F.col("_end"))
-    found = ends.join(F.broadcast(targets), keys).filter(hit)
+    found = ends.join(targets, keys).filter(hit)
     return found.withColumn("_r", F.col("_r") - F.col("_end") + F.col("_m")).drop("_end", "_m")
 
 
 def _hot_quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, float], hot: DataFrame) -> DataFrame:
-    """The cell-by-cell way, for at most 10,000 groups of any size."""
+    """The cell-by-cell way, for groups of any size."""
     x = F.col(value)
     wanted = []
     for i, p in enumerate(probs.values()):
@@ -60,18 +61,18 @@ def _hot_quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str,
         )
     targets = hot.select(*by, "_n", F.inline(F.array(*wanted)))
 
-    mine = rows.join(F.broadcast(hot.select(*by)), by).withColumn("_c1", _coarse_cell(x))
+    mine = rows.join(small(hot.select(*by)), by).withColumn("_c1", _coarse_cell(x))
     coarse = mine.groupBy(*by, "_c1").agg(F.count("*").alias("_m"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    at1 = _locate(coarse, by, "_c1", targets)
+    at1 = checkpointed(_locate(coarse, by, "_c1", targets), "coarse")
 
     keys1 = [*by, "_c1"]
-    in1 = mine.join(F.broadcast(at1.select(*keys1, "_lo", "_hi").distinct()), keys1)
+    in1 = mine.join(small(at1.select(*keys1, "_lo", "_hi").distinct()), keys1)
     in1 = in1.withColumn("_c2", _fine_cell(x)).drop("_lo", "_hi")
     fine = in1.groupBy(*keys1, "_c2").agg(F.count("*").alias("_m"))
-    at2 = _locate(fine, keys1, "_c2", at1.drop("_lo", "_hi"))
+    at2 = checkpointed(_locate(fine, keys1, "_c2", at1.drop("_lo", "_hi")), "fine")
 
     keys2 = [*keys1, "_c2"]
-    in2 = in1.join(F.broadcast(at2.select(*keys2).distinct()), keys2)
+    in2 = in1.join(small(at2.select(*keys2).distinct()), keys2)
     distinct = in2.groupBy(*keys2, value).agg(F.count("*").alias("_m"))
     at3 = _locate(distinct, keys2, value, at2)
 
@@ -89,24 +90,11 @@ def _between(low: Column, high: Column, place: Column) -> Column:
     return F.when((low == high) | (part == 0), low).otherwise(low + (high - low) * part)
 
 
-def _ranked_quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """The direct way: values of a group in order, with their counts."""
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_m"))
-    ranked = counts.withColumn("_end", F.sum("_m").over(upto)).withColumn("_n", F.sum("_m").over(whole))
-
-    def at(rank: Column) -> Column:
-        here = (rank >= F.col("_end") - F.col("_m")) & (rank < F.col("_end"))
-        return F.max(F.when(here, F.col(value)))
-
-    out = []
-    for name, p in probs.items():
-        place = (F.col("_n") - 1) * F.lit(p)
-        last = (F.max("_n") - 1) * F.lit(p)
-        low, high = at(F.floor(place)), at(F.least(F.floor(place) + 1, F.col("_n") - 1))
-        out.append(_between(low, high, last).alias(name))
-    return ranked.groupBy(*by).agg(*out)
+def _bounded_quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """The direct way, for groups whose distinct values fit a buffer: one aggregation, no sort by group."""
+    points = F.array(*[F.lit(float(p)) for p in probs.values()])
+    q = rows.groupBy(*by).agg(F.percentile(value, points).alias("_q"))
+    return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
 
 
 def group_quantiles(
@@ -125,10 +113,10 @@ def group_quantiles(
     """
     rows = rows.select(*by, F.col(value)).filter(F.col(value).isNotNull())
     if at_most is not None and at_most <= hot_rows:
-        return _ranked_quantiles(rows, by, value, probs)
+        return _bounded_quantiles(rows, by, value, probs)
     hot = hot_groups(rows, by, hot_rows)
-    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti")
-    return _ranked_quantiles(cold, by, value, probs).unionByName(_hot_quantiles(rows, by, value, probs, hot))
+    cold = rows.join(small(hot.select(*by)), by, "left_anti")
+    return _bounded_quantiles(cold, by, value, probs).unionByName(_hot_quantiles(rows, by, value, probs, hot))
 
 
 def column_quantiles(

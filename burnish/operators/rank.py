@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from burnish.functions.cells import col
+from burnish.functions.cells import col, fresh
 from burnish.session import scratch_path
 from burnish.table import ROW_ID
 
@@ -30,19 +30,34 @@ def renumber(df: DataFrame) -> DataFrame:
     the shifts are a broadcast of bounded size.
     """
     names = [c for c in df.columns if c != ROW_ID]
+    cell, n, before, at = fresh(names, "_cell", "_n", "_before", "_at")
     top = df.agg(F.max(ROW_ID)).scalar()
     width = F.greatest(F.ceil(top / F.lit(CELLS)), F.lit(MIN_WIDTH))
-    celled = df.withColumn("_cell", F.floor(F.col(ROW_ID) / width))
-    counts = celled.groupBy("_cell").agg(F.count("*").alias("_n"))
-    shifts = _running_before(counts, [F.col("_cell")], "_n", "_before").select("_cell", "_before")
-    within = Window.partitionBy("_cell").orderBy(ROW_ID)
+    celled = df.withColumn(cell, F.floor(F.col(ROW_ID) / width))
+    counts = celled.groupBy(cell).agg(F.count("*").alias(n))
+    shifts = _running_before(counts, [F.col(cell)], n, before).select(cell, before)
+    within = Window.partitionBy(cell).orderBy(ROW_ID)
     return (
-        celled.withColumn("_at", F.row_number().over(within))
-        .join(F.broadcast(shifts), "_cell")
-        .select((F.col("_before") + F.col("_at")).alias(ROW_ID), *[col(c) for c in names])
+        celled.withColumn(at, F.row_number().over(within))
+        .join(F.broadcast(shifts), cell)
+        .select((F.col(before) + F.col(at)).alias(ROW_ID), *[col(c) for c in names])
     )
 
 
+def positions(df: DataFrame, ids: list[int]) -> dict[int, int]:
+    """The places, from 1, of a few row ids in a table with gaps: one count, no shuffle of rows."""
+    asked = sorted(set(ids))
+    if not asked:
+        return {}
+    below = F.size(F.filter(F.array(*[F.lit(i).cast("long") for i in asked]), lambda i: i < F.col(ROW_ID)))
+    found = {r["below"]: r["n"] for r in df.groupBy(below.alias("below")).agg(F.count("*").alias("n")).collect()}
+    out, seen = {}, 0
+    for k, i in enumerate(asked):
+        seen += found.get(k, 0)
+        out[i] = seen
+    return out
+
+
 def file_row_ids(df: DataFrame) -> DataFrame:
     """Number the rows of a parquet scan in file order.
 
@@ -50,20 +65,19 @@ def file_row_ids(df: DataFrame) -> DataFrame:
     file are computed: no sort and no shuffle of the rows.
     """
     names = df.columns
-    tagged = df.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")
-    )
+    file, at, n, before = fresh(names, "_file", "_at", "_n", "_before")
+    tagged = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
     n_files = len(df.inputFiles())
     if n_files <= 1:
-        return tagged.select((F.col("_at") + 1).alias(ROW_ID), *[col(c) for c in names])
-    folder = F.regexp_replace("_file", "[^/]*$", "")
-    part = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
-    counts = tagged.groupBy("_file").agg(F.count("*").alias("_n"))
-    shifts = _running_before(counts, [folder, part, F.col("_file")], "_n", "_before").select("_file", "_before")
+        return tagged.select((F.col(at) + 1).alias(ROW_ID), *[col(c) for c in names])
+    folder = F.regexp_replace(file, "[^/]*$", "")
+    part = F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).try_cast("long")
+    counts = tagged.groupBy(file).agg(F.count("*").alias(n))
+    shifts = _running_before(counts, [folder, part, F.col(file)], n, before).select(file, before)
     if n_files <= BROADCAST_FILES:
         shifts = F.broadcast(shifts)
-    return tagged.join(shifts, "_file").select(
-        (F.col("_before") + F.col("_at") + 1).alias(ROW_ID), *[col(c) for c in names]
+    return tagged.join(shifts, file).select(
+        (F.col(before) + F.col(at) + 1).alias(ROW_ID), *[col(c) for c in names]
     )
 
 

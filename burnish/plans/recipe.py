@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
 from burnish.operators import clean
+from burnish.operators.edits import apply_edits
+from burnish.session import checkpointed
 from burnish.table import PrepTable
 
+
+
+def edit_cells(t: PrepTable, path: str) -> PrepTable:
+    """Apply the batch of edits that is kept as a table at ``path``."""
+    return apply_edits(t, t.df.sparkSession.read.parquet(path))
+
+
 ACTIONS = {
+    "edit_cells": edit_cells,
     "remove_duplicates": clean.remove_duplicates,
     "drop_missing": clean.drop_missing,
     "fill_missing": clean.fill_missing,
@@ -21,6 +30,7 @@ ACTIONS = {
 }
 
 TITLES = {
+    "edit_cells": "Edit cells",
     "remove_duplicates": "Remove duplicates",
     "drop_missing": "Drop missing rows",
     "fill_missing": "Fill missing cells",
@@ -62,9 +72,17 @@ class Recipe:
     def then(self, action: str, **params) -> Recipe:
         return Recipe((*self.steps, Step(action, params)))
 
-    def apply(self, t: PrepTable) -> PrepTable:
-        """Run the steps one after the other; rows are computed when asked for."""
-        return reduce(apply_step, self.steps, t)
+    def apply(self, t: PrepTable, cut_every: int | None = None) -> PrepTable:
+        """Run the steps one after the other; rows are computed when asked for.
+
+        ``cut_every`` writes the table to the shared folder every so many steps, so that
+        a later step's statistic does not run all earlier steps again.
+        """
+        for number, step in enumerate(self.steps, 1):
+            t = apply_step(t, step)
+            if cut_every and number % cut_every == 0:
+                t = t.with_df(checkpointed(t.df))
+        return t
 
     def to_json(self) -> str:
         return json.dumps([asdict(s) for s in self.steps])

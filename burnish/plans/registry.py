@@ -51,7 +51,7 @@ def load(spark: SparkSession, sf: str, name: str, row_ids: bool = True) -> PrepT
 def derive(t: PrepTable, *columns: Column) -> PrepTable:
     """The table with other columns, row ids kept."""
     keep = [F.col(ROW_ID)] if t.has_row_ids else []
-    return PrepTable.of(t.df.select(*keep, *columns), t.name, at_most=t.at_most)
+    return PrepTable.of(t.df.select(*keep, *columns), t.name, at_most=t.at_most, dense=t.dense)
 
 
 # --- tables with missing cells -------------------------------------------------
@@ -292,9 +292,15 @@ def _(spark, sf):
     return profile.distinct_profile(lineitem(spark, sf))
 
 
-@register("profile_distinct_approx")
+@register(
+    "profile_distinct_approx",
+    "SELECT i::INTEGER AS position, true AS near FROM range((SELECT count(*) FROM (DESCRIBE lineitem))) r(i)",
+)
 def _(spark, sf):
-    return profile.distinct_profile(lineitem(spark, sf), exact=False)
+    t = load(spark, sf, "lineitem", row_ids=False)
+    exact = profile.distinct_profile(t).withColumnRenamed("unique", "exact")
+    near = F.abs(F.col("unique") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.15)
+    return profile.distinct_profile(t, exact=False).join(exact, "position").select("position", near.alias("near"))
 
 
 NUMERIC_SQL = """SELECT {i} AS position, '{c}' AS name, count({c}) AS n, min({c})::DOUBLE AS "min", max({c})::DOUBLE AS "max",
@@ -345,6 +351,27 @@ def _(spark, sf):
     return rounded(profile.profile(orders(spark, sf, row_ids=False)), **PROFILE_PLACES)
 
 
+ORDERS_KINDS = {
+    "o_orderkey": "Numeric", "o_custkey": "Numeric", "o_orderstatus": "Categorical", "o_totalprice": "Numeric",
+    "o_orderdate": "Date", "o_orderpriority": "Categorical",
+}
+
+
+@register(
+    "profile_whole_orders",
+    union(
+        [
+            f"""SELECT {i} AS position, '{c}' AS name, '{k}' AS kind, count(*) AS "rows", count(*) - count({c}) AS missing_count,
+ round_even(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_pct, count(DISTINCT {c}) AS "unique" FROM orders"""
+            for i, (c, k) in enumerate(ORDERS_KINDS.items())
+        ]
+    ),
+)
+def _(spark, sf):
+    t = load(spark, sf, "orders", row_ids=False)
+    return profile.missing_profile(t).join(profile.distinct_profile(t), "position")
+
+
 @register("profile_approx")
 def _(spark, sf):
     return profile.profile(orders(spark, sf, row_ids=False), exact=False)
@@ -485,6 +512,58 @@ def _(spark, sf):
     return out.select("_rank", ROW_ID, "o_orderkey", "o_totalprice")
 
 
+@register(
+    "grid_page_of_search",
+    f"""WITH {CUSTOMER}, h AS (SELECT * EXCLUDE (_rowId), row_number() OVER (ORDER BY _rowId) AS _rowId FROM d WHERE c_mktsegment = 'BUILDING')
+SELECT * FROM h WHERE _rowId BETWEEN 6 AND 10""",
+)
+def _(spark, sf):
+    return grid.page(grid.filter_equals(customer(spark, sf), "c_mktsegment", "BUILDING"), 2, 5).rows
+
+
+@register(
+    "grid_page_after_dedup",
+    """WITH p AS (SELECT row_number() OVER () AS pos, p_name, p_brand, p_type FROM part),
+u AS (SELECT min(pos) AS pos, p_name, p_brand, p_type FROM p GROUP BY ALL),
+d AS (SELECT row_number() OVER (ORDER BY pos) AS _rowId, p_name, p_brand, p_type FROM u)
+SELECT * FROM d ORDER BY p_brand DESC, _rowId LIMIT 20 OFFSET 40""",
+)
+def _(spark, sf):
+    t = derive(load(spark, sf, "part"), *[F.col(c) for c in ("p_name", "p_brand", "p_type")])
+    return grid.page(clean.remove_duplicates(t), 3, 20, sort_column="p_brand", ascending=False).rows
+
+
+@register(
+    "grid_page_clashing_names",
+    """WITH d AS (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_custkey AS _id, c_nationkey AS _cell, c_acctbal AS _rank FROM customer),
+h AS (SELECT row_number() OVER (ORDER BY n) AS _rowId, _id, _cell, _rank FROM d WHERE _cell = 3)
+SELECT * FROM h ORDER BY _rank, _rowId LIMIT 5""",
+)
+def _(spark, sf):
+    t = load(spark, sf, "customer")
+    t = derive(t, F.col("c_custkey").alias("_id"), F.col("c_nationkey").alias("_cell"), F.col("c_acctbal").alias("_rank"))
+    return grid.page(grid.filter_equals(t, "_cell", "3").numbered(), 1, 5, sort_column="_rank").rows
+
+
+@register(
+    "grid_search_number",
+    "SELECT row_number() OVER (ORDER BY o_orderkey) AS _rowId, o_orderkey, o_totalprice FROM orders QUALIFY contains(o_totalprice::VARCHAR, '77.1')",
+)
+def _(spark, sf):
+    t = derive(load(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_totalprice"))
+    return grid.search(t, "77.1", regex=False).df
+
+
+@register(
+    "grid_search_accents",
+    """WITH d AS (SELECT doc_id, text, lang, row_number() OVER (ORDER BY doc_id) AS _rowId FROM documents)
+SELECT _rowId, doc_id FROM d WHERE contains(lower(text), 'été') OR contains(lower(text), 'ñas')""",
+)
+def _(spark, sf):
+    t = derive(load(spark, sf, "documents"), F.col("doc_id"), F.col("text"), F.col("lang"))
+    return grid.search(t, "ÉTÉ|ÑAS").df.select(ROW_ID, "doc_id")
+
+
 @register(
     "grid_search",
     f"""WITH {CUSTOMER} SELECT * FROM d WHERE regexp_matches(c_name, '(?i)(mach.*ry|er#0+1)')
@@ -521,10 +600,10 @@ def _(spark, sf):
 @register(
     "grid_display",
     f"""WITH {ORDERS} SELECT _rowId, o_orderkey::VARCHAR AS o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus,
- coalesce(o_orderpriority, '') AS o_orderpriority FROM d""",
+ coalesce(o_custkey::VARCHAR, '') AS o_custkey, coalesce(o_totalprice::VARCHAR, '') AS o_totalprice, coalesce(o_orderpriority, '') AS o_orderpriority FROM d""",
 )
 def _(spark, sf):
-    return grid.display(orders(spark, sf).df.select(ROW_ID, "o_orderkey", "o_orderstatus", "o_orderpriority"))
+    return grid.display(orders(spark, sf).df)
 
 
 def _edits(spark: SparkSession, sf: str) -> DataFrame:
@@ -547,6 +626,29 @@ def _edits(spark: SparkSession, sf: str) -> DataFrame:
     return rich.unionByName(poor).select(ROW_ID, "e.*")
 
 
+@register(
+    "recipe_with_edits",
+    """SELECT row_number() OVER (ORDER BY c_custkey) AS _rowId, c_custkey, c_name,
+ CASE WHEN c_acctbal > 9000 THEN 99 ELSE c_nationkey END::BIGINT AS c_nationkey, c_acctbal,
+ CASE WHEN c_acctbal > 9000 THEN 'SECOND' WHEN c_acctbal < 0 THEN 'none' ELSE c_mktsegment END AS c_mktsegment FROM customer""",
+)
+def _(spark, sf):
+    s = PrepSession(load(spark, sf, "customer"))
+    s.edit(_edits(spark, sf))
+    s.apply("fill_missing", column="c_mktsegment", strategy="custom", value="none")
+    return Recipe.from_json(s.recipe().to_json()).apply(load(spark, sf, "customer")).df
+
+
+@register(
+    "apply_edits_rejected",
+    "SELECT row_number() OVER (ORDER BY c_custkey) AS _rowId, c_custkey, c_acctbal FROM customer",
+)
+def _(spark, sf):
+    t = derive(load(spark, sf, "customer"), F.col("c_custkey"), F.col("c_acctbal"))
+    lost = t.df.select((F.col(ROW_ID) + 10**9).alias(ROW_ID), F.lit("c_acctbal").alias("column"), F.lit("text").alias("value"), F.lit(1).cast("long").alias("seq"))
+    return edits.apply_edits(t, lost).df
+
+
 @register(
     "apply_edits",
     """SELECT row_number() OVER (ORDER BY c_custkey) AS _rowId, c_custkey, c_name,
@@ -797,9 +899,13 @@ def _(spark, sf):
     return _session(spark, sf, audit=True).recent(3).drop("at")
 
 
-@register("operation_ledger")
+@register(
+    "operation_ledger",
+    f"{LOG_SQL} SELECT 'Step #' || id || ' - at - ' || title || ' - ' || description AS value FROM l",
+)
 def _(spark, sf):
-    return _session(spark, sf, audit=True).ledger()
+    lines = _session(spark, sf, audit=True).ledger()
+    return lines.select(F.regexp_replace("value", r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", "at").alias("value"))
 
 
 def recipe() -> Recipe:
@@ -862,12 +968,21 @@ def _(spark, sf):
     "chart_histogram",
     """WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
  h AS (SELECT CAST(least(9, floor((value - lo) / ((hi - lo) / 10))) AS BIGINT) AS bin, count(*) AS n FROM events, r GROUP BY 1)
-SELECT bin, round(lo + bin * (hi - lo) / 10, 6) AS "from", round(lo + (bin + 1) * (hi - lo) / 10, 6) AS "to", n AS "count" FROM h, r""",
+SELECT b.bin, round(lo + b.bin * (hi - lo) / 10, 6) AS "from", round(lo + (b.bin + 1) * (hi - lo) / 10, 6) AS "to", coalesce(n, 0) AS "count"
+ FROM range(10) b(bin) CROSS JOIN r LEFT JOIN h ON b.bin = h.bin""",
 )
 def _(spark, sf):
     return rounded(charts.histogram(load(spark, sf, "events", row_ids=False), "value"), **{"from": 6, "to": 6})
 
 
+@register(
+    "chart_filter_double",
+    "SELECT l_returnflag AS x, count(*) AS count FROM lineitem WHERE l_discount = 0.05 GROUP BY 1",
+)
+def _(spark, sf):
+    return charts.bar(charts.where(lineitem(spark, sf), "l_discount", "0.05"), "l_returnflag")
+
+
 @register("chart_scatter", "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem")
 def _(spark, sf):
     return charts.scatter(lineitem(spark, sf), "l_quantity", "l_extendedprice")
@@ -1099,6 +1214,30 @@ def _(spark, sf):
     return r.predictions.select(ROW_ID, "label", "prediction")
 
 
+@register(
+    "ml_tree_reg_groups",
+    f"""WITH d AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS _rowId, o_orderstatus, o_totalprice FROM orders), {_split_sql('d')},
+m AS (SELECT o_orderstatus, avg(o_totalprice) AS prediction FROM s WHERE train GROUP BY 1)
+SELECT _rowId, o_totalprice AS label, round(prediction, 3) AS prediction FROM s JOIN m USING (o_orderstatus) WHERE NOT train""",
+)
+def _(spark, sf):
+    r = train(load(spark, sf, "orders"), "tree_reg", ["o_orderstatus"], "o_totalprice")
+    return rounded(r.predictions.select(ROW_ID, "label", "prediction"), prediction=3)
+
+
+@register(
+    "ml_tree_class_groups",
+    f"""WITH d AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS _rowId, o_orderstatus,
+ (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::DOUBLE AS y FROM orders), {_split_sql('d')},
+c AS (SELECT o_orderstatus, y, count(*) AS n FROM s WHERE train GROUP BY ALL),
+m AS (SELECT o_orderstatus, arg_max(y, n * 1000 - y) AS prediction FROM c GROUP BY 1)
+SELECT _rowId, y AS label, prediction FROM s JOIN m USING (o_orderstatus) WHERE NOT train""",
+)
+def _(spark, sf):
+    r = train(load(spark, sf, "orders"), "tree_class", ["o_orderstatus"], "o_orderpriority")
+    return r.predictions.select(ROW_ID, "label", "prediction")
+
+
 @register("ml_knn_scaled")
 def _(spark, sf):
     t = load(spark, sf, "part")
@@ -1236,8 +1375,8 @@ def _(spark, sf):
 
 SHAP = f"""WITH {ORDERS_PLAIN}, {_split_sql('d')}, m AS (SELECT avg(o_custkey) AS mx, stddev_pop(o_custkey) AS sx,
  regr_slope(o_totalprice, o_custkey) AS w FROM s WHERE train),
-b AS (SELECT avg(o_custkey) AS base FROM (SELECT o_custkey FROM s WHERE train ORDER BY h, _rowId LIMIT 100)),
-e AS (SELECT _rowId, o_custkey FROM s WHERE NOT train ORDER BY h, _rowId LIMIT 100),
+b AS (SELECT avg(o_custkey) AS base FROM s WHERE train),
+e AS (SELECT _rowId, o_custkey FROM s WHERE NOT train),
 x AS (SELECT _rowId, 'o_custkey' AS feature, (o_custkey - mx) / sx AS value, w * (o_custkey - base) AS phi FROM e, m, b)"""
 
 
@@ -1330,6 +1469,15 @@ def _(spark, sf):
     return sinks.preview(customer(spark, sf), "csv")
 
 
+@register(
+    "export_preview_filtered",
+    f"""WITH {CUSTOMER} SELECT value FROM (SELECT c_custkey || ',' || c_name || ',' || c_nationkey || ',' || coalesce(c_acctbal::VARCHAR, '') || ',' || c_mktsegment AS value
+ FROM d WHERE c_mktsegment = 'BUILDING' ORDER BY _rowId LIMIT 10) UNION ALL SELECT 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment'""",
+)
+def _(spark, sf):
+    return sinks.preview(grid.filter_equals(customer(spark, sf), "c_mktsegment", "BUILDING"), "csv")
+
+
 @register(
     "export_preview_json",
     f"""WITH {CUSTOMER} SELECT '{{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_acctbal":' || coalesce(c_acctbal::VARCHAR, 'null') || '}}' AS value

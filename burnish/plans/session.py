@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.operators import clean
-from burnish.operators.edits import apply_edits
 from burnish.plans.recipe import Recipe, Step, apply_step
-from burnish.session import checkpointed
+from burnish.session import checkpointed, scratch_path
 from burnish.sources.inference import reinfer
 from burnish.table import PrepTable
 
@@ -60,10 +59,11 @@ class PrepSession:
         step = Step(action, params)
         after = apply_step(self.table, step)
         note = step.describe()
-        if self.audit:
+        if self.audit or action == "fill_missing":
             touched = clean.affected(self.table, action, **params).first()["affected"]
             if action == "fill_missing" and not touched:
-                return self.table
+                return self.table  # nothing to fill: no step, no log entry
+        if self.audit:
             note = f"{note}; affected {touched}"
         self._push()
         if self.cut_every and (len(self.steps) + 1) % self.cut_every == 0:
@@ -74,11 +74,20 @@ class PrepSession:
         return self.table
 
     def edit(self, edits: DataFrame) -> PrepTable:
-        """Apply a batch of cell edits to the current table."""
-        after = apply_edits(self.table, edits)
+        """Apply a batch of cell edits to the current table.
+
+        The batch is kept as a table in the shared folder, which the recipe's step names.
+        """
+        path = scratch_path(self.table.df.sparkSession, "edits")
+        edits.write.parquet(path)
+        step = Step("edit_cells", {"path": path})
+        after = apply_step(self.table, step)
         self._push()
+        if self.cut_every and (len(self.steps) + 1) % self.cut_every == 0:
+            after = after.with_df(checkpointed(after.df))
         self.table = after
-        self._write("Edit cells", "a batch of cell edits")
+        self.steps = [*self.steps, step]
+        self._write(step.title, "a batch of cell edits")
         return self.table
 
     def undo(self) -> bool:

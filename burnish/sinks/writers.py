@@ -47,7 +47,12 @@ def _as_text(df: DataFrame) -> DataFrame:
 def write_csv(
     t: PrepTable, path: str, delimiter: str = ",", header: bool = True, ordered: bool = True, mode: str = "error"
 ) -> None:
-    _as_text(_rows(t, ordered)).write.mode(mode).csv(path, **_csv_options(delimiter, header))
+    texts, options = _as_text(_rows(t, ordered)), _csv_options(delimiter, header)
+    if len(t.columns) == 1:
+        # a missing cell alone on its line would be a blank line, which readers skip
+        (name,) = texts.columns
+        texts, options = texts.select(F.coalesce(col(name), F.lit("")).alias(name)), options | {"emptyValue": '""'}
+    texts.write.mode(mode).csv(path, **options)
 
 
 def write_json(t: PrepTable, path: str, ordered: bool = True, mode: str = "error") -> None:
@@ -106,9 +111,8 @@ def preview(
     """The first lines an export would hold."""
     if format not in FORMATS:
         raise ValueError(f"unsupported format: {format}")
-    t = t.numbered()
-    first = t.with_df(t.df.filter(F.col(ROW_ID) <= rows).coalesce(1).sortWithinPartitions(ROW_ID))
-    df = first.df.select(*[col(c) for c in t.columns])
+    t.require_row_ids()
+    df = t.df.orderBy(ROW_ID).limit(rows).select(*[col(c) for c in t.columns])  # a top-k: every task passes on a few rows
     if format == "json":
         return json_lines(df)
     if format == "sql":

@@ -4,34 +4,75 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from burnish.functions.cells import NA_TOKENS, col, strip_missing
+from burnish.functions.cells import NA_TOKENS, col, fresh, strip_missing
 from burnish.operators.rank import BROADCAST_FILES
 from burnish.sources.inference import infer
 from burnish.table import ROW_ID, PrepTable
 
 
+#: How many fields beyond the header are looked at in a row of another length.
+SURPLUS = 64
+
+
+def header_names(found: list[str | None]) -> list[str]:
+    """Column names from a header: a repeated one gets .1, .2; an empty one its position."""
+    names: list[str] = []
+    for i, name in enumerate(found):
+        name = name if name else f"Unnamed: {i}"
+        base, k = name, 0
+        while name in names:
+            k += 1
+            name = f"{base}.{k}"
+        names.append(name)
+    return names
+
+
 def scan_csv(
     spark: SparkSession, path: str, delimiter: str = ",", has_header: bool = True, multi_line: bool = True
 ) -> DataFrame:
-    """All columns as text, named by the header or ``Col0..ColN``."""
-    delimiter = "\t" if delimiter == "\\t" else delimiter
-    df = spark.read.csv(
-        path,
-        sep=delimiter,
-        header=has_header,
+    """All columns as text, named by the header or ``Col0..ColN``.
+
+    Every file must have the header of the first. A row with more fields than the header
+    raises when it is read, unless what it has more is empty; a shorter one is filled
+    with nulls.
+    """
+    options = dict(
+        sep="\t" if delimiter == "\\t" else delimiter,
         quote='"',
         escape='"',
-        multiLine=multi_line,
         encoding="UTF-8",
-        inferSchema=False,
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
-    if not has_header:
-        return df.withColumnsRenamed({f"_c{i}": f"Col{i}" for i in range(len(df.columns))})
-    return df.withColumnsRenamed({f"_c{i}": f"Unnamed: {i}" for i in range(len(df.columns))})
+    first = spark.read.csv(path, header=False, multiLine=multi_line, inferSchema=False, **options).first()
+    found = [] if first is None else list(first)
+    names = header_names(found) if has_header else [f"Col{i}" for i in range(len(found))]
+    if not names:
+        return spark.read.csv(path, header=has_header, multiLine=multi_line, **options)
+    (bad,) = fresh(names, "_corrupt")
+    fields = [T.StructField(n, T.StringType()) for n in names]
+    # a header that had to be renamed cannot be checked against the files' own
+    checked = has_header and names == found
+    df = spark.read.csv(
+        path,
+        schema=T.StructType([*fields, T.StructField(bad, T.StringType())]),
+        header=has_header,
+        multiLine=multi_line,
+        columnNameOfCorruptRecord=bad,
+        enforceSchema=not checked,
+        **options,
+    )
+    # a row of another length is flagged; read with more fields, a longer one fills those
+    wide = ", ".join(f"f{i} string" for i in range(len(names) + SURPLUS))
+    as_text = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}
+    parsed = F.from_csv(F.col(bad), wide, as_text)
+    extra = F.coalesce(*[parsed[f"f{len(names) + i}"] for i in range(SURPLUS)])
+    said = F.concat(F.lit(f"a row has more than {len(names)} fields: "), F.coalesce(F.col(bad), col(names[0])))
+    fits = F.when(F.col(bad).isNotNull() & extra.isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True)
+    return df.filter(fits).select(*[col(n) for n in names])
 
 
 def number_lines(df: DataFrame) -> tuple[DataFrame, int]:
@@ -41,22 +82,21 @@ def number_lines(df: DataFrame) -> tuple[DataFrame, int]:
     id less the block's first. Only one entry per block is shuffled.
     """
     names = df.columns
+    file, block, run, first, n, shift = fresh(names, "_file", "_block", "_run", "_first", "_n", "_shift")
     tagged = df.select(
         "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_run"),
-    )
-    blocks = tagged.groupBy("_file", "_block").agg(F.min("_run").alias("_first"), F.count("*").alias("_n"))
-    size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = blocks.select(
-        "_file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
+        F.col("_metadata.file_path").alias(file),
+        F.col("_metadata.file_block_start").alias(block),
+        F.monotonically_increasing_id().alias(run),
     )
+    blocks = tagged.groupBy(file, block).agg(F.min(run).alias(first), F.count("*").alias(n))
+    size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(n), F.lit(0)).alias("rows")).first()
+    earlier = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = blocks.select(file, block, (F.coalesce(F.sum(n).over(earlier), F.lit(0)) - F.col(first) + 1).alias(shift))
     if size["blocks"] <= BROADCAST_FILES:
         shifts = F.broadcast(shifts)
-    numbered = tagged.join(shifts, ["_file", "_block"])
-    return numbered.select((F.col("_run") + F.col("_shift")).alias(ROW_ID), *[col(c) for c in names]), size["rows"]
+    numbered = tagged.join(shifts, [file, block])
+    return numbered.select((F.col(run) + F.col(shift)).alias(ROW_ID), *[col(c) for c in names]), size["rows"]
 
 
 def read_csv(

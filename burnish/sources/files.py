@@ -25,4 +25,4 @@ def read_parquet(
     name = name or path.rstrip("/").split("/")[-1]
     if infer_text:
         return infer(strip_missing(df, NA_TOKENS), name, at_most=rows)
-    return PrepTable.of(df, name, at_most=rows)
+    return PrepTable.of(df, name, at_most=rows, dense=True)

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from burnish.functions.cells import NESTED, TEMPORAL, col, number, strip_missing, text
+from burnish.functions.cells import FLOATING, NESTED, TEMPORAL, col, number, strip_missing
+from burnish.functions.text import plain_number
 
 ROW_ID = "_rowId"
 
@@ -30,7 +31,7 @@ def kind_of_type(dtype: T.DataType) -> str:
 
 @dataclass(frozen=True)
 class PrepTable:
-    """A DataFrame, the kind of each column, and whether row ids run 1..n.
+    """A DataFrame, the kind of each column, and whether row ids are known to run 1..n.
 
     Operators that remove rows leave gaps in ``_rowId`` and set ``dense`` to
     False. ``numbered()`` closes the gaps, so a chain of removals pays for one
@@ -48,12 +49,19 @@ class PrepTable:
 
     @staticmethod
     def of(
-        df: DataFrame, name: str = "", kinds: Mapping[str, str] | None = None, at_most: int | None = None
+        df: DataFrame,
+        name: str = "",
+        kinds: Mapping[str, str] | None = None,
+        at_most: int | None = None,
+        dense: bool = False,
     ) -> PrepTable:
-        """Wrap a typed DataFrame; kinds come from the column types."""
+        """Wrap a typed DataFrame; kinds come from the column types.
+
+        ``dense`` vouches for row ids that run 1..n; others are closed up when used.
+        """
         if kinds is None:
             kinds = {f.name: kind_of_type(f.dataType) for f in df.schema.fields if f.name != ROW_ID}
-        return PrepTable(strip_missing(df), dict(kinds), name, at_most=at_most)
+        return PrepTable(strip_missing(df), dict(kinds), name, dense, at_most)
 
     @property
     def columns(self) -> list[str]:
@@ -93,7 +101,9 @@ class PrepTable:
         return number(name, self.dtype(name))
 
     def text(self, name: str) -> Column:
-        return text(name)
+        """Cells as users see them: numbers without an exponent where they are of usual size."""
+        dtype = self.dtype(name)
+        return plain_number(col(name), dtype) if isinstance(dtype, FLOATING) else col(name).cast("string")
 
     def with_df(self, df: DataFrame, **changes) -> PrepTable:
         return replace(self, df=df, **changes)
