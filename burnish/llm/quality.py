@@ -91,14 +91,16 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(x), -700, 700)))
 
 
-def fit(labelled: DataFrame, text_col: str, label_col: str, shrink: float, ridge: float, temper: float) -> Discriminant:
-    """Sums of x and xx' by class over all labelled rows; two rows reach the driver."""
+def fit(labelled: DataFrame, shrink: float, ridge: float, temper: float) -> Discriminant:
+    """Sums of x and xx' by class over all rows (x, label); two rows reach the driver."""
     d = len(FEATURES)
 
     def sums(batches):
         n, s, q = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for batch in batches:
-            x, y = table_of(batch["text"]), batch["label"].to_numpy()
+            if not len(batch):
+                continue
+            x, y = np.stack(batch["x"].to_numpy()).astype(float), batch["label"].to_numpy()
             for c in (0, 1):
                 own = x[y == c]
                 n[c] += len(own)
@@ -106,10 +108,10 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, shrink: float, ridge
                 q[c] += own.T @ own
         yield pd.DataFrame({"label": [0, 1], "values": [np.concatenate([[n[c]], s[c], q[c].ravel()]) for c in (0, 1)]})
 
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)")
     width = 1 + d + d * d
     total = (
-        rows.mapInPandas(sums, "label int, values array<double>")
+        labelled.filter("label IN (0, 1)")
+        .mapInPandas(sums, "label int, values array<double>")
         .groupBy("label")
         .agg(*[F.sum(F.element_at("values", i + 1)).alias(f"v{i}") for i in range(width)])
         .collect()
@@ -158,9 +160,15 @@ def score_quality(
     columns pass through; columns named score or predicted are replaced.
     """
     texts = docs.filter(train) if train is not None else docs
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    joined = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(marks, "_id")
-    model = fit(joined, "_text", "_label", shrink, ridge, temper)
+
+    @F.pandas_udf("array<float>")
+    def x(text: pd.Series) -> pd.Series:
+        return pd.Series(list(table_of(text).astype(np.float32)))
+
+    # the statistics meet the labels, so that no text is shuffled
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = texts.select(F.col(id_col).alias("id"), x(F.col(text_col)).alias("x")).filter("id IS NOT NULL")
+    model = fit(known.join(marks, "id"), shrink, ridge, temper)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
