@@ -39,7 +39,7 @@ def mix_sources(
     docs: DataFrame,
     margins: dict[str, Column] | None = None,
     targets: dict[str, DataFrame] | None = None,
-    temper: float = 0.7,
+    temper: float = 0.85,
     rounds: int = 20,
     seed: int = 17,
     id_col: str = "doc_id",

@@ -128,7 +128,7 @@ c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(sum(tokens)
     ]
     for m in MARGINS:
         steps.append(
-            f"t_{m} AS (SELECT {m}, pow(sum(tokens) / any_value(total), 0.7) AS s FROM c WHERE tokens > 0 GROUP BY {m})"
+            f"t_{m} AS (SELECT {m}, pow(sum(tokens) / any_value(total), 0.85) AS s FROM c WHERE tokens > 0 GROUP BY {m})"
         )
         steps.append(f"n_{m} AS (SELECT {m}, s / sum(s) OVER () AS want_{m} FROM t_{m})")
     steps.append(
