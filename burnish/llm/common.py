@@ -16,7 +16,11 @@ from burnish.session import checkpointed
 SHARE = 10_000
 #: Bits of one repeat filter (16 MiB) and the pieces it is merged in.
 FILTER_BITS = 1 << 27
-SEGMENTS = 32
+SEGMENTS = 64
+#: Hashes that a task gathers before it makes filters of them.
+CHUNK = 2_000_000
+#: Rows of a batch that are worked on at a time; texts may be long.
+SLICE = 512
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -72,65 +76,97 @@ def filter_places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray
     return (hashes & m).astype(np.int64), ((hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) & m).astype(np.int64)
 
 
-def _pack(flags: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(flags).tobytes(), 1)
+def _pack(places: np.ndarray, size: int) -> bytes:
+    """Set bits of a segment: gaps between sorted places where few are set, else all bits."""
+    if len(places) * 16 < size:
+        return b"s" + zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)
+    flags = np.zeros(size, dtype=bool)
+    flags[places] = True
+    return b"d" + zlib.compress(np.packbits(flags).tobytes(), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+def _unpack(data: bytes, size: int) -> np.ndarray:
+    raw = zlib.decompress(memoryview(data)[1:])
+    if data[:1] == b"d":
+        return np.frombuffer(raw, dtype=np.uint8)
+    flags = np.zeros(size, dtype=bool)
+    flags[np.cumsum(np.frombuffer(raw, dtype="<u4"), dtype=np.int64)] = True
+    return np.packbits(flags)
 
 
-def repeat_filter(rows: DataFrame, hashes_of: Callable[[pd.DataFrame], list[np.ndarray]], bits: int = FILTER_BITS) -> bytes:
+def _or_into(bits: np.ndarray, data: bytes, size: int) -> np.ndarray:
+    """The bits that ``bits`` and ``data`` share; ``bits`` then has those of both."""
+    other = _unpack(data, size)
+    shared = bits & other
+    bits |= other
+    return shared
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = SLICE) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of a few rows, which keeps what is made of each small."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.iloc[a : a + rows]
+
+
+def repeat_filter(rows: DataFrame, hashes_of: Callable[[pd.DataFrame], np.ndarray], bits: int = FILTER_BITS) -> bytes:
     """A Bloom filter of the hashes that two or more documents have.
 
-    ``hashes_of`` turns a batch into one array of hashes, those of each document made
-    distinct. Each task keeps two filters, for hashes seen once and seen twice. When
-    two tasks' filters meet, what both have seen once has been seen twice:
-    twice = twice1 | twice2 | once1 & once2, bit by bit, so the merge loses nothing
-    and only adds false suspects. The filter's size is fixed, whatever the input;
-    beyond it more is suspected, and the exact steps behind it do the rest.
+    ``hashes_of`` turns a batch into hashes, those of each document distinct. Each task
+    makes two filters of up to CHUNK of its hashes at a time: those seen once, and
+    those seen twice. When two such pairs meet, what both have seen once has been seen
+    twice: twice = twice1 | twice2 | once1 & once2, bit by bit, so the merge loses
+    nothing and only adds false suspects. The filter's size is fixed, whatever the
+    input; beyond it more is suspected, and the exact steps behind it do the rest.
     """
     size = bits // SEGMENTS
 
+    def seen(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        hashes = np.sort(np.concatenate(found))
+        first = np.ones(len(hashes), dtype=bool)
+        first[1:] = hashes[1:] != hashes[:-1]
+        again = np.unique(hashes[~first])
+        once = np.unique(np.concatenate(filter_places(hashes[first], bits)))
+        twice = np.unique(np.concatenate(filter_places(again, bits)))
+        edges = np.arange(SEGMENTS + 1) * size
+        a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
+        for s in range(SEGMENTS):
+            if a[s + 1] > a[s]:
+                yield pd.DataFrame(
+                    {
+                        "segment": [s],
+                        "once": [_pack(once[a[s] : a[s + 1]] - s * size, size)],
+                        "twice": [_pack(twice[b[s] : b[s + 1]] - s * size, size)],
+                    }
+                )
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
-        used = False
-        for batch in batches:
-            found = hashes_of(batch)
-            if not len(found):
+        found, have = [], 0
+        for part in slices(batches):
+            hashes = hashes_of(part)
+            if not len(hashes):
                 continue
-            used = True
-            # equal hashes within the batch are counted first: bits that two of one
-            # batch's hashes share by chance must not make either a suspect
-            distinct, counts = np.unique(found, return_counts=True)
-            places = filter_places(distinct, bits)
-            seen = once[places[0]] & once[places[1]] | (counts > 1)
-            for p in places:
-                twice[p[seen]] = True
-            for p in places:
-                once[p] = True
-        if not used:
-            return
-        for s in range(SEGMENTS):
-            part = slice(s * size, (s + 1) * size)
-            if once[part].any():
-                yield pd.DataFrame({"segment": [s], "once": [_pack(once[part])], "twice": [_pack(twice[part])]})
+            found.append(hashes)
+            have += len(hashes)
+            if have >= CHUNK:
+                yield from seen(found)
+                found, have = [], 0
+        if have:
+            yield from seen(found)
 
     def merge(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once = np.zeros(size // 8, dtype=np.uint8)
-        twice = np.zeros(size // 8, dtype=np.uint8)
+        once, twice = np.zeros(size // 8, dtype=np.uint8), np.zeros(size // 8, dtype=np.uint8)
         for batch in batches:
             for a, b in zip(batch["once"], batch["twice"]):
-                other = _unpack(a)
-                twice |= _unpack(b) | once & other
-                once |= other
+                _or_into(twice, b, size)
+                twice |= _or_into(once, a, size)
         yield pd.DataFrame({"segment": [key[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
 
     partial = rows.mapInPandas(build, "segment int, once binary, twice binary")
     merged = partial.groupBy("segment").applyInPandas(merge, "segment int, twice binary")
     whole = np.zeros(bits // 8, dtype=np.uint8)
     for r in merged.toLocalIterator():
-        whole[r.segment * size // 8 : (r.segment + 1) * size // 8] = _unpack(r.twice)
+        whole[r.segment * size // 8 : (r.segment + 1) * size // 8] = np.frombuffer(zlib.decompress(r.twice), dtype=np.uint8)
     return whole.tobytes()
 
 

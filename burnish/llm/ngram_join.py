@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import SHARE, Suspects, attach, blocks, components, frequency_sketch, meet, mix, repeat_filter
+from burnish.llm.common import SHARE, SLICE, Suspects, attach, blocks, components, frequency_sketch, meet, mix, repeat_filter, slices
 from burnish.session import checkpointed
 
 #: Seeds of the least hashes that step 2 blocks by.
@@ -37,7 +37,7 @@ KEYS = 2
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1 << 20
 #: Words whose hashes a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,7 +190,7 @@ def jaccard_groups(
     percent: int = 75,
     id_col: str = "doc_id",
     text_col: str = "text",
-    filter_bits: int = 1 << 27,
+    filter_bits: int = 1 << 28,
 ) -> DataFrame:
     """(id, n_shingles, component_id) for every row.
 
@@ -208,16 +208,17 @@ def jaccard_groups(
     kind = rows.schema["id"].dataType.simpleString()
     texts = rows.select("text").filter("text IS NOT NULL")
 
+    words = Words()  # empty here; each task fills its own copy
+
     def hashes(batch: pd.DataFrame) -> np.ndarray:
-        words = Words()
         found = [shingles(t, words, n) for t in batch["text"]]
         return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
 
     repeated = repeat_filter(texts, hashes, filter_bits)
 
     def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        suspects, words = Suspects(repeated), Words()
-        for batch in batches:
+        suspects = Suspects(repeated)
+        for batch in slices(batches):
             out = []
             for i, text in zip(batch["id"], batch["text"]):
                 full = shingles(text, words, n)
@@ -263,7 +264,7 @@ def jaccard_groups(
     sketch = frequency_sketch(classes.select("set"), lambda b: np.concatenate([unpack(d) for d in b["set"]]) if len(b) else np.empty(0, np.uint64))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches, 4 * SLICE):
             heads = []
             for data, size in zip(batch["set"], batch["size"]):
                 own = unpack(data)

@@ -3,8 +3,8 @@
 A window is a string of ``window`` bytes. Every window has an anchor: its leftmost
 GRAM-byte string of least hash. Equal windows have equal anchors, so windows that share
 an anchor (runs of them overlap into one short string) can be routed by the anchor's
-hash and equal windows always meet. A repeat filter keeps back the runs whose anchor
-occurs in one document only.
+hash and equal windows always meet. A repeat filter keeps back windows whose anchor,
+taken with the bytes beside it, occurs in one document only.
 
 The routed strings of a part are made distinct and cut into shards. Each shard gets a
 suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's walk; a
@@ -18,23 +18,25 @@ hold is met once a batch, not once a document.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import Suspects, blocks, column, mix, packed, repeat_filter, unpacked
+from burnish.llm.common import MIX1, MIX2, Suspects, blocks, column, mix, packed, repeat_filter, unpacked
 from burnish.session import checkpointed
 
 GRAM = 16
 #: Bytes of documents handled at once, of a shard, and of the strings of one part.
 BATCH = 4 << 20
-SHARD = 8 << 20
-PART = 6 << 20
+SHARD = 2 << 20
+PART = 10 << 20
+#: Bytes of texts whose anchors are found in one go.
+PIECE = 1 << 19
 LOW32 = np.uint64(0xFFFFFFFF)
 HIGH32 = np.uint64(0xFFFFFFFF00000000)
 
@@ -168,25 +170,105 @@ class Shard:
         return self.string[a], self.offset[a], self.offset[b], least[a]
 
 
+def alike(strings: list[bytes], length: np.ndarray, gram: np.ndarray, window: int) -> np.ndarray:
+    """Which of the distinct strings may share a window with another one.
+
+    Only strings of one anchor can, and of those only strings that have a window of
+    equal hash; a hash met by chance costs a needless place in a suffix array.
+    """
+    _, group, size = np.unique(gram, return_inverse=True, return_counts=True)
+    shared = size[group] > 1
+    picked = np.flatnonzero(shared)
+    if not len(picked):
+        return shared
+    hashes, owners = [], []
+    for a in range(0, len(picked), 1 << 14):
+        some = picked[a : a + (1 << 14)]
+        data = np.frombuffer(b"".join([strings[k] for k in some]) + bytes(2 * GRAM), dtype=np.uint8)
+        g = grams(data)
+        spots = length[some] - window + 1
+        start = np.cumsum(length[some]) - length[some]
+        at = np.repeat(start, spots) + np.arange(spots.sum()) - np.repeat(np.cumsum(spots) - spots, spots)
+        h = np.zeros(len(at), dtype=np.uint64)
+        for step in [*range(0, window - GRAM, GRAM), window - GRAM]:
+            h = mix(h ^ g[at + step])
+        hashes.append(h)
+        owners.append(np.repeat(some, spots))
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(h)
+    h, owner = h[order], owner[order]
+    same = (h[1:] == h[:-1]) & (owner[1:] != owner[:-1])
+    shared[:] = False
+    shared[owner[1:][same]] = True
+    shared[owner[:-1][same]] = True
+    return shared
+
+
 # --- anchors -------------------------------------------------------------------
 
 
+def grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes at each place but the last ones of padded data."""
+    n = len(data) - 2 * GRAM
+    eight = np.ndarray((n + 8,), dtype="<u8", buffer=data.data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    eight ^= eight >> np.uint64(29)
+    out = eight[8:] * MIX1
+    out += eight[:n]
+    out ^= out >> np.uint64(32)
+    out *= MIX2
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def reach(window: int) -> int:
+    """How many bytes beside the anchor its left and right hashes take in.
+
+    Every window that holds the anchor also holds as many bytes on one of its sides, so
+    a window that occurs twice has a left or a right hash that does.
+    """
+    return min(GRAM, (window - GRAM + 1) // 2)
+
+
+def halves(first, last, place, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs have a window that holds the left hash's bytes, and one that holds the right one's."""
+    more = reach(window)
+    return first <= place - more, last >= place + GRAM + more - window
+
+
 def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: (text number, first window, last window, anchor hash), and the joined bytes.
+    """Runs of windows with one anchor: (text number, first, last window, anchor hash, left, right, place).
 
-    Windows count from the start of all texts joined; texts shorter than a window have none.
+    Windows and the anchor's place count from the start of all texts joined; texts
+    shorter than a window have none. ``left`` and ``right`` hash the anchor with the
+    bytes before or after it, see ``reach``. Texts are taken a few at a time, so that
+    the arrays stay small.
     """
+    found, number, start, at = [], 0, 0, 0
+    while at < len(texts):
+        to, have = at, 0
+        while to < len(texts) and (not have or have + len(texts[to]) <= PIECE):
+            have += len(texts[to])
+            to += 1
+        which, first, last, gram, left, right, place = _anchors(texts[at:to], window)
+        found.append((which + number, first + start, last + start, gram, left, right, place + start))
+        number, start, at = number + to - at, start + have, to
+    if not found:
+        found.append(_anchors([], window))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(7))
+
+
+def _anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(texts) + bytes(2 * GRAM), dtype=np.uint8)
     n = len(data) - 2 * GRAM
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     empty = np.empty(0, dtype=np.int64)
     if n < window:
-        return empty, empty, empty, np.empty(0, dtype=np.uint64), data
-    eight = np.ndarray((n + 8,), dtype="<u8", buffer=data.data, strides=(1,)).astype(np.uint64)
-    gram = mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(eight[8 : n + 8]))
-    del eight
-    least = gram & HIGH32 | np.arange(n, dtype=np.uint64)  # equal hashes: the leftmost
+        none = np.empty(0, dtype=np.uint64)
+        return empty, empty, empty, none, none, none, empty
+    gram = grams(data)
+    least = gram & HIGH32
+    least |= np.arange(n, dtype=np.uint64)  # equal hashes: the leftmost
     span, need = 1, window - GRAM + 1
     while span * 2 <= need:
         least = np.minimum(least[: len(least) - span], least[span:])
@@ -194,26 +276,36 @@ def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     if need > span:
         least = np.minimum(least[: len(least) - (need - span)], least[need - span :])
     place = (least[: n - window + 1] & LOW32).astype(np.int64)
-    valid = np.zeros(n + 1, dtype=np.int8)
+    # runs of one anchor, cut where a window would leave its text
+    change = np.flatnonzero(place[1:] != place[:-1]) + 1
     long = sizes >= window
-    np.add.at(valid, (ends - sizes)[long], 1)
-    np.add.at(valid, (ends - window + 1)[long], -1)
-    spots = np.flatnonzero(np.cumsum(valid[: n - window + 1], dtype=np.int32) > 0)
-    place = place[spots]
-    new = np.ones(len(spots), dtype=bool)
-    new[1:] = place[1:] != place[:-1]
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(spots)) - 1
-    first, last = spots[a], spots[b]
-    return np.searchsorted(ends, first, side="right"), first, last, gram[place[a]], data
+    begin, stop = (ends - sizes)[long], (ends - window + 1)[long]  # of the texts' windows
+    first = np.union1d(change, begin)
+    text = np.searchsorted(begin, first, side="right") - 1
+    inside = (text >= 0) & (first < stop[np.maximum(text, 0)])
+    last = np.minimum(np.append(first[1:], n - window + 1), stop[np.maximum(text, 0)])[inside] - 1
+    first, text = first[inside], text[inside]
+    at, more = place[first], reach(window)
+    here = gram[at]
+    left = mix(gram[np.maximum(at - more, 0)] * MIX1 ^ here)
+    right = mix(gram[np.minimum(at + more, n - 1)] * MIX2 ^ here)
+    return np.flatnonzero(long)[text], first, last, here, left, right, at
+
+
+def _small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _pack(a: np.ndarray, kind: str) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a, dtype=kind).tobytes(), 1)
+    return _small(np.ascontiguousarray(a, dtype=kind).tobytes())
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype=kind)
+    return np.frombuffer(_whole(data), dtype=kind)
 
 
 def _bundles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -240,7 +332,7 @@ def drop_repeated_bytes(
     window: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
-    filter_bits: int = 1 << 27,
+    filter_bits: int = 1 << 28,
     batch_bytes: int = BATCH,
     part_bytes: int = PART,
     shard_bytes: int = SHARD,
@@ -254,18 +346,22 @@ def drop_repeated_bytes(
     Null text is empty. Rows with a null id are kept whole and remove nothing; rows of
     one id remove nothing from each other. Ids are integers. Extra columns pass
     through; columns named like the new ones are replaced. An empty table gives an
-    empty table.
+    empty table. The table is read four times and must give the same rows in the same
+    order each time, as a written table does.
     """
     if window < GRAM:
         raise ValueError(f"window must be at least {GRAM}")
     new = ("kept", "n_bytes", "n_removed", "n_spans")
-    texts = docs.select(column(id_col).cast("bigint").alias("id"), F.xxhash64(column(text_col)).alias("rid"), column(text_col).alias("text"))
+    texts = docs.select(column(id_col).cast("bigint").alias("id"), F.hash(column(text_col)).alias("rid"), column(text_col).alias("text"))
     texts = texts.filter((F.octet_length("text") >= window) & F.col("id").isNotNull())
 
     def hashes(batch: pd.DataFrame) -> np.ndarray:
         found = []
         for _, _, part in _bundles([batch], batch_bytes):
-            which, _, _, gram, _ = anchors(part, window)
+            which, first, last, _, left, right, place = anchors(part, window)
+            on_left, on_right = halves(first, last, place, window)
+            gram = np.concatenate([left[on_left], right[on_right]])
+            which = np.concatenate([which[on_left], which[on_right]])
             # distinct within a document: by hash, then by document
             order = np.lexsort((which, gram))
             g, w = gram[order], which[order]
@@ -278,16 +374,25 @@ def drop_repeated_bytes(
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n_parts = max(1, -(-total // (2 * part_bytes)))
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        suspects, task = Suspects(suspected), TaskContext.get().partitionId()
-        for number, (ids, keys, part) in enumerate(_bundles(batches, batch_bytes)):
-            which, first, last, gram, data = anchors(part, window)
-            hit = suspects(gram)
+    def runs(batches: Iterator[pd.DataFrame], fields: dict[str, str]) -> Iterator[pd.DataFrame]:
+        """A row for each bundle of documents and part, with those of its facts that ``fields`` names."""
+        suspects = Suspects(suspected)
+        for ids, keys, part in _bundles(batches, batch_bytes):
+            name = hashlib.blake2b(ids.tobytes() + keys.tobytes(), digest_size=8).digest()
+            which, first, last, gram, left, right, place = anchors(part, window)
+            on_left, on_right = halves(first, last, place, window)
+            on_left &= suspects(left)
+            on_right &= suspects(right)
+            # windows that hold a hash's bytes which one document alone has are done
+            more = reach(window)
+            first = np.where(on_left, first, np.maximum(first, place + GRAM + more - window))
+            last = np.where(on_right, last, np.minimum(last, place - more))
+            hit = (on_left | on_right) & (first <= last)
             which, first, last, gram = which[hit], first[hit], last[hit], gram[hit]
             if not len(which):
                 continue
             base = np.cumsum([0, *map(len, part)])
-            raw = data.tobytes()
+            raw = b"".join(part)
             to = (mix(gram) % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1]))
@@ -297,30 +402,26 @@ def drop_repeated_bytes(
                 spans = zip(first[own].tolist(), (last[own] + window).tolist())
                 slot = np.array([known.setdefault(raw[x:y], len(known)) for x, y in spans])
                 doc = ids[which[own]]
-                hashed = np.empty(len(known), dtype=np.uint64)
-                hashed[slot] = gram[own]
+                hashed = np.empty(len(known), dtype=np.uint32)
+                hashed[slot] = gram[own] & LOW32
                 least = np.full(len(known), np.iinfo(np.int64).max)
                 most = np.full(len(known), np.iinfo(np.int64).min)
                 np.minimum.at(least, slot, doc)
                 np.maximum.at(most, slot, doc)
-                yield pd.DataFrame(
-                    {
-                        "batch": [task * (1 << 20) + number],
-                        "part": [int(to[own[0]])],
-                        "strings": [zlib.compress(b"".join(known), 1)],
-                        "sizes": [_pack(np.array([len(s) for s in known]), "<i4")],
-                        "gram": [_pack(hashed, "<u8")],
-                        "least": [_pack(least, "<i8")],
-                        "most": [_pack(most, "<i8")],
-                        "slot": [_pack(slot, "<i4")],
-                        "id": [_pack(doc, "<i8")],
-                        "rid": [_pack(keys[which[own]], "<i8")],
-                        "first": [_pack(first[own] - base[which[own]], "<i8")],
-                    }
-                )
-
-    fields = ["strings", "sizes", "gram", "least", "most", "slot", "id", "rid", "first"]
-    sent = checkpointed(texts.mapInPandas(runs, "batch bigint, part int, " + ", ".join(f"{c} binary" for c in fields)), "runs")
+                facts = {"gram": hashed, "least": least, "most": most, "slot": slot}
+                used, number = np.unique(which[own], return_inverse=True)
+                facts |= {"number": number, "first": first[own] - base[which[own]]}
+                row = {"batch": [int.from_bytes(name, "little", signed=True)], "part": [int(to[own[0]])]}
+                if "sizes" in fields:
+                    facts["sizes"] = np.array([len(s) for s in known])
+                    row["strings"] = [_small(b"".join(known))]
+                else:
+                    facts |= {"id": ids[used], "rid": keys[used]}
+                yield pd.DataFrame(row | {c: [_pack(facts[c], kind)] for c, kind in fields.items()})
+
+    def sent(fields: dict[str, str], more: str = "") -> DataFrame:
+        schema = "batch bigint, part int, " + more + ", ".join(f"{c} binary" for c in fields)
+        return texts.mapInPandas(lambda batches: runs(batches, fields), schema)
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
@@ -337,21 +438,20 @@ def drop_repeated_bytes(
         known: dict[bytes, int] = {}
         slots, hashed = [], []
         for r in rows:
-            raw, sizes = zlib.decompress(r.strings), _unpack(r.sizes, "<i4")
+            raw, sizes = _whole(r.strings), _unpack(r.sizes, "<i4")
             ends = np.cumsum(sizes).tolist()
             slots.append(np.array([known.setdefault(raw[e - s : e], len(known)) for s, e in zip(sizes.tolist(), ends)]))
-            hashed.append(_unpack(r.gram, "<u8"))
+            hashed.append(_unpack(r.gram, "<u4"))
         strings = list(known)
         del known
-        least, gram = np.full(len(strings), np.iinfo(np.int64).max), np.empty(len(strings), dtype=np.uint64)
+        least, gram = np.full(len(strings), np.iinfo(np.int64).max), np.empty(len(strings), dtype=np.uint32)
         for r, slot, g in zip(rows, slots, hashed):
             least[slot] = np.minimum(least[slot], _unpack(r.least, "<i8"))
             gram[slot] = g
-        # windows of an anchor's only string have that string's documents; the rest is sorted
-        _, group, size = np.unique(gram, return_inverse=True, return_counts=True)
-        shared = size[group] > 1
-        lone, several = np.flatnonzero(~shared), np.flatnonzero(shared)
+        # windows that only one string has have that string's documents; the rest is sorted
         length = np.array([len(s) for s in strings])
+        shared = alike(strings, length, gram, window)
+        lone, several = np.flatnonzero(~shared), np.flatnonzero(shared)
         found = [(lone, np.zeros(len(lone), dtype=np.int64), length[lone] - window, least[lone])]
         if len(several):
             shard_of = np.cumsum(length[several]) // shard_bytes
@@ -388,7 +488,7 @@ def drop_repeated_bytes(
                     }
                 )
 
-    asked = sent.select("batch", "part", "strings", "sizes", "gram", "least", "most")
+    asked = sent({"sizes": "<i4", "gram": "<u4", "least": "<i8", "most": "<i8"}, "strings binary, ")
     answers = (
         asked.repartition(n_parts, "part")
         .sortWithinPartitions("part")
@@ -410,7 +510,8 @@ def drop_repeated_bytes(
     def located(r) -> tuple[np.ndarray, ...]:
         """The removed spans of one batch and part: id, rid, start, end."""
         slot, low, high, least = _unpack(r.p_slot, "<i4"), _unpack(r.low, "<i4"), _unpack(r.high, "<i4"), _unpack(r.doc, "<i8")
-        use, doc, rid, first = _unpack(r.slot, "<i4"), _unpack(r.id, "<i8"), _unpack(r.rid, "<i8"), _unpack(r.first, "<i8")
+        use, number, first = _unpack(r.slot, "<i4"), _unpack(r.number, "<i4"), _unpack(r.first, "<i8")
+        doc, rid = _unpack(r.id, "<i8")[number], _unpack(r.rid, "<i4")[number]
         a, b = np.searchsorted(slot, use, "left"), np.searchsorted(slot, use, "right")
         many = b - a
         row = np.repeat(np.arange(len(use)), many)
@@ -432,12 +533,12 @@ def drop_repeated_bytes(
             rows.append((doc[a], rid[a], s[new], e[last]))
         return pd.DataFrame(rows, columns=["id", "rid", "starts", "ends"])
 
-    held = sent.select("batch", "part", "slot", "id", "rid", "first")
+    held = sent({"slot": "<i4", "number": "<i4", "first": "<i8", "id": "<i8", "rid": "<i4"})
     met = held.join(answers.withColumnRenamed("slot", "p_slot"), ["batch", "part"])
     cut = (
         met.repartition("batch")
         .sortWithinPartitions("batch")
-        .mapInPandas(spans, "id bigint, rid bigint, starts array<bigint>, ends array<bigint>")
+        .mapInPandas(spans, "id bigint, rid int, starts array<bigint>, ends array<bigint>")
         # equal rows in several batches have equal spans
         .dropDuplicates(["id", "rid"])
     )
@@ -446,7 +547,7 @@ def drop_repeated_bytes(
     def apply(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
         out = []
         for t, s, e in zip(text, starts, ends):
-            raw = (t or "").encode()
+            raw = _whole(t)
             if s is None or not len(s):
                 out.append((raw, len(raw), 0, 0))
                 continue
@@ -455,8 +556,20 @@ def drop_repeated_bytes(
             out.append((kept, len(raw), len(raw) - len(kept), len(s)))
         return pd.DataFrame(out, columns=list(new))
 
+    @F.pandas_udf("binary")
+    def small(text: pd.Series) -> pd.Series:
+        return pd.Series([_small((t or "").encode()) for t in text])
+
+    # texts move once, compressed
     rest = docs.select(
-        packed(docs).alias("row"), column(id_col).cast("bigint").alias("id"), F.xxhash64(column(text_col)).alias("rid"), column(text_col).alias("text")
+        packed(docs, (text_col,)).alias("row"), F.isnull(column(text_col)).alias("void"), column(id_col).cast("bigint").alias("id"), F.hash(column(text_col)).alias("rid"), small(column(text_col)).alias("text")
     )
-    joined = rest.join(cut, ["id", "rid"], "left").select("row", apply("text", "starts", "ends").alias("cut"))
-    return joined.select(*unpacked(joined, "row", {c: F.col(f"cut.{c}") for c in new}))
+    joined = rest.join(cut, ["id", "rid"], "left").select("row", "void", "text", apply("text", "starts", "ends").alias("cut"))
+
+    @F.pandas_udf("string")
+    def whole(text: pd.Series) -> pd.Series:
+        return pd.Series([_whole(t).decode() for t in text])
+
+    values = {text_col: F.when(~F.col("void"), whole("text"))} | {c: F.col(f"cut.{c}") for c in new}
+    order = [c for c in docs.columns if c not in new] + list(new)
+    return joined.select(*unpacked(joined, "row", values)).select(*map(column, order))
