@@ -9,9 +9,9 @@ every product counts overlaps. Size bounds thin it out at each step:
 2. Classes with an equal least hash share a block; its product finds most links, and
    linked classes become one component.
 3. What is missing are links between components. Two linked sets share one of the first
-   r - need + 1 of their r shingles, counted from the rarest, so classes of different
-   components that share none there are done. The others visit the other component's
-   blocks, which multiply them with all its members.
+   r - need + 1 of their r shingles, counted from the rarest. Those overlaps are counted
+   for classes and other components, and discarded below the bound that sizes set. What
+   is left visits the other component's blocks, which multiply it with all its members.
 
 Pairs inside a component are never listed: a chain of links is enough to group it, and
 step 3 tests every pair between components that the bounds leave, so no group is split.
@@ -184,6 +184,60 @@ class Members:
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
 
+def between(columns: DataFrame, comp_of: DataFrame, sets_of: DataFrame, percent: int, hub: bool) -> DataFrame:
+    """Edges between components that have linked classes; at least one where there are any.
+
+    Classes of the component with the larger label visit the other one, if they share
+    enough columns: with sizes a and b, an overlap that is large enough leaves at least
+    t / (1 + t) * (a + b) - t * max(a, b) of it to the columns. ``hub`` looks at the
+    column's component of the smallest label only, which is where most belong.
+    """
+    t = percent / 100
+    met = columns.join(comp_of, "cls")
+    sides = met.groupBy("shingle", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    if hub:
+        to = sides.groupBy("shingle").agg(F.min_by(F.struct("comp", "low", "high"), "comp").alias("b"))
+        to = to.select("shingle", F.col("b.comp").alias("to"), "b.low", "b.high")
+        asked = met.join(to, "shingle").filter("comp > to")
+    else:
+        two = sides.groupBy("shingle").agg(F.count("*").alias("_k")).filter("_k > 1").select("shingle")
+        few = sides.join(two, "shingle").select("shingle", F.col("comp").alias("to"), "low", "high")
+        asked = met.join(few, "shingle").filter("comp > to")
+    size, low, high = F.col("size"), F.col("low"), F.col("high")
+    asked = asked.filter((size >= low * t - 1e-6) & (high >= size * t - 1e-6))
+    pairs = asked.groupBy("cls", "size", "to").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    least, most = F.greatest(low, size * t), F.least(high, size / t)  # sizes that can link
+    left = lambda other: t / (1 + t) * (size + other) - t * F.greatest(size, other)
+    asked = checkpointed(pairs.filter(F.col("c") >= F.least(left(least), left(most)) - 1e-6).select("cls", "to"), "asked")
+    # a component's blocks, by the shingles of its members
+    wanted = asked.select(F.col("to").alias("comp")).distinct()
+    held = comp_of.join(wanted, "comp", "left_semi").join(sets_of, "cls")
+    cuts = held.groupBy("comp").agg(
+        F.ceil(F.sum("kept") / F.lit(BLOCK_SHINGLES)).cast("int").alias("cuts"), F.count("*").alias("_n")
+    )
+    cuts = checkpointed(cuts, "cuts")
+    total = cuts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first().n
+    block = lambda comp, cut: F.xxhash64(comp, cut).alias("block")
+    loaded = attach(held, cuts, "comp", "_n", total).select(
+        "cls", "size", "set", block("comp", F.pmod(F.xxhash64("cls"), "cuts").cast("int"))
+    )
+    sent = asked.join(cuts.select(F.col("comp").alias("to"), "cuts"), "to").select(
+        "cls", "to", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("_cut")
+    )
+    probes = sent.join(sets_of, "cls").select("cls", "size", "set", block("to", F.col("_cut")))
+    found = meet(loaded, probes, Members, lambda m, p: m.links(p, percent), "a bigint, b bigint")
+    return found.join(comp_of.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(
+        comp_of.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b"
+    ).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
+def merged(comp_of: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components after joining those that the edges link."""
+    roots_of = components(edges).select(F.col("node").alias("comp"), "root")
+    out = comp_of.join(roots_of, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp"))
+    return checkpointed(out, "members")
+
+
 def jaccard_groups(
     docs: DataFrame,
     n: int = 5,
@@ -253,12 +307,8 @@ def jaccard_groups(
         dealt.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInPandas(lambda b: block_links(b, percent), "a bigint, b bigint")
     )
     first = components(found)
-    member = checkpointed(
-        classes.join(first.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
-            "cls", "size", "kept", "set", F.coalesce("root", "cls").alias("comp")
-        ),
-        "members",
-    )
+    comp_of = classes.select("cls").join(first.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    comp_of = checkpointed(comp_of.select("cls", F.coalesce("root", "cls").alias("comp")), "members")
 
     # step 3: links between components
     sketch = frequency_sketch(classes.select("set"), lambda b: np.concatenate([unpack(d) for d in b["set"]]) if len(b) else np.empty(0, np.uint64))
@@ -275,44 +325,20 @@ def jaccard_groups(
             yield pd.DataFrame(
                 {
                     "shingle": np.concatenate(heads),
-                    **{c: np.repeat(batch[c].to_numpy(), many) for c in ("cls", "comp", "size")},
+                    **{c: np.repeat(batch[c].to_numpy(), many) for c in ("cls", "size")},
                 }
             )
 
-    heads = member.select("cls", "comp", "size", "set").mapInPandas(prefixes, "shingle bigint, cls bigint, comp bigint, size bigint")
-    met = checkpointed(heads, "columns")
-    sides = met.groupBy("shingle", "comp").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
-    few = sides.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("comp", "n", "low", "high")])
-    many = sides.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("comp", "n", "low", "high")])
-    near = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
-    pairs = few.join(many, "shingle").filter((F.struct("n_a", "comp_a") < F.struct("n_b", "comp_b")) & near)
-    asked = met.join(pairs, (met["shingle"] == pairs["shingle"]) & (met["comp"] == pairs["comp_a"]))
-    fits = (F.col("size") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("size") * percent)
-    asked = checkpointed(asked.filter(fits).select("cls", F.col("comp_b").alias("to")).distinct(), "asked")
-    # a component's blocks, by the shingles of its members
-    cuts = member.join(asked.select(F.col("to").alias("comp")).distinct(), "comp", "left_semi").groupBy("comp")
-    cuts = cuts.agg(F.ceil(F.sum("kept") / F.lit(BLOCK_SHINGLES)).cast("int").alias("cuts"), F.count("*").alias("_n"))
-    cuts = checkpointed(cuts, "cuts")
-    held = attach(member.join(cuts.select("comp"), "comp", "left_semi"), cuts, "comp", "_n", member.count())
-    block = lambda comp, cut: F.xxhash64(comp, cut).alias("block")
-    loaded = held.select("cls", "size", "set", block("comp", F.pmod(F.xxhash64("cls"), "cuts").cast("int")))
-    sent = asked.join(cuts.select(F.col("comp").alias("to"), "cuts"), "to").select(
-        "cls", "to", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("_cut")
-    )
-    probes = sent.join(member.select("cls", "size", "set"), "cls").select("cls", "size", "set", block("to", F.col("_cut")))
-    more = meet(loaded, probes, Members, lambda m, p: m.links(p, percent), "a bigint, b bigint")
-    comp_of = member.select("cls", "comp")
-    between = (
-        more.join(comp_of.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a")
-        .join(comp_of.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
-        .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    )
-    last = components(between)
+    heads = classes.select("cls", "size", "set").mapInPandas(prefixes, "shingle bigint, cls bigint, size bigint")
+    columns = checkpointed(heads, "columns")
+    sets_of = classes.select("cls", "size", "kept", "set")
+    # first towards one component of each column, which thins them out; then between all
+    for hub in (True, False):
+        comp_of = merged(comp_of, between(columns, comp_of, sets_of, percent, hub))
 
     # smallest id by component
-    group = comp_of.join(last.select(F.col("node").alias("comp"), "root"), "comp", "left").select("cls", F.coalesce("root", "comp").alias("root"))
     each = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    each = checkpointed(each.join(group, "cls", "left").select("cls", "low", "n", F.coalesce("root", "cls").alias("root")), "ids")
+    each = checkpointed(each.join(comp_of.withColumnRenamed("comp", "root"), "cls", "left").select("cls", "low", "n", F.coalesce("root", "cls").alias("root")), "ids")
     whole = each.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("_n"))
     total = each.count()
     named = attach(each, whole, "root", "_n", total).select("cls", "n", "component_id")
