@@ -32,7 +32,7 @@ from burnish.session import checkpointed
 
 GRAM = 16
 #: Bytes of documents handled at once, of a shard, and of the strings of one part.
-BATCH = 4 << 20
+BATCH = 16 << 20
 SHARD = 2 << 20
 PART = 10 << 20
 #: Bytes of texts whose anchors are found in one go.
@@ -332,7 +332,7 @@ def drop_repeated_bytes(
     window: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
-    filter_bits: int = 1 << 28,
+    filter_bits: int = 1 << 29,
     batch_bytes: int = BATCH,
     part_bytes: int = PART,
     shard_bytes: int = SHARD,
@@ -490,7 +490,7 @@ def drop_repeated_bytes(
 
     asked = sent({"sizes": "<i4", "gram": "<u4", "least": "<i8", "most": "<i8"}, "strings binary, ")
     answers = (
-        asked.repartition(n_parts, "part")
+        asked.repartition(4 * n_parts, "part")  # so that few tasks get several parts
         .sortWithinPartitions("part")
         .mapInPandas(settle, "batch bigint, part int, slot binary, low binary, high binary, doc binary")
     )
