@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.llm.common import MIX1, MIX2, Suspects, blocks, column, mix, packed, repeat_filter, unpacked
-from burnish.session import checkpointed
 
 GRAM = 16
 #: Bytes of documents handled at once, of a shard, and of the strings of one part.
