@@ -167,15 +167,15 @@ def repeat_filter(rows: DataFrame, hashes_of: Callable[[pd.DataFrame], np.ndarra
     whole = np.zeros(bits // 8, dtype=np.uint8)
     for r in merged.toLocalIterator():
         whole[r.segment * size // 8 : (r.segment + 1) * size // 8] = np.frombuffer(zlib.decompress(r.twice), dtype=np.uint8)
-    return whole.tobytes()
+    return zlib.compress(whole.tobytes(), 1)  # it is sent to every executor; most bits are 0
 
 
 class Suspects:
     """Reads a repeat filter."""
 
     def __init__(self, data: bytes):
-        self.bytes = np.frombuffer(data, dtype=np.uint8)
-        self.bits = len(data) * 8
+        self.bytes = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+        self.bits = len(self.bytes) * 8
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         hit = np.ones(len(hashes), dtype=bool)
