@@ -361,8 +361,8 @@ def drop_repeated_bytes(
             on_left, on_right = halves(first, last, place, window)
             gram = np.concatenate([left[on_left], right[on_right]])
             which = np.concatenate([which[on_left], which[on_right]])
-            # distinct within a document: by hash, then by document
-            order = np.lexsort((which, gram))
+            # distinct within a document: equal pairs meet under one sort of their sum
+            order = np.argsort(gram + which.astype(np.uint64) * MIX2)
             g, w = gram[order], which[order]
             keep = np.ones(len(g), dtype=bool)
             keep[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1])
