@@ -12,22 +12,27 @@ stretch of the array with common prefixes of a window or more is one repeated wi
 Shards of a part are merged by binary search of their sorted windows. What comes back
 to each batch of documents is, for its strings, the smallest document id by window.
 
-A batch sends each distinct string once, so a passage that a third of all documents
-hold is met once a batch, not once a document.
+A batch sends each distinct string once, so anchors well inside a passage that a third
+of all documents hold are met once a batch. Near the passage's edges strings reach into
+what surrounds it and differ by document. Anchors with so many strings are found by
+counting what batches send, and their windows are routed one by one, by their own hash:
+equal windows still meet, and no part grows with one anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import MIX1, MIX2, Suspects, blocks, column, mix, packed, repeat_filter, unpacked
+from burnish.llm.common import MIX1, MIX2, Suspects, blocks, column, frequency_sketch, mix, packed, repeat_filter, unpacked
+from burnish.session import scratch_path
 
 GRAM = 16
 #: Bytes of documents handled at once, of a shard, and of the strings of one part.
@@ -36,6 +41,10 @@ SHARD = 2 << 20
 PART = 10 << 20
 #: Bytes of texts whose anchors are found in one go.
 PIECE = 1 << 19
+#: Slots that strings are counted in by anchor.
+SLOTS = 1 << 20
+#: Strings of one anchor that are always left together.
+FEW = 64
 LOW32 = np.uint64(0xFFFFFFFF)
 HIGH32 = np.uint64(0xFFFFFFFF00000000)
 
@@ -291,6 +300,29 @@ def _anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     return np.flatnonzero(long)[text], first, last, here, left, right, at
 
 
+def slots_of(part: int, gram: np.ndarray) -> np.ndarray:
+    """Where the strings of a part are counted, by their anchors' hashes."""
+    return mix(gram.astype(np.uint64) | np.uint64(part) << np.uint64(32)) & np.uint64(SLOTS - 1)
+
+
+def single_windows(strings: list[bytes], window: int, cells: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows of strings, the cell of each and its number there, and the window at each place."""
+    known: dict[bytes, int] = {}
+    at = np.array([known.setdefault(s[k : k + window], len(known)) for s in strings for k in range(len(s) - window + 1)], dtype=np.int64)
+    cell = (np.array([xxhash.xxh3_64_intdigest(w) for w in known], dtype=np.uint64) % np.uint64(cells)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    begin = np.searchsorted(cell[order], cell)
+    number = np.empty(len(cell), dtype=np.int64)
+    number[order] = np.arange(len(cell))
+    return list(known), cell, number - begin, at
+
+
+def grouped(kind: np.ndarray) -> list[np.ndarray]:
+    """The places of each kind, in order."""
+    order = np.argsort(kind, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if len(kind) else []
+
+
 def _small(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -307,6 +339,14 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(_whole(data), dtype=kind)
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """Rows of packed bytes through a table in the shared folder, in row groups that take little memory."""
+    path = scratch_path(rows.sparkSession, label)
+    few = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+    rows.write.options(compression="none", **few).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _bundles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """Documents in bundles of about ``size`` bytes: ids, row keys, texts."""
     ids, keys, texts, have = [], [], [], 0
@@ -373,8 +413,8 @@ def drop_repeated_bytes(
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n_parts = max(1, -(-total // (2 * part_bytes)))
 
-    def runs(batches: Iterator[pd.DataFrame], fields: dict[str, str]) -> Iterator[pd.DataFrame]:
-        """A row for each bundle of documents and part, with those of its facts that ``fields`` names."""
+    def runs(batches: Iterator[pd.DataFrame], make: Callable[..., Iterator[pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        """What ``make`` makes of each bundle of documents and part."""
         suspects = Suspects(suspected)
         for ids, keys, part in _bundles(batches, batch_bytes):
             name = hashlib.blake2b(ids.tobytes() + keys.tobytes(), digest_size=8).digest()
@@ -388,6 +428,7 @@ def drop_repeated_bytes(
             last = np.where(on_right, last, np.minimum(last, place - more))
             hit = (on_left | on_right) & (first <= last)
             which, first, last, gram = which[hit], first[hit], last[hit], gram[hit]
+            del left, right, place, on_left, on_right, hit
             if not len(which):
                 continue
             base = np.cumsum([0, *map(len, part)])
@@ -400,27 +441,106 @@ def drop_repeated_bytes(
                 known: dict[bytes, int] = {}
                 spans = zip(first[own].tolist(), (last[own] + window).tolist())
                 slot = np.array([known.setdefault(raw[x:y], len(known)) for x, y in spans])
-                doc = ids[which[own]]
                 hashed = np.empty(len(known), dtype=np.uint32)
                 hashed[slot] = gram[own] & LOW32
-                least = np.full(len(known), np.iinfo(np.int64).max)
-                most = np.full(len(known), np.iinfo(np.int64).min)
-                np.minimum.at(least, slot, doc)
-                np.maximum.at(most, slot, doc)
-                facts = {"gram": hashed, "least": least, "most": most, "slot": slot}
-                used, number = np.unique(which[own], return_inverse=True)
-                facts |= {"number": number, "first": first[own] - base[which[own]]}
-                row = {"batch": [int.from_bytes(name, "little", signed=True)], "part": [int(to[own[0]])]}
-                if "sizes" in fields:
-                    facts["sizes"] = np.array([len(s) for s in known])
-                    row["strings"] = [_small(b"".join(known))]
-                else:
-                    facts |= {"id": ids[used], "rid": keys[used]}
-                yield pd.DataFrame(row | {c: [_pack(facts[c], kind)] for c, kind in fields.items()})
-
-    def sent(fields: dict[str, str], more: str = "") -> DataFrame:
-        schema = "batch bigint, part int, " + more + ", ".join(f"{c} binary" for c in fields)
-        return texts.mapInPandas(lambda batches: runs(batches, fields), schema)
+                key = int.from_bytes(name, "little", signed=True), int(to[own[0]])
+                yield from make(*key, list(known), hashed, slot, ids, keys, which[own], first[own] - base[which[own]])
+
+    def row(batch: int, part: int, fields: dict[str, str], facts: dict) -> pd.DataFrame:
+        return pd.DataFrame({"batch": [batch], "part": [part]} | {c: [_pack(facts[c], kind)] for c, kind in fields.items()})
+
+    asks = {"sizes": "<i4", "gram": "<u4", "least": "<i8", "most": "<i8"}
+    holds = {"slot": "<i4", "number": "<i4", "first": "<i8", "id": "<i8", "rid": "<i4"}
+
+    def ask(batch: int, part: int, strings: list[bytes], gram: np.ndarray, least: np.ndarray, most: np.ndarray) -> pd.DataFrame:
+        facts = {"sizes": np.array([len(s) for s in strings]), "gram": gram, "least": least, "most": most}
+        return row(batch, part, asks, facts).assign(strings=[_small(b"".join(strings))])
+
+    def asking(batch, part, strings, gram, slot, ids, keys, which, first) -> Iterator[pd.DataFrame]:
+        least = np.full(len(strings), np.iinfo(np.int64).max)
+        most = np.full(len(strings), np.iinfo(np.int64).min)
+        np.minimum.at(least, slot, ids[which])
+        np.maximum.at(most, slot, ids[which])
+        yield ask(batch, part, strings, gram, least, most)
+
+    def sent(make: Callable[..., Iterator[pd.DataFrame]], fields: dict[str, str], more: str = "") -> DataFrame:
+        schema = "batch bigint, part int, " + ", ".join(f"{c} binary" for c in fields) + more
+        return texts.mapInPandas(lambda batches: runs(batches, make), schema)
+
+    asked = written(sent(asking, asks, ", strings binary"), "asked")
+
+    # anchors with many strings: their windows go one by one to cells, which are parts behind the others
+    def anchored(rows: pd.DataFrame) -> np.ndarray:
+        found = [slots_of(p, _unpack(g, "<u4")) for p, g in zip(rows["part"], rows["gram"])]
+        return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+
+    most_strings = max(FEW, part_bytes // (4 * (2 * window - GRAM)))
+    hot = np.flatnonzero(frequency_sketch(asked.select("part", "gram"), anchored, SLOTS) > most_strings)
+    cells = np.zeros(n_parts, dtype=np.int64)
+
+    def wide(part: int, gram: np.ndarray) -> np.ndarray:
+        return np.isin(slots_of(part, gram), hot)
+
+    if len(hot):
+
+        def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                n = [int(wide(p, _unpack(g, "<u4")).sum()) for p, g in zip(batch["part"], batch["gram"])]
+                yield pd.DataFrame({"part": batch["part"], "n": n})
+
+        counted = asked.select("part", "gram").mapInPandas(tally, "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+        for r in counted.toLocalIterator():
+            cells[r.part] = -(-r.n * (window - GRAM + 1) * window // part_bytes)
+    cell_base = n_parts + np.cumsum(cells) - cells
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                gram = _unpack(r.gram, "<u4")
+                apart = wide(r.part, gram)
+                if not apart.any():
+                    yield pd.DataFrame([r])
+                    continue
+                raw, ends = _whole(r.strings), np.cumsum(_unpack(r.sizes, "<i4"))
+                strings = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                least, most = _unpack(r.least, "<i8"), _unpack(r.most, "<i8")
+                if not apart.all():
+                    stay = np.flatnonzero(~apart)
+                    yield ask(r.batch, r.part, [strings[k] for k in stay], gram[stay], least[stay], most[stay])
+                several = np.flatnonzero(apart)
+                windows, cell, _, place = single_windows([strings[k] for k in several], window, cells[r.part])
+                owner = np.repeat(several, [len(strings[k]) - window + 1 for k in several])
+                low, high = np.full(len(windows), np.iinfo(np.int64).max), np.full(len(windows), np.iinfo(np.int64).min)
+                np.minimum.at(low, place, least[owner])
+                np.maximum.at(high, place, most[owner])
+                near = np.empty(len(windows), dtype=np.uint32)
+                near[place] = gram[owner]
+                for some in grouped(cell):
+                    to = int(cell_base[r.part] + cell[some[0]])
+                    yield ask(r.batch, to, [windows[k] for k in some], near[some], low[some], high[some])
+
+    def holding(batch, part, strings, gram, slot, ids, keys, which, first) -> Iterator[pd.DataFrame]:
+        def hold(part: int, slot: np.ndarray, which: np.ndarray, first: np.ndarray) -> pd.DataFrame:
+            used, number = np.unique(which, return_inverse=True)
+            return row(batch, part, holds, {"slot": slot, "number": number, "first": first, "id": ids[used], "rid": keys[used]})
+
+        apart = wide(part, gram)
+        stay = ~apart[slot]
+        if stay.any():
+            yield hold(part, (np.cumsum(~apart) - 1)[slot[stay]], which[stay], first[stay])
+        if not apart.any():
+            return
+        several = np.flatnonzero(apart)
+        _, cell, number, place = single_windows([strings[k] for k in several], window, cells[part])
+        spots = np.zeros(len(strings), dtype=np.int64)
+        spots[several] = [len(strings[k]) - window + 1 for k in several]
+        begin, many = np.cumsum(spots) - spots, spots[slot]
+        run = np.repeat(np.arange(len(slot)), many)
+        offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        met = place[begin[slot[run]] + offset]
+        for some in grouped(cell[met]):
+            to = int(cell_base[part] + cell[met[some[0]]])
+            yield hold(to, number[met[some]], which[run[some]], first[run[some]] + offset[some])
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
@@ -487,9 +607,9 @@ def drop_repeated_bytes(
                     }
                 )
 
-    asked = sent({"sizes": "<i4", "gram": "<u4", "least": "<i8", "most": "<i8"}, "strings binary, ")
+    dealt = asked.mapInPandas(deal, asked.schema) if len(hot) else asked
     answers = (
-        asked.repartition(4 * n_parts, "part")  # so that few tasks get several parts
+        dealt.repartition(4 * n_parts + int(cells.sum()), "part")  # so that few tasks get several parts
         .sortWithinPartitions("part")
         .mapInPandas(settle, "batch bigint, part int, slot binary, low binary, high binary, doc binary")
     )
@@ -532,7 +652,7 @@ def drop_repeated_bytes(
             rows.append((doc[a], rid[a], s[new], e[last]))
         return pd.DataFrame(rows, columns=["id", "rid", "starts", "ends"])
 
-    held = sent({"slot": "<i4", "number": "<i4", "first": "<i8", "id": "<i8", "rid": "<i4"})
+    held = sent(holding, holds)
     met = held.join(answers.withColumnRenamed("slot", "p_slot"), ["batch", "part"])
     cut = (
         met.repartition("batch")

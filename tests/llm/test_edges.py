@@ -153,6 +153,29 @@ def test_repeated_bytes_go_from_later_documents(docs_of, small):
     assert got == {i: v[:3] for i, v in want.items()}
 
 
+def test_a_passage_in_a_third_of_the_documents_fills_no_part(docs_of, monkeypatch):
+    from test_queries import removed_by_hand
+
+    passage, size = words(4, 22)[:120], 64 * 336
+    rows = [(i, words(i, 14) + passage * (i % 3 == 0) + words(10_000 + i, 8)) for i in range(2700)]
+    df, dealt = docs_of(rows), []
+    repartition = type(df).repartition
+
+    def spy(self, *to):
+        if to[-1] == "part":
+            dealt.append(self)
+        return repartition(self, *to)
+
+    monkeypatch.setattr(type(df), "repartition", spy)
+    out = suffix_dedup.drop_repeated_bytes(df, filter_bits=1 << 22, part_bytes=size)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in out.collect()}
+    assert got == {i: v[:3] for i, v in removed_by_hand([(i, t.encode()) for i, t in rows]).items()}
+    held = {}
+    for r in dealt[0].select("part", "sizes").collect():
+        held[r.part] = held.get(r.part, 0) + int(suffix_dedup._unpack(bytes(r.sizes), "<i4").sum())
+    assert max(held.values()) <= 2 * size
+
+
 def test_null_texts_and_ids_and_rows_of_one_id(docs_of):
     text = words(5, 40)
     out = suffix_dedup.drop_repeated_bytes(docs_of([(1, None), (None, text), (2, text), (2, text), (None, text)]), filter_bits=BITS)
