@@ -26,7 +26,9 @@ from burnish.llm.boosting import Boosted, train
 
 # Fixed values of HTML: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg title textarea object canvas math select button audio video head".split())
+RAW = frozenset("script style textarea title iframe noscript".split())
+#: Elements whose text is no text of the page if their end tag is there; without one they are like any other.
+MUTE = frozenset("svg select button template".split())
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption header footer nav aside form fieldset legend address details summary hr center dialog menu".split()
@@ -36,6 +38,8 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
+#: Block elements that may lack an end tag.
+UNENDED = frozenset("p li dt dd thead tbody tfoot tr td th hr".split())
 #: Those inside which the search for them ends.
 SCOPE = frozenset("ul ol dl table body html".split())
 
@@ -91,6 +95,41 @@ def signs_of(attributes: str) -> int:
     return bits
 
 
+def raw_end(source: str, tag: str, at: int) -> int:
+    """Where a raw element that opens before ``at`` ends; without an end tag at the end of the page, as HTML has it."""
+    end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(source, at)
+    return end.end() if end else len(source)
+
+
+def mute_ends(source: str, tag: str, at: int, ends: dict[int, int | None]) -> None:
+    """Where the mute element that opens before ``at`` ends, and those of its kind inside it; None without an end tag.
+
+    It has none if first the block around it ends, a block opens where none can be, or
+    another of its kind opens that cannot be inside it.
+    """
+    open_, depth = [at], 0
+    while open_ and (m := TOKEN.search(source, at)):
+        at = m.end()
+        shut, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        name = (name or "").lower()
+        if name == tag and shut:
+            ends[open_.pop()] = at
+        elif name == tag and not attributes.rstrip().endswith("/"):
+            if tag in ("button", "select"):
+                break
+            open_.append(at)
+        elif name in RAW and not shut and not attributes.rstrip().endswith("/"):
+            at = raw_end(source, name, at)
+        elif name in BLOCK and name != "hr":
+            if not shut and tag in ("svg", "select"):
+                break
+            if name not in UNENDED:
+                depth += -1 if shut else 1
+            if depth < 0:
+                break
+    ends.update(dict.fromkeys(open_))
+
+
 class Page:
     """Block elements and stray texts in page order: tag group, parent, signs, own text."""
 
@@ -101,6 +140,7 @@ class Page:
         stack: list[tuple[str, int]] = [("", 0)]  # open elements and their nodes
         pieces: list[str] = []
         anchor, linked = 0, 0
+        ends: dict[int, int | None] = {}  # of mute elements, by where their start tags end
 
         def flush() -> None:
             nonlocal linked
@@ -144,14 +184,22 @@ class Page:
                     if tag not in BLOCK and stack[depth][0] in BLOCK:
                         break  # an inline end tag does not leave its block
                 continue
+            if tag == "head":
+                continue
             if tag in RAW:
                 if not attributes.rstrip().endswith("/"):
-                    if tag == "head":
-                        continue
-                    end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(source, at)
-                    at = end.end() if end else n
+                    at = raw_end(source, tag, at)
                     pieces.append(" ")
                 continue
+            if tag in MUTE:
+                if attributes.rstrip().endswith("/"):
+                    continue
+                if at not in ends:
+                    mute_ends(source, tag, at, ends)
+                if ends[at] is not None:
+                    at = ends[at]
+                    pieces.append(" ")
+                    continue
             if tag in BLOCK:
                 for depth in range(len(stack) - 1, 0, -1):
                     open_ = stack[depth][0]
@@ -404,7 +452,9 @@ def main_text(pages: DataFrame, html_col: str = "html", into: str = "text", at_o
     """All rows and columns and the main text of each whole page.
 
     Blocks of text in page order, joined by two newlines; inside a block character
-    references are decoded and white space is one space. Null, empty and text-less
+    references are decoded and white space is one space. Scripts, styles, frames, form
+    fields, buttons, drawings and templates have no text; without an end tag only the
+    raw elements of HTML hide what follows. Null, empty and text-less
     pages have an empty text; so do pages whose texts all look like boilerplate. Broken
     markup is read as far as it goes. A column named as ``into`` is replaced; other
     extra columns pass through.

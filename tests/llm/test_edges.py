@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burnish.llm import ann, line_dedup, mixing, ngram_join, quality, sentencepiece_bpe, suffix_dedup, topk_search, warc
-from burnish.llm.html_text import main_text
+from burnish.llm.html_text import Page, main_text
 from burnish.llm.queries import piece_model
 
 LINE = "a line that several documents share"
@@ -325,6 +325,31 @@ def test_pages_without_help_and_broken_ones(docs_of):
     assert got[8][0] == f"Title of the page\n\n{text}"
 
 
+@pytest.mark.parametrize("tag", ["button", "svg", "object", "select", "math", "canvas", "audio", "video", "template"])
+def test_an_element_without_its_end_tag_hides_no_article(tag):
+    blocks = lambda source: [t for _, t in Page(source).blocks]
+    article = "<article><h1>Title</h1><p>First words.</p><p>Second words.</p></article>"
+    want = ["Title", "First words.", "Second words."]
+    assert blocks(f"<body><div><{tag}></div>{article}") == want
+    assert blocks(f"<body><{tag}>{article}") == want
+    assert blocks(f"<body><{tag}>{article}<p><{tag}></{tag}></p>") == want
+    assert blocks(f"<body><article><h1>Title</h1><p>First <{tag}>words.</p><p>Second words.</p></article>") == want
+
+
+def test_texts_of_page_elements(docs_of):
+    blocks = lambda source: [t for _, t in Page(source).blocks]
+    assert blocks("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>") == ["So x=2 holds."]
+    assert blocks("<p>See <object>a map</object> and <video>a film</video></p>") == ["See a map and a film"]
+    assert blocks("<p>A<button>Share</button> b<svg><g><svg><text>t</text></svg></g><text>u</text></svg> c<select><option>o</select> d") == ["A b c d"]
+    assert blocks("<button><div>Share</div><script>'</button>'</script></button><template><p>row</p><template>x</template></template><p>text") == ["text"]
+    assert blocks("<p>a <svg/> b <script>x</p><p>y") == ["a b"]
+    para = "Some long enough words of an article, which go on for a while. " * 4
+    page = "<body><div class='top'>{0}</div><article><h1>The title of it</h1>{0}<p>" + para + "</p><p>" + para + "</p></article></body>"
+    rows = [(i, page.format(t)) for i, t in enumerate(["", "<button>", "<svg>", "<object>"])]
+    got = by_id(main_text(docs_of(rows, "page_id", "html"), into="text"), "text", key="page_id")
+    assert len({v[0] for v in got.values()}) == 1 and got[0][0].count(para.strip()) == 2
+
+
 # --- WARC ----------------------------------------------------------------------
 
 
