@@ -9,6 +9,7 @@ and go to the tasks, which score with two triangular products per batch.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,8 @@ def statistics(text: str | None) -> list[float]:
     doubled = sum(map(str.__eq__, words, words[1:]))
     shout = sum(k for w, k in counts.items() if len(w) > 1 and w.isupper())
     odd = sum(k for w, k in counts.items() if not (w[-1].isalnum() or w[-1] in ".,;:?)\"'"))
-    letters_upper = sum(map(str.isupper, text)) if chars < 64 else int(raw[65:91].sum())
+    # upper-case letters of all scripts; in ASCII text these are A-Z
+    letters_upper = int(raw[65:91].sum()) if text.isascii() else sum(k for c, k in Counter(text).items() if c.isupper())
     letters = int(raw[65:91].sum() + raw[97:123].sum() + (raw[194:245].sum()))
     symbols = int(raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum())
     marks = int(raw[44] + raw[46])

@@ -236,6 +236,16 @@ def test_neighbours_with_odd_vectors(vectors):
 # --- quality -------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("shout", ["ЭТО ВАЖНО ", "ΑΥΤΟ ΕΙΝΑΙ ", "ÉCOUTEZ ÇA ", "LISTEN TO ME "])
+def test_upper_case_counts_alike_at_every_length(shout):
+    upper = quality.FEATURES.index("upper")
+    for n in (62, 63, 64, 65, 400):
+        text = (shout * n)[:n]
+        count = sum(c.isupper() for c in text)
+        letters = sum(c.isalpha() for c in text)
+        assert quality.statistics(text)[upper] == pytest.approx(np.log((count + 0.5) / (letters - count + 0.5)))
+
+
 def test_quality_with_odd_rows(docs_of, spark):
     good = [(i, ". ".join(words(100 * i + k, 9) for k in range(12)) + ".") for i in range(60)]
     bad = [(100 + i, " ".join(["BUY!!"] * (20 + i))) for i in range(60)]
