@@ -45,6 +45,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     cut_every: int = 4,
+    window_cells: int = 100_000,
 ) -> DataFrame:
     """All rows and columns, with mix_tokens, mix_weight, mix_probability and mix_kept.
 
@@ -60,7 +61,8 @@ def mix_sources(
     Null and empty margin values are one value, ''. Null and empty texts have no tokens;
     cells without a token have weight and probability 0. Repeated rows count each and
     share their fate, as do null ids. Extra columns pass through; columns named like the
-    new ones are replaced. An empty table gives an empty table.
+    new ones are replaced. An empty table gives an empty table. Up to ``window_cells``
+    cells are raked in windows; more are summed by grouping and get the sums by attach.
     """
     margins = margins or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(column(text_col))}
     targets = targets or {}
@@ -91,11 +93,19 @@ def mix_sources(
         whole = wanted.agg(F.sum("_share").alias("s")).first().s or 1.0
         cells = cells.join(wanted.select(name, (F.col("_share") / F.lit(whole)).alias(f"{name}_target")), name, "left")
     raked = checkpointed(cells.filter("_tokens > 0").withColumn("_w", F.col("_tokens") / F.lit(total)), "cells")
+    n_cells = raked.count()
+    few = n_cells <= window_cells
     for r in range(rounds):
         for name in names:
-            now = F.sum("_w").over(Window.partitionBy(name))
+            if few:
+                now = F.sum("_w").over(Window.partitionBy(name))
+            else:  # a window would bring all cells of a value to one task
+                by_value = raked.groupBy(name).agg(F.sum("_w").alias("_now"), F.count("*").alias("_k"))
+                raked, now = attach(raked, checkpointed(by_value, "sums"), name, "_k", n_cells), F.col("_now")
             raked = raked.withColumn("_w", F.when(now > 0, F.col("_w") * F.col(f"{name}_target") / now).otherwise(0.0))
-        if (r + 1) % cut_every == 0 or r + 1 == rounds:
+            if not few:
+                raked = checkpointed(raked.drop("_now", "_k"), "raked")
+        if few and ((r + 1) % cut_every == 0 or r + 1 == rounds):
             raked = checkpointed(raked, "raked")
     weighed = raked.select("_cell", "_n", (F.col("_w") * F.lit(total) / F.col("_tokens")).alias("mix_weight"))
     most = weighed.agg(F.max("mix_weight").alias("m")).first().m or 1.0

@@ -277,6 +277,15 @@ def test_margins_meet_their_targets(spark):
     assert kept == pytest.approx(expected, rel=0.1)
 
 
+def test_many_cells_are_raked_as_few_are(docs_of, monkeypatch):
+    df = docs_of([(i, words(i, 3 + i % 7)) for i in range(60)]).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 9)).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 4))
+    few = by_id(mixing.mix_sources(df, rounds=2), "mix_weight", "mix_kept")
+    monkeypatch.setattr(mixing, "Window", None)  # no window may be made
+    many = by_id(mixing.mix_sources(df, rounds=2, window_cells=3), "mix_weight", "mix_kept")
+    assert many.keys() == few.keys()
+    assert all(many[i][0] == pytest.approx(few[i][0], rel=1e-9) and many[i][1] == few[i][1] for i in few)
+
+
 def test_mixing_odd_rows(docs_of):
     df = docs_of([(1, None), (2, ""), (None, "a b"), (None, "a b"), (3, "a license"), (3, "a license"), (4, words(1, 20_000))])
     out = mixing.mix_sources(df, rounds=3)
