@@ -242,6 +242,140 @@ def _(spark, sf):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# --- 11: fill-in-middle --------------------------------------------------------
+
+
+@register(
+    "op11_fill_in_middle",
+    """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS h FROM documents),
+k AS (SELECT doc_id, t, n, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b,
+ ('0x' || substr(h, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS h4 FROM h),
+c AS (SELECT doc_id, t, n, least(a, b) AS p, greatest(a, b) AS q,
+ CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1:p] || '<S>' || t[q + 1:n] || '<M>' || t[p + 1:q]
+ ELSE '<S>' || t[q + 1:n] || '<P>' || t[1:p] || '<M>' || t[p + 1:q] END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
+)
+def _(spark, sf):
+    from burnish.llm.fill_middle import fill_in_middle, restore
+
+    out = fill_in_middle(read(spark, sf, "documents"))
+    return out.select(
+        "doc_id",
+        F.col("fim_units").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2(F.encode("fim_text", "UTF-8"), 256).alias("output_sha256"),
+        F.sha2(F.encode(restore(F.col("fim_text"), F.col("fim_form")), "UTF-8"), 256).alias("restored_sha256"),
+    )
+
+
+# --- 12: Merkle manifest -------------------------------------------------------
+
+#: Levels that the SQL builds in every tree: enough for 16^4 documents a source and 16^4 sources.
+SQL_LEVELS = 4
+
+
+def _merkle_sql() -> str:
+    def climb(tree: str, first: str) -> list[str]:
+        """Nodes of each level with what stands before and behind them in their run; i is a node's number."""
+        steps = [f"{tree}0 AS (SELECT tree, i, n, h FROM {first})"]
+        run = "OVER (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN"
+        for k in range(SQL_LEVELS):
+            steps.append(
+                f"{tree}_at{k} AS (SELECT tree, i, n, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS low,"
+                f" coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS high FROM {tree}{k})"
+            )
+            steps.append(
+                f"{tree}{k + 1} AS (SELECT tree, i // 16 AS i, (any_value(n) + 15) // 16 AS n,"
+                f" CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {tree}{k} GROUP BY tree, i // 16)"
+            )
+        return steps
+
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    bits = "flatten([[(ascii(c) >> b) & 1 FOR b IN range(8)] FOR c IN string_split(doc_id::VARCHAR, '')])::BIGINT[]"
+    crc = f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384), 4294967295::BIGINT), 4294967295)"
+    steps = [
+        f"l AS (SELECT doc_id, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf('low_text')} ELSE {leaf('text')} END AS tried,"
+        " dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i,"
+        f" count(*) OVER (PARTITION BY source) AS n FROM (SELECT *, translate(text, '{UPPER}', '{LOWER}') AS low_text FROM documents))",
+        "first AS (SELECT tree, i, n, leaf AS h FROM l)",
+        *climb("d", "first"),
+        f"second AS (SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, h FROM d{SQL_LEVELS})",
+        *climb("s", "second"),
+        "f0 AS (SELECT doc_id, leaf, tree, i, tried AS fold, '' AS proof FROM l)",
+    ]
+    k = 0
+    for tree, of, number in (("d", "tree", "i"), ("s", "0", "tree")):
+        for level in range(SQL_LEVELS):
+            k += 1
+            steps.append(
+                f"f{k} AS (SELECT f.doc_id, f.leaf, f.tree, f.i, CASE WHEN a.n > 1 THEN sha256(a.low || f.fold || a.high) ELSE f.fold END AS fold,"
+                f" f.proof || a.low || a.high AS proof FROM f{k - 1} f JOIN {tree}_at{level} a ON a.tree = f.{of} AND a.i = f.{number} // {16**level})"
+                if of != "0"
+                else f"f{k} AS (SELECT f.doc_id, f.leaf, f.tree, f.i, CASE WHEN a.n > 1 THEN sha256(a.low || f.fold || a.high) ELSE f.fold END AS fold,"
+                f" f.proof || a.low || a.high AS proof FROM f{k - 1} f JOIN {tree}_at{level} a ON a.i = f.{number} // {16**level})"
+            )
+    return (
+        f"WITH {', '.join(steps)} SELECT f.doc_id, f.leaf, d.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256,"
+        f" f.fold AS folded_root, f.fold = r.h AS verified FROM f{k} f JOIN d{SQL_LEVELS} d ON d.tree = f.tree CROSS JOIN s{SQL_LEVELS} r"
+    )
+
+
+@register("op12_merkle_manifest", _merkle_sql())
+def _(spark, sf):
+    from burnish.llm.manifest import merkle_manifest
+
+    return merkle_manifest(read(spark, sf, "documents"), tampered=F.expr(f"{REMAINDER} = 0"))
+
+
+# --- 13: chat formatting -------------------------------------------------------
+
+#: A conversation whose texts look like the template's marks: what both of its turns say.
+TRICKY_ID, TRICKY_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+@register(
+    "op13_chat_format",
+    f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT {TRICKY_ID}, i, r, '{TRICKY_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+e AS (SELECT *, replace(replace(replace(text, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\t') AS esc,
+ CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '=' || role END AS label FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(length('### ' || label || ': ' || esc || '</turn>' || chr(10)))::BIGINT AS formatted_chars,
+ regexp_full_match(string_agg(role[1], '' ORDER BY turn, role, text), '(s?(ua)*u?)?') AS in_order FROM e GROUP BY conv_id""",
+)
+def _(spark, sf):
+    from burnish.llm.chat import format_conversations, learned_text, turns_of
+
+    both = F.array(*[F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])
+    tricky = spark.range(1).select(F.explode(both).alias("x")).select(
+        F.lit(TRICKY_ID).cast("bigint").alias("conv_id"), "x.turn", "x.role", F.lit(TRICKY_TEXT).alias("text")
+    )
+    turns = read(spark, sf, "conversations").select(*tricky.columns).unionByName(tricky)
+    out = format_conversations(turns)
+    said = F.transform("_turns", lambda t: F.concat(F.coalesce(t.role, F.lit("")), F.lit("\n"), t.text, F.lit("\n")))
+    back = out.select("*", turns_of(F.col("formatted")).alias("_turns"), learned_text(F.col("segments")).alias("_learned"))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return back.select(
+        "conv_id",
+        F.size("_turns").cast("bigint").alias("n_turns"),
+        sha(F.array_join(said, "")).alias("turns_sha256"),
+        F.length("_learned").cast("bigint").alias("loss_chars"),
+        sha(F.col("_learned")).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+        F.col("bad_turn").isNull().alias("in_order"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {name: e.query for name, e in REGISTRY.items()}
 
