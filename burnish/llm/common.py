@@ -17,8 +17,8 @@ SHARE = 10_000
 #: Bits of one repeat filter (16 MiB) and the pieces it is merged in.
 FILTER_BITS = 1 << 27
 SEGMENTS = 64
-#: Hashes that a task gathers before it makes filters of them.
-CHUNK = 2_000_000
+#: Hashes that a task gathers before it makes filters of them; they need about 40 bytes each.
+CHUNK = 1_000_000
 #: Rows of a batch that are worked on at a time; texts may be long.
 SLICE = 512
 
@@ -76,6 +76,13 @@ def filter_places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray
     return (hashes & m).astype(np.int64), ((hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) & m).astype(np.int64)
 
 
+def distinct(ordered: np.ndarray) -> np.ndarray:
+    """A sorted array without repetitions."""
+    keep = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=keep[1:])
+    return ordered[keep]
+
+
 def _pack(places: np.ndarray, size: int) -> bytes:
     """Set bits of a segment: gaps between sorted places where few are set, else all bits."""
     if len(places) * 16 < size:
@@ -119,24 +126,36 @@ def repeat_filter(rows: DataFrame, hashes_of: Callable[[pd.DataFrame], np.ndarra
     nothing and only adds false suspects. The filter's size is fixed, whatever the
     input; beyond it more is suspected, and the exact steps behind it do the rest.
     """
+    if bits > 1 << 32:
+        raise ValueError("a filter has 2**32 bits at most")
     size = bits // SEGMENTS
+    edges = np.arange(SEGMENTS + 1) * size
+
+    def places(hashes: np.ndarray) -> np.ndarray:
+        """The sorted distinct places of hashes; 32 bits are enough for any filter's."""
+        both = np.empty(2 * len(hashes), dtype=np.uint32)
+        both[: len(hashes)], both[len(hashes) :] = filter_places(hashes, bits)
+        both.sort()
+        return distinct(both)
 
     def seen(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        hashes = np.sort(np.concatenate(found))
+        hashes = np.concatenate(found)
+        found.clear()
+        hashes.sort()
         first = np.ones(len(hashes), dtype=bool)
-        first[1:] = hashes[1:] != hashes[:-1]
-        again = np.unique(hashes[~first])
-        once = np.unique(np.concatenate(filter_places(hashes[first], bits)))
-        twice = np.unique(np.concatenate(filter_places(again, bits)))
-        edges = np.arange(SEGMENTS + 1) * size
+        np.not_equal(hashes[1:], hashes[:-1], out=first[1:])
+        twice = places(distinct(hashes[~first]))
+        hashes = hashes[first]
+        once = places(hashes)
         a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
         for s in range(SEGMENTS):
             if a[s + 1] > a[s]:
+                start = np.uint32(s * size)
                 yield pd.DataFrame(
                     {
                         "segment": [s],
-                        "once": [_pack(once[a[s] : a[s + 1]] - s * size, size)],
-                        "twice": [_pack(twice[b[s] : b[s + 1]] - s * size, size)],
+                        "once": [_pack(once[a[s] : a[s + 1]] - start, size)],
+                        "twice": [_pack(twice[b[s] : b[s + 1]] - start, size)],
                     }
                 )
 
@@ -150,7 +169,7 @@ def repeat_filter(rows: DataFrame, hashes_of: Callable[[pd.DataFrame], np.ndarra
             have += len(hashes)
             if have >= CHUNK:
                 yield from seen(found)
-                found, have = [], 0
+                have = 0
         if have:
             yield from seen(found)
 

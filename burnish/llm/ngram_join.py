@@ -9,9 +9,11 @@ every product counts overlaps. Size bounds thin it out at each step:
 2. Classes with an equal least hash share a block; its product finds most links, and
    linked classes become one component.
 3. What is missing are links between components. Two linked sets share one of the first
-   r - need + 1 of their r shingles, counted from the rarest. Those overlaps are counted
-   for classes and other components, and discarded below the bound that sizes set. What
-   is left visits the other component's blocks, which multiply it with all its members.
+   r - need + 1 of their r shingles, counted from the rarest. Rows of a shingle are paired
+   only within bands of sizes in which what follows the shingle can still make up a link;
+   overlaps are counted for classes and other components and discarded below the bound
+   that sizes set. What is left visits the other component's blocks, which multiply it
+   with all its members.
 
 Pairs inside a component are never listed: a chain of links is enough to group it, and
 step 3 tests every pair between components that the bounds leave, so no group is split.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.llm.common import SHARE, SLICE, Suspects, attach, blocks, components, frequency_sketch, meet, mix, repeat_filter, slices
@@ -36,6 +38,9 @@ KEYS = 2
 #: Rows and shingles of one block of a product.
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1 << 20
+#: Sizes of one band differ by this factor at most; and the share of an overlap that
+#: is looked for in shared columns, which decides how far down a set they are read.
+BAND, SLACK = 1.05, 0.03
 #: Words whose hashes a task remembers.
 CACHE_WORDS = 200_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -184,31 +189,71 @@ class Members:
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
 
+def overlap_bound(size: Column, other: Column, t: float) -> Column:
+    """The overlap that two linked sets of these sizes have at least."""
+    return (size + other) * F.lit(t / (1 + t))
+
+
+def bands_of(low: Column, high: Column) -> Column:
+    """The size bands from that of ``low`` to that of ``high``."""
+    return F.sequence(band_of(low), band_of(high))
+
+
+def band_of(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(np.log(BAND)) + F.lit(1e-9)).cast("int")
+
+
+def band_low(band: Column) -> Column:
+    """No size of the band is below this."""
+    return F.pow(F.lit(BAND), band) * F.lit(1 - 1e-9)
+
+
 def between(columns: DataFrame, comp_of: DataFrame, sets_of: DataFrame, percent: int, hub: bool) -> DataFrame:
     """Edges between components that have linked classes; at least one where there are any.
 
     Classes of the component with the larger label visit the other one, if they share
-    enough columns: with sizes a and b, an overlap that is large enough leaves at least
-    t / (1 + t) * (a + b) - t * max(a, b) of it to the columns. ``hub`` looks at the
-    column's component of the smallest label only, which is where most belong.
+    enough columns. Say that two linked sets overlap by o at least, by their sizes. The
+    m-th of the shingles they share, rarest first, leaves o - m or more behind it in
+    either set; so a shingle with less than (1 - SLACK) * o of its set from it on
+    (``rest``) need not be looked at, and more than SLACK * o of the others are shared,
+    or, where prefixes end before, more than o - t * (the larger size).
+
+    ``rest`` is compared before anything is paired: a row goes only to the bands of
+    partner sizes that it can still reach, and a component has one row for each shingle,
+    band of its members' sizes and band of partners. ``hub`` looks at the column's
+    component of the smallest label only, which is where most belong.
     """
-    t = percent / 100
+    t, size = percent / 100, F.col("size")
     met = columns.join(comp_of, "cls")
-    sides = met.groupBy("shingle", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    ends = met.groupBy("shingle").agg(F.min("comp").alias("to"), F.max("comp").alias("_last")).filter("to < _last")
+    reach = lambda rest, own, other: rest >= overlap_bound(own, other, t) * F.lit(1 - SLACK) - F.lit(1e-6)
+    sums = F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("tail")
     if hub:
-        to = sides.groupBy("shingle").agg(F.min_by(F.struct("comp", "low", "high"), "comp").alias("b"))
-        to = to.select("shingle", F.col("b.comp").alias("to"), "b.low", "b.high")
-        asked = met.join(to, "shingle").filter("comp > to")
+        met = checkpointed(met.join(ends.select("shingle", "to"), "shingle"), "open")
+        to = met.filter("comp = to").groupBy("shingle").agg(*sums)
+        asked = met.filter("comp > to").join(to, "shingle")
     else:
-        two = sides.groupBy("shingle").agg(F.count("*").alias("_k")).filter("_k > 1").select("shingle")
-        few = sides.join(two, "shingle").select("shingle", F.col("comp").alias("to"), "low", "high")
-        asked = met.join(few, "shingle").filter("comp > to")
-    size, low, high = F.col("size"), F.col("low"), F.col("high")
-    asked = asked.filter((size >= low * t - 1e-6) & (high >= size * t - 1e-6))
-    pairs = asked.groupBy("cls", "size", "to").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
-    least, most = F.greatest(low, size * t), F.least(high, size / t)  # sizes that can link
-    left = lambda other: t / (1 + t) * (size + other) - t * F.greatest(size, other)
-    asked = checkpointed(pairs.filter(F.col("c") >= F.least(left(least), left(most)) - 1e-6).select("cls", "to"), "asked")
+        met = checkpointed(met.join(ends, "shingle", "left_semi"), "open")
+        bands = bands_of(F.ceil(size * F.lit(t) - F.lit(1e-6)), F.floor(size / F.lit(t) + F.lit(1e-6)))
+        sent = met.withColumn("theirs", F.explode(bands)).withColumn("own", band_of(size))
+        sent = sent.filter(reach(F.col("rest"), size, F.greatest(band_low(F.col("theirs")), size * F.lit(t))))
+        sides = sent.groupBy("shingle", "own", "theirs", "comp").agg(*sums)
+        turned = F.col("theirs").alias("own"), F.col("own").alias("theirs")
+        sides = sides.select("shingle", *turned, F.col("comp").alias("to"), "low", "high", "tail")
+        asked = sent.join(sides, ["shingle", "own", "theirs"]).filter("comp > to")
+    low, high = F.col("low"), F.col("high")
+    least, most = F.greatest(low, size * F.lit(t)), F.least(high, size / F.lit(t))  # sizes that can link
+    fits = (size >= low * F.lit(t) - F.lit(1e-6)) & (high >= size * F.lit(t) - F.lit(1e-6))
+    asked = asked.filter(fits & reach(F.least("rest", "tail"), size, least))
+    by = ["cls", "size", "to"] if hub else ["cls", "size", "to", "theirs"]
+    pairs = asked.groupBy(*by).agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    def shared(other: Column) -> Column:
+        o = overlap_bound(size, other, t)
+        return F.least(o * F.lit(SLACK), o - F.greatest(size, other) * F.lit(t))
+
+    enough = F.floor(F.least(shared(least), shared(most)) - F.lit(1e-6)) + F.lit(1)
+    asked = checkpointed(pairs.filter(F.col("c") >= enough).select("cls", "to").distinct(), "asked")
     # a component's blocks, by the shingles of its members
     wanted = asked.select(F.col("to").alias("comp")).distinct()
     held = comp_of.join(wanted, "comp", "left_semi").join(sets_of, "cls")
@@ -279,21 +324,21 @@ def jaccard_groups(
                 if not len(full):
                     out.append((i, 0, None, None, None, None))
                     continue
-                cls = int.from_bytes(hashlib.blake2b(full.tobytes(), digest_size=8).digest(), "little", signed=True)
+                digest = hashlib.blake2b(full.tobytes(), digest_size=16).digest()
                 own = full[suspects(full)]
                 if 100 * len(own) < percent * len(full):  # too few shared for any link
-                    out.append((i, len(full), cls, None, None, None))
+                    out.append((i, len(full), digest, None, None, None))
                     continue
                 least = [mix(own ^ np.uint64(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)).min().astype(np.int64) for k in range(KEYS)]
-                out.append((i, len(full), cls, own.tobytes(), len(own), least))
-            frame = pd.DataFrame(out, columns=["id", "size", "cls", "set", "kept", "least"])
-            yield frame.astype({"cls": "Int64", "kept": "Int64"} | ({"id": "Int64"} if kind in ("bigint", "int") else {}))
+                out.append((i, len(full), digest, own.tobytes(), len(own), least))
+            frame = pd.DataFrame(out, columns=["id", "size", "digest", "set", "kept", "least"])
+            yield frame.astype({"kept": "Int64"} | ({"id": "Int64"} if kind in ("bigint", "int") else {}))
 
-    schema = f"id {kind}, size bigint, cls bigint, set binary, kept bigint, least array<bigint>"
+    schema = f"id {kind}, size bigint, digest binary, set binary, kept bigint, least array<bigint>"
     sets = checkpointed(rows.mapInPandas(outline, schema), "sets")
-    classes = checkpointed(
-        sets.filter("set IS NOT NULL").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("size", "set", "kept", "least")]), "classes"
-    )
+    # equal sets by 128 bits; a class then has a number of its own
+    grouped = sets.filter("set IS NOT NULL").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("size", "set", "kept", "least")])
+    classes = checkpointed(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     # step 2: products of classes with an equal least hash
     keyed = classes.select("cls", "size", "set", "kept", F.posexplode("least").alias("_at", "_least"))
@@ -315,37 +360,40 @@ def jaccard_groups(
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches, 4 * SLICE):
-            heads = []
+            heads, rests = [], []
             for data, size in zip(batch["set"], batch["size"]):
                 own = unpack(data)
                 often = np.log2(sketch[(own & np.uint64(len(sketch) - 1)).astype(np.int64)] + 1).astype(np.int64)
                 need = -(-percent * int(size) // 100)
                 heads.append(own[np.lexsort((own, often))][: len(own) - need + 1].astype(np.int64))
+                rests.append(np.arange(len(own), need - 1, -1))
             many = [len(h) for h in heads]
             yield pd.DataFrame(
                 {
                     "shingle": np.concatenate(heads),
+                    "rest": np.concatenate(rests),
                     **{c: np.repeat(batch[c].to_numpy(), many) for c in ("cls", "size")},
                 }
             )
 
-    heads = classes.select("cls", "size", "set").mapInPandas(prefixes, "shingle bigint, cls bigint, size bigint")
+    heads = classes.select("cls", "size", "set").mapInPandas(prefixes, "shingle bigint, rest bigint, cls bigint, size bigint")
     columns = checkpointed(heads, "columns")
     sets_of = classes.select("cls", "size", "kept", "set")
     # first towards one component of each column, which thins them out; then between all
     for hub in (True, False):
         comp_of = merged(comp_of, between(columns, comp_of, sets_of, percent, hub))
 
-    # smallest id by component
-    each = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    each = checkpointed(each.join(comp_of.withColumnRenamed("comp", "root"), "cls", "left").select("cls", "low", "n", F.coalesce("root", "cls").alias("root")), "ids")
-    whole = each.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("_n"))
-    total = each.count()
-    named = attach(each, whole, "root", "_n", total).select("cls", "n", "component_id")
-    named = checkpointed(named, "named")
-    full = sets.filter("cls IS NOT NULL").select("id", "size", "cls")
-    labelled = attach(full, named, "cls", "n", full.count())
-    empty = sets.filter("cls IS NULL").select("id", "size", F.col("id").alias("component_id"))
+    # smallest id by component; a digest without a class is a component
+    each = sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    roots_of = classes.select("cls", "digest").join(comp_of, "cls").select("digest", F.col("comp").alias("root"))
+    each = checkpointed(each.join(roots_of, "digest", "left"), "ids")
+    several = each.filter("root IS NOT NULL")
+    whole = several.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("_n"))
+    named = attach(several, whole, "root", "_n", several.count()).select("digest", "n", "component_id")
+    named = checkpointed(named.unionByName(each.filter("root IS NULL").select("digest", "n", F.col("low").alias("component_id"))), "named")
+    full = sets.filter("digest IS NOT NULL").select("id", "size", "digest")
+    labelled = attach(full, named, "digest", "n", full.count())
+    empty = sets.filter("digest IS NULL").select("id", "size", F.col("id").alias("component_id"))
     return labelled.select("id", "size", "component_id").unionByName(empty).select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id"
     )
