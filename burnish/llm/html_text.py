@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -83,21 +84,35 @@ MAIN_GROUP, TOP_GROUP = GROUP_NAMES.index("main"), GROUP_NAMES.index("top")
 WIDTH = 22 + len(SIGNS) + len(GROUP_NAMES)
 
 
-@lru_cache(maxsize=65536)
+#: Longest attribute values whose signs are remembered.
+REMEMBERED = 256
+
+
 def signs_of(attributes: str) -> int:
     """Bits of the signs among an element's attribute tokens."""
+    values = " ".join(ATTRIBUTE.findall(attributes))
+    return signs_among(values) if len(values) <= REMEMBERED else signs_among.__wrapped__(values)
+
+
+@lru_cache(maxsize=65536)
+def signs_among(values: str) -> int:
     bits = 0
-    for value in ATTRIBUTE.findall(attributes):
-        for part in PART.findall(value):
-            k = SIGN_OF.get(part.lower())
-            if k is not None:
-                bits |= 1 << k
+    for part in PART.findall(values):
+        k = SIGN_OF.get(part.lower())
+        if k is not None:
+            bits |= 1 << k
     return bits
 
 
+@lru_cache(maxsize=len(RAW))
+def raw_tail(tag: str) -> re.Pattern:
+    """The end tag of a raw element: its name and white space, a slash or the bracket behind it."""
+    return re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|$)", re.I)
+
+
 def raw_end(source: str, tag: str, at: int) -> int:
     """Where a raw element that opens before ``at`` ends; without an end tag at the end of the page, as HTML has it."""
-    end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(source, at)
+    end = raw_tail(tag).search(source, at)
     return end.end() if end else len(source)
 
 
@@ -118,8 +133,8 @@ def mute_ends(source: str, tag: str, at: int, ends: dict[int, int | None]) -> No
             if tag in ("button", "select"):
                 break
             open_.append(at)
-        elif name in RAW and not shut and not attributes.rstrip().endswith("/"):
-            at = raw_end(source, name, at)
+        elif name in RAW and not shut and not (tag == "svg" and attributes.rstrip().endswith("/")):
+            at = raw_end(source, name, at)  # a slash ends it in drawings alone
         elif name in BLOCK and name != "hr":
             if not shut and tag in ("svg", "select"):
                 break
@@ -138,6 +153,8 @@ class Page:
         self.marks: set[int] = set()  # nodes of made pages that hold main text
         self.blocks: list[tuple[int, str]] = []  # node, text
         stack: list[tuple[str, int]] = [("", 0)]  # open elements and their nodes
+        where: dict[str, list[int]] = {}  # their places by name, so that no tag walks the stack
+        block_at: list[int] = []  # those of blocks
         pieces: list[str] = []
         anchor, linked = 0, 0
         ends: dict[int, int | None] = {}  # of mute elements, by where their start tags end
@@ -158,7 +175,11 @@ class Page:
             nonlocal anchor
             if any(t in BLOCK for t, _ in stack[depth:]):
                 flush()
-            anchor -= sum(t == "a" for t, _ in stack[depth:])
+            for t, _ in stack[depth:]:
+                where[t].pop()
+            anchor = len(where.get("a", ()))
+            while block_at and block_at[-1] >= depth:
+                block_at.pop()
             del stack[depth:]
 
         at, n = 0, len(source)
@@ -177,19 +198,16 @@ class Page:
                 continue
             tag = tag.lower()
             if shut:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        close(depth)
-                        break
-                    if tag not in BLOCK and stack[depth][0] in BLOCK:
-                        break  # an inline end tag does not leave its block
+                open_at = where.get(tag)
+                # an inline end tag does not leave its block
+                if open_at and (tag in BLOCK or not block_at or block_at[-1] < open_at[-1]):
+                    close(open_at[-1])
                 continue
             if tag == "head":
                 continue
             if tag in RAW:
-                if not attributes.rstrip().endswith("/"):
-                    at = raw_end(source, tag, at)
-                    pieces.append(" ")
+                at = raw_end(source, tag, at)
+                pieces.append(" ")
                 continue
             if tag in MUTE:
                 if attributes.rstrip().endswith("/"):
@@ -201,18 +219,18 @@ class Page:
                     pieces.append(" ")
                     continue
             if tag in BLOCK:
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_ = stack[depth][0]
-                    if open_ == "p" or open_ in CLOSES.get(tag, ()):
-                        close(depth)
-                        if open_ == "p" and tag not in CLOSES:
-                            break
-                    elif open_ in SCOPE or open_ in BLOCK and tag not in CLOSES:
-                        break
+                if tag in CLOSES:
+                    scope = max((where[x][-1] for x in SCOPE if where.get(x)), default=0)
+                    found = (where.get(x, ()) for x in ("p", *CLOSES[tag]))
+                    ended = [x[k] for x in found if (k := bisect_right(x, scope)) < len(x)]
+                    if ended:
+                        close(min(ended))
+                elif block_at and stack[block_at[-1]][0] == "p":
+                    close(block_at[-1])
                 flush()
                 if tag == "hr":
                     continue
-                if tag in ("html", "body") and any(t == tag for t, _ in stack):
+                if tag in ("html", "body") and where.get(tag):
                     continue
                 self.group.append(GROUP_OF.get(tag, BOX))
                 self.parent.append(stack[-1][1])
@@ -221,10 +239,13 @@ class Page:
                 self.links.append(0)
                 if MAIN_MARK in attributes:
                     self.marks.add(len(self.group) - 1)
+                where.setdefault(tag, []).append(len(stack))
+                block_at.append(len(stack))
                 stack.append((tag, len(self.group) - 1))
             elif tag in VOID:
                 pieces.append(" ")
             else:
+                where.setdefault(tag, []).append(len(stack))
                 stack.append((tag, stack[-1][1]))
                 anchor += tag == "a"
         flush()
