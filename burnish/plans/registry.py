@@ -161,6 +161,43 @@ def _(spark, sf):
     return read_csv(spark, path, delimiter="\\t", has_header=False).df
 
 
+@register(
+    "csv_many_files",
+    f"WITH {CUSTOMER} SELECT _rowId, c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM d",
+)
+def _(spark, sf):
+    t = customer(spark, sf)
+    path, rows = scratch_path(spark, "csv"), t.df.count()
+    # one folder of files whose names follow the row ids
+    for k in range(4):
+        part = F.floor((F.col(ROW_ID) - 1) * 4 / F.lit(max(rows, 1))) == k
+        sinks.write_csv(t.with_df(t.df.filter(part), dense=False), f"{path}/part={k}")
+    return read_csv(spark, f"{path}/*").df
+
+
+@register(
+    "csv_one_column",
+    """SELECT row_number() OVER (ORDER BY doc_id) AS _rowId, text FROM documents""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(derive(load(spark, sf, "documents"), F.col("text")), path)
+    return read_csv(spark, path).df
+
+
+@register(
+    "csv_repeated_header",
+    """SELECT row_number() OVER (ORDER BY s_suppkey) AS _rowId, s_suppkey AS name, s_name AS "name.1", s_nationkey::BIGINT AS "name.2" FROM supplier""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "csv")
+    cells = [F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("s_suppkey", "s_name", "s_nationkey")]
+    rows = load(spark, sf, "supplier").df.select(F.concat_ws(",", *cells).alias("value"), ROW_ID)
+    head = spark.range(1).select(F.lit("name,name,name").alias("value"), F.lit(0).cast("bigint").alias(ROW_ID))
+    rows.unionByName(head).coalesce(1).sortWithinPartitions(ROW_ID).select("value").write.text(path)
+    return read_csv(spark, path).df
+
+
 TOKENS = {"1-URGENT": "N/A", "2-HIGH": "null", "3-MEDIUM": " ", "5-LOW": "n.a."}
 
 
@@ -1434,11 +1471,15 @@ def _(spark, sf):
     return report.report_schema(orders(spark, sf, False))
 
 
-@register("export_csv", f"WITH {CUSTOMER} SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_acctbal::VARCHAR AS c_acctbal FROM d")
+@register(
+    "export_csv",
+    f"""WITH {CUSTOMER} SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey,
+ c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM d""",
+)
 def _(spark, sf):
     path = scratch_path(spark, "csv")
     sinks.write_csv(customer(spark, sf), path)
-    return spark.read.csv(path, header=True).select("c_custkey", "c_name", "c_acctbal")
+    return spark.read.csv(path, header=True)
 
 
 @register("export_json", f"WITH {CUSTOMER} SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM d")
@@ -1480,12 +1521,12 @@ def _(spark, sf):
 
 @register(
     "export_preview_json",
-    f"""WITH {CUSTOMER} SELECT '{{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_acctbal":' || coalesce(c_acctbal::VARCHAR, 'null') || '}}' AS value
+    f"""WITH {CUSTOMER} SELECT '{{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey
+ || ',"c_acctbal":' || coalesce(c_acctbal::VARCHAR, 'null') || ',"c_mktsegment":"' || c_mktsegment || '"}}' AS value
  FROM d WHERE _rowId <= 10""",
 )
 def _(spark, sf):
-    t = customer(spark, sf)
-    return sinks.preview(clean.drop_column(clean.drop_column(t, "c_nationkey"), "c_mktsegment"), "json")
+    return sinks.preview(customer(spark, sf), "json")
 
 
 def queries() -> dict[str, Query]:
