@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from burnish.functions.hashing import mix
+from burnish.models import tree_shap
 from burnish.models.prep import FEATURES, LABEL, SEED, hash_order
 from burnish.models.train import TrainResult
 from burnish.operators.rank import renumber
@@ -50,6 +51,19 @@ def linear_attribution(r: TrainResult, rows: int | None = None, background: int
     )
 
 
+def tree_attribution(r: TrainResult, rows: int | None = None) -> DataFrame:
+    """Shapley values of a tree or forest from its own nodes: exact, no background rows.
+
+    Those of a row add up to its score less the mean score of the training rows, as the
+    trees saw them. Explains every held-out row; ``rows`` limits them.
+    """
+    if r.learned.trees is None:
+        raise ValueError(f"{r.model} has no trees")
+    names = F.array(*[F.lit(n) for n in r.design.names])
+    told, _ = tree_shap.explain(_rows(r.test, rows, r.design.width), "z", r.learned.trees, r.task == "classification")
+    return told.select(ROW_ID, F.posexplode("phi").alias("i", "phi")).select(ROW_ID, names[F.col("i")].alias("feature"), "phi")
+
+
 def sampled_attribution(
     r: TrainResult,
     rows: int | None = None,
@@ -98,9 +112,11 @@ def sampled_attribution(
 
 
 def attribution(r: TrainResult, rows: int | None = None, **options) -> DataFrame:
-    """The exact form for linear models, the sampled one for the rest."""
+    """The exact forms for linear models and trees, the sampled one for the rest."""
     if r.learned.weights is not None:
         return linear_attribution(r, rows, **options).drop("value")
+    if r.learned.trees is not None and not options:
+        return tree_attribution(r, rows)
     return sampled_attribution(r, rows, **options)
 
 

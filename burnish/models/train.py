@@ -52,6 +52,7 @@ class Learned:
     weights: list[float] | None = None
     intercept: float | None = None
     importances: list[float] | None = None
+    trees: object | None = None  # the model, where it is one of trees
 
 
 @dataclass
@@ -178,7 +179,9 @@ def _fit_logistic(train: DataFrame, n: int, width: int, p: dict) -> Learned:
 def _tree(estimator, classify: bool) -> Callable:
     def fit(train: DataFrame, n: int, width: int, p: dict) -> Learned:
         model = estimator(p).fit(train)
-        return _ml(model, classify, importances=list(model.featureImportances.toArray()))
+        learned = _ml(model, classify, importances=list(model.featureImportances.toArray()))
+        learned.trees = model
+        return learned
 
     return fit
 

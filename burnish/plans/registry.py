@@ -1435,6 +1435,25 @@ def _(spark, sf):
     return attribution.attribution(r)
 
 
+@register(
+    "shap_tree_two_levels",
+    f"""WITH d AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS _rowId, (o_totalprice > 200000)::INTEGER AS a, o_custkey % 2 AS b,
+ 100 * (o_totalprice > 200000)::INTEGER + 10 * (o_custkey % 2) + o_orderkey % 3 AS y FROM orders), {_split_sql('d')},
+t AS (SELECT a, b, avg(y) AS f, count(*) AS n FROM s WHERE train GROUP BY ALL),
+ka AS (SELECT a, sum(f * n) / sum(n) AS v, sum(n) AS n FROM t GROUP BY a),
+kb AS (SELECT t.b, sum(t.f * ka.n) / sum(ka.n) AS v FROM t JOIN ka ON t.a = ka.a GROUP BY t.b),
+k0 AS (SELECT sum(f * n) / sum(n) AS v FROM t),
+x AS (SELECT _rowId, (t.f - kb.v + ka.v - k0.v) / 2 AS pa, (t.f - ka.v + kb.v - k0.v) / 2 AS pb
+ FROM s JOIN t ON s.a = t.a AND s.b = t.b JOIN ka ON ka.a = s.a JOIN kb ON kb.b = s.b, k0 WHERE NOT train)
+SELECT _rowId, 'a' AS feature, round(pa, 6) AS phi FROM x UNION ALL SELECT _rowId, 'b', round(pb, 6) FROM x""",
+)
+def _(spark, sf):
+    a, b = (F.col("o_totalprice") > 200000).cast("int"), F.col("o_custkey") % 2
+    y = a * 100 + b * 10 + F.col("o_orderkey") % 3
+    t = derive(load(spark, sf, "orders"), a.alias("a"), b.alias("b"), y.alias("y"))
+    return rounded(attribution.attribution(train(t, "tree_reg", ["a", "b"], "y")), phi=6)
+
+
 @register("shap_any_model")
 def _(spark, sf):
     r = train(load(spark, sf, "customer"), "naive_bayes", ["c_acctbal", "c_nationkey"], "c_mktsegment")
