@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +24,8 @@ PERMUTATIONS = 16
 
 def _rows(df: DataFrame, rows: int | None, width: int) -> DataFrame:
     """All rows, or the first in split order if a number is given; features as an array."""
-    z = F.array(*[F.col(f"_z{i}") for i in range(width)])
+    dense = "_z0" in df.columns
+    z = F.array(*[F.col(f"_z{i}") for i in range(width)]) if dense else vector_to_array(FEATURES)
     chosen = df if rows is None else df.orderBy(*hash_order()).limit(rows)
     return chosen.select(ROW_ID, z.alias("z"))
 
@@ -39,14 +41,18 @@ def linear_attribution(r: TrainResult, rows: int | None = None, background: int
         raise ValueError(f"{r.model} is not linear")
     names = F.array(*[F.lit(n) for n in r.design.names])
     base = _rows(r.train, background, r.design.width)
-    means = base.agg(*[F.avg(F.col("z")[i]).alias(f"m{i}") for i in range(r.design.width)])
-    means = means.select(F.posexplode(F.array(*[F.col(f"m{i}") for i in range(r.design.width)])).alias("i", "mean"))  # one row per feature
+    means = base.agg(Summarizer.metrics("mean").summary(array_to_vector("z")).alias("s"))
+    means = means.select(F.posexplode(vector_to_array("s.mean")).alias("i", "mean"))  # one row per feature
     weights = F.array(*[F.lit(float(v)) for v in w])
+    centre = None
+    if r.scaling and not r.scaling.centred:  # values are told as deviations from the mean
+        shifts = F.array(*[F.lit(m / s if s > 0 else m) for m, s in zip(r.scaling.means, r.scaling.spreads)])
+        centre = shifts[F.col("i")]
     told = _rows(r.test, rows, r.design.width).select(ROW_ID, F.posexplode("z").alias("i", "value"))
     return told.join(F.broadcast(means), "i").select(
         ROW_ID,
         names[F.col("i")].alias("feature"),
-        "value",
+        (F.col("value") - centre if centre is not None else F.col("value")).alias("value"),
         (weights[F.col("i")] * (F.col("value") - F.col("mean"))).alias("phi"),
     )
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssembler
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from burnish.functions.cells import TEMPORAL, col
+from burnish.functions.cells import TEMPORAL, col, fresh
 from burnish.functions.hashing import PRIME, mix
 from burnish.table import NUMERIC, ROW_ID, PrepTable
 
@@ -18,8 +22,10 @@ from burnish.table import NUMERIC, ROW_ID, PrepTable
 MIN_ROWS = 5
 SEED = 42
 
-# Widest one-hot encoding a model is built for.
-MAX_WIDTH = 10_000
+# Design columns up to which each is a column of the table; more make sparse vectors.
+DENSE_WIDTH = 256
+# Labels up to which a label's position is looked up in an array; more are joined.
+FEW_LABELS = 256
 
 _SPLIT_CELLS = 65_536
 _SPLIT_WIDTH = -(-PRIME // _SPLIT_CELLS)
@@ -81,10 +87,20 @@ def hash_order(seed: int = SEED) -> list[Column]:
 
 @dataclass(frozen=True)
 class Design:
-    """Feature names and the expressions that compute them."""
+    """What a model reads: numbers as they are, and texts by label, without the first one."""
 
-    names: tuple[str, ...]
-    columns: tuple[Column, ...]
+    plain: tuple[tuple[str, Column], ...]
+    encoded: tuple[tuple[str, tuple[str, ...]], ...]
+
+    @cached_property
+    def names(self) -> tuple[str, ...]:
+        return (*[n for n, _ in self.plain], *[f"{n}_{v}" for n, labels in self.encoded for v in labels[1:]])
+
+    @property
+    def columns(self) -> tuple[Column, ...]:
+        """An expression for each name."""
+        ones = [(col(n) == F.lit(v)).cast("double") for n, labels in self.encoded for v in labels[1:]]
+        return (*[c for _, c in self.plain], *ones)
 
     @property
     def width(self) -> int:
@@ -92,10 +108,8 @@ class Design:
 
 
 def _labels(df: DataFrame, name: str) -> list[str]:
-    """Distinct texts in order. They become model width, so there must be few."""
-    found = df.select(col(name).cast("string").alias("v")).distinct().limit(MAX_WIDTH + 1).collect()
-    if len(found) > MAX_WIDTH:
-        raise ValueError(f"column {name} has over {MAX_WIDTH} labels; group them before training")
+    """Distinct texts in order. A model has a weight for each, so they reach the driver as it does."""
+    found = df.select(col(name).cast("string").alias("v")).distinct().collect()
     return sorted(r["v"] for r in found)
 
 
@@ -105,16 +119,44 @@ def design(t: PrepTable, features: list[str]) -> Design:
     for name in features:
         dtype = t.dtype(name)
         if isinstance(dtype, T.StringType):
-            for label in _labels(t.df, name)[1:]:
-                encoded.append((f"{name}_{label}", (col(name) == F.lit(label)).cast("double")))
+            labels = _labels(t.df, name)
+            if len(labels) > 1:
+                encoded.append((name, tuple(labels)))
         elif isinstance(dtype, TEMPORAL):
             plain.append((name, F.unix_micros(col(name).cast("timestamp")).cast("double") / 1e6))
         else:
             plain.append((name, t.number(name)))
-    both = [*plain, *encoded]
-    if not both:
+    if not plain and not encoded:
         raise ValueError("the features hold one value each; there is nothing to learn from")
-    return Design(tuple(n for n, _ in both), tuple(c for _, c in both))
+    return Design(tuple(plain), tuple(encoded))
+
+
+def with_position(df: DataFrame, name: str, labels: list[str] | tuple[str, ...], into: str) -> DataFrame:
+    """The rows with the position of a text among labels, from 0, as a double."""
+    if len(labels) <= FEW_LABELS:
+        at = F.array_position(F.array(*[F.lit(v) for v in labels]), col(name).cast("string")) - 1
+        return df.withColumn(into, at.cast("double"))
+    (key,) = fresh(df.columns, "_key")
+    known = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(labels)], f"{key} string, {into} double")
+    return df.join(known, col(name).cast("string") == F.col(key), "left").drop(key)
+
+
+def sparse_design(df: DataFrame, d: Design, into: str) -> DataFrame:
+    """The rows with their design as one sparse vector."""
+    names = [f"_p{i}" for i in range(len(d.plain))]
+    df = df.select("*", *[c.alias(n) for n, (_, c) in zip(names, d.plain)])
+    at, ones, sizes = [], [], []
+    for k, (name, labels) in enumerate(d.encoded):
+        df = with_position(df, name, labels, f"_at{k}")
+        # the encoder leaves the last position out: that is the first label's here
+        df = df.withColumn(f"_at{k}", F.pmod(F.col(f"_at{k}") - 1, F.lit(float(len(labels)))))
+        at.append(f"_at{k}")
+        ones.append(f"_one{k}")
+        sizes.append(float(len(labels) - 1))
+    if at:
+        largest = df.sparkSession.createDataFrame([tuple(sizes)], ", ".join(f"{c} double" for c in at))
+        df = OneHotEncoder(inputCols=at, outputCols=ones, dropLast=True).fit(largest).transform(df)
+    return VectorAssembler(inputCols=[*names, *ones], outputCol=into).transform(df).drop(*names, *at, *ones)
 
 
 def one_hot(t: PrepTable, features: list[str]) -> DataFrame:
@@ -144,6 +186,7 @@ class Scaling:
 
     means: tuple[float, ...]
     spreads: tuple[float, ...]
+    centred: bool = True  # sparse features are divided only, which keeps their zeros
 
     def apply(self, i: int, x: Column) -> Column:
         spread = self.spreads[i]
@@ -160,6 +203,21 @@ def fit_scaling(df: DataFrame, width: int) -> Scaling:
     )
 
 
+def fit_sparse_scaling(df: DataFrame, vector: str) -> Scaling:
+    """The same from vectors, in one pass."""
+    r = df.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col(vector)).alias("s")).first().s
+    spreads = np.sqrt(r.variance.toArray() * (max(r["count"] - 1, 0) / r["count"]))
+    return Scaling(tuple(r.mean.toArray().tolist()), tuple(spreads.tolist()), centred=False)
+
+
+def sparse_scaled(df: DataFrame, scaling: Scaling | None, vector: str) -> DataFrame:
+    """The vectors of features divided by their deviations, beside id and label."""
+    if scaling is None:
+        return df.select(ROW_ID, LABEL, F.col(vector).alias(FEATURES))
+    weights = DenseVector([1.0 / s if s > 0 else 1.0 for s in scaling.spreads])
+    return ElementwiseProduct(scalingVec=weights, inputCol=vector, outputCol=FEATURES).transform(df).select(ROW_ID, LABEL, FEATURES)
+
+
 def scale_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Standardise columns on all rows of ``df`` in one lazy plan."""
     stats = df.agg(

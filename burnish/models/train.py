@@ -6,14 +6,18 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from burnish.models import kernel, metrics, neighbours, prep
+from burnish.functions.cells import fresh
+from burnish.models import kernel, least_squares, metrics, neighbours, prep
 from burnish.models.prep import FEATURES, LABEL, SEED
 from burnish.table import ROW_ID, PrepTable
 
@@ -41,6 +45,10 @@ TOP_FEATURES = 10
 
 CELLS_PER_PARTITION = 8_000_000
 
+# Design columns up to which least squares are solved in one pass from the normal equations,
+# a matrix on the driver; more go to conjugate gradients, which end at the same weights.
+SOLVED_WIDTH = 512
+
 Score = Callable[[DataFrame], DataFrame]
 
 
@@ -53,6 +61,7 @@ class Learned:
     intercept: float | None = None
     importances: list[float] | None = None
     trees: object | None = None  # the model, where it is one of trees
+    report: dict | None = None  # how an iterative fit ended
 
 
 @dataclass
@@ -126,7 +135,7 @@ class TrainResult:
         for i, name in enumerate(self.design.names):
             mean, spread = (self.scaling.means[i], self.scaling.spreads[i]) if self.scaling else (0.0, 1.0)
             weight = float(w[i]) / spread if spread > 0 else 0.0
-            b -= weight * mean
+            b -= weight * mean if self.scaling and self.scaling.centred else 0.0
             rows.append((name, weight))
         rows.append(("intercept", float(b)))
         return self.train.sparkSession.createDataFrame(rows, "term string, weight double")
@@ -151,19 +160,39 @@ def _ml(model, classify: bool, weights=None, intercept=None, importances=None) -
     return Learned(lambda df: finish(model.transform(df)), weights, intercept, importances)
 
 
+def _least_squares(train: DataFrame, width: int, alpha: float, partitions: int) -> Learned:
+    """Wide designs, over sparse rows; the model is what the normal equations give."""
+    means = train.agg(Summarizer.metrics("mean").summary(F.col(FEATURES)).alias("s")).first().s.mean.toArray()
+    found = least_squares.solve(train, width, means, alpha, partitions=partitions)
+    w = found.weights
+
+    def predict(df: DataFrame) -> DataFrame:
+        v = F.unwrap_udt(F.col(FEATURES))
+        at = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - F.lit(1)))
+
+        @F.pandas_udf("double")
+        def score(at: pd.Series, x: pd.Series) -> pd.Series:
+            return pd.Series([float(w[i] @ z) + found.intercept for i, z in zip(at, x)], dtype=float)
+
+        return _value_score(df.withColumn("prediction", score(at, v["values"])))
+
+    return Learned(predict, w.tolist(), found.intercept, np.abs(w).tolist(), report={"rounds": found.rounds, "residual": found.residual})
+
+
 def _fit_linear(train: DataFrame, n: int, width: int, p: dict) -> Learned:
-    model = mr.LinearRegression(regParam=0.0, solver="normal" if width <= 4096 else "l-bfgs").fit(train)
+    if width > SOLVED_WIDTH:
+        return _least_squares(train, width, 0.0, p["partitions"])
+    model = mr.LinearRegression(regParam=0.0, solver="normal").fit(train)
     w = list(model.coefficients)
     return _ml(model, False, w, model.intercept, [abs(v) for v in w])
 
 
 def _fit_ridge(train: DataFrame, n: int, width: int, p: dict) -> Learned:
+    if width > SOLVED_WIDTH:
+        return _least_squares(train, width, p["alpha"], p["partitions"])
     # Spark divides the target by its deviation before it applies the penalty.
     spread = train.agg(F.stddev_pop(LABEL)).first()[0]
-    model = mr.LinearRegression(
-        regParam=p["alpha"] * spread / n, elasticNetParam=0.0, standardization=False,
-        solver="normal" if width <= 4096 else "l-bfgs",
-    ).fit(train)
+    model = mr.LinearRegression(regParam=p["alpha"] * spread / n, elasticNetParam=0.0, standardization=False, solver="normal").fit(train)
     w = list(model.coefficients)
     return _ml(model, False, w, model.intercept, [abs(v) for v in w])
 
@@ -203,7 +232,11 @@ def _knn(classify: bool) -> Callable:
     return fit
 
 
-def _gamma(train: DataFrame, width: int) -> float:
+def _gamma(train: DataFrame, width: int, scaled: bool) -> float:
+    if "_z0" not in train.columns:
+        r = train.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col(FEATURES)).alias("s")).first().s
+        spreads = np.sqrt(r.variance.toArray() * (max(r["count"] - 1, 0) / r["count"]))
+        return kernel.default_gamma(spreads.tolist(), [0.0] * width if scaled else r.mean.toArray().tolist())
     r = train.agg(
         *[F.stddev_pop(f"_z{i}").alias(f"s{i}") for i in range(width)],
         *[F.avg(f"_z{i}").alias(f"m{i}") for i in range(width)],
@@ -212,7 +245,7 @@ def _gamma(train: DataFrame, width: int) -> float:
 
 
 def _fit_svm_class(train: DataFrame, n: int, width: int, p: dict) -> Learned:
-    gamma = _gamma(train, width)
+    gamma = _gamma(train, width, p["scaled"])
     lifted = kernel.fourier(train, width, gamma, p["width"]).persist(StorageLevel.MEMORY_AND_DISK)
     svc = mc.LinearSVC(regParam=1.0 / (p["C"] * n), standardization=False, maxIter=100, tol=1e-3)
     classes = lifted.agg(F.max(LABEL)).first()[0] + 1
@@ -237,7 +270,7 @@ def _fit_svm_class(train: DataFrame, n: int, width: int, p: dict) -> Learned:
 
 
 def _fit_svm_reg(train: DataFrame, n: int, width: int, p: dict) -> Learned:
-    gamma = _gamma(train, width)
+    gamma = _gamma(train, width, p["scaled"])
     lifted = kernel.fourier(train, width, gamma, p["width"])
     model = mr.LinearRegression(
         loss="huber", regParam=1.0 / (p["C"] * n), elasticNetParam=0.0, standardization=False, maxIter=200
@@ -308,23 +341,31 @@ def train(
     labels: list[str] = []
     if task == "classification":
         labels = prep.class_labels(cases, target)
-        label = prep.encode_label(cases, target, labels)
+        (at,) = fresh(cases.df.columns, "_class")
+        cases = cases.with_df(prep.with_position(cases.df.withColumn(at, cases.text(target)), at, labels, at + "_at"), dense=False)
+        label = F.col(at + "_at")
     else:
         label = prep.numeric_target(cases, target)
 
-    xs = [c.alias(f"_x{i}") for i, c in enumerate(design.columns)]
-    flagged = cases.df.select(ROW_ID, label.alias(LABEL), *xs, prep.split_flag(cases.df, ratio, seed).alias("_train"))
+    sparse = design.width > prep.DENSE_WIDTH
+    base = prep.sparse_design(cases.df, design, "_x") if sparse else cases.df
+    xs = ["_x"] if sparse else [c.alias(f"_x{i}") for i, c in enumerate(design.columns)]
+    flagged = base.select(ROW_ID, label.alias(LABEL), *xs, prep.split_flag(cases.df, ratio, seed).alias("_train"))
     # Fitting passes over these rows many times, so it pays to spread them evenly once.
-    spread = _partitions(t.df.sparkSession, rows, design.width)
+    entries = len(design.plain) + len(design.encoded) if sparse else design.width
+    spread = _partitions(t.df.sparkSession, rows, entries)
     flagged = flagged.repartition(spread, ROW_ID).persist(StorageLevel.MEMORY_AND_DISK)
     known = flagged.filter("_train")
     n = known.count()
     if n == 0 or n == rows:
         raise ValueError(f"a ratio of {ratio} leaves no rows to train on or to test")
-    scaling = prep.fit_scaling(known, design.width) if scale else None
-    train_rows = prep.scaled(known, scaling, design.width).persist(StorageLevel.MEMORY_AND_DISK)
-    test_rows = prep.scaled(flagged.filter(~F.col("_train")), scaling, design.width).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    learned = FITS[model](train_rows, n, design.width, settings)
+    unknown = flagged.filter(~F.col("_train"))
+    if sparse:
+        scaling = prep.fit_sparse_scaling(known, "_x") if scale else None
+        parts = [prep.sparse_scaled(part, scaling, "_x") for part in (known, unknown)]
+    else:
+        scaling = prep.fit_scaling(known, design.width) if scale else None
+        parts = [prep.scaled(part, scaling, design.width) for part in (known, unknown)]
+    train_rows, test_rows = (part.persist(StorageLevel.MEMORY_AND_DISK) for part in parts)
+    learned = FITS[model](train_rows, n, design.width, {**settings, "scaled": scale, "partitions": spread})
     return TrainResult(model, task, design, scaling, labels, learned, train_rows, test_rows, settings, [flagged])

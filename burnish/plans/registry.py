@@ -1251,6 +1251,20 @@ def _(spark, sf):
     return r.predictions.select(ROW_ID, "label", "prediction")
 
 
+@register(
+    "ml_linear_labels",
+    f"""WITH d AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS _rowId, lpad((o_orderkey % 600)::VARCHAR, 3, '0') AS k, o_totalprice FROM orders), {_split_sql('d')},
+m AS (SELECT k, avg(o_totalprice) AS v FROM s WHERE train GROUP BY k)
+SELECT _rowId, o_totalprice AS label, round(0.0013 + coalesce(m.v, (SELECT v FROM m ORDER BY k LIMIT 1)), 2) AS prediction FROM s LEFT JOIN m USING (k) WHERE NOT train""",
+)
+def _(spark, sf):
+    k = F.lpad((F.col("o_orderkey") % 600).cast("string"), 3, "0")
+    t = derive(load(spark, sf, "orders"), k.alias("k"), F.col("o_totalprice"))
+    r = train(t, "linear", ["k"], "o_totalprice")
+    # means of few prices end in half a cent; the addend keeps them off the edge of rounding
+    return rounded(r.predictions.select(ROW_ID, "label", (F.col("prediction") + 0.0013).alias("prediction")), prediction=2)
+
+
 @register(
     "ml_tree_reg_groups",
     f"""WITH d AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS _rowId, o_orderstatus, o_totalprice FROM orders), {_split_sql('d')},
