@@ -10,14 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from burnish.functions.cells import fresh
-from burnish.models import kernel, least_squares, metrics, neighbours, prep
+from burnish.models import kernel, least_squares, machines, metrics, neighbours, prep
 from burnish.models.prep import FEATURES, LABEL, SEED
 from burnish.table import ROW_ID, PrepTable
 
@@ -37,7 +37,7 @@ DEFAULTS = {
     "forest_class": {"trees": 100, "depth": 6},
     "forest_reg": {"trees": 100, "depth": 6},
     "svm_class": {"C": 1.0, "width": kernel.WIDTH},
-    "svm_reg": {"C": 1.0, "width": kernel.WIDTH},
+    "svm_reg": {"C": 1.0, "epsilon": 0.1, "width": kernel.WIDTH},
     "naive_bayes": {},
 }
 TRAIN_RATIO = 0.8
@@ -244,38 +244,61 @@ def _gamma(train: DataFrame, width: int, scaled: bool) -> float:
     return kernel.default_gamma([r[f"s{i}"] for i in range(width)], [r[f"m{i}"] for i in range(width)])
 
 
+def _landmarks(train: DataFrame, width: int, p: dict) -> machines.Landmarks:
+    return machines.choose(train, width, _gamma(train, width, p["scaled"]), p["width"])
+
+
+def _machine_report(marks: machines.Landmarks, fitted: list[machines.Machine]) -> dict:
+    return {
+        "objective": [m.objective for m in fitted],
+        "gap": [m.gap for m in fitted],
+        "passes": [m.passes for m in fitted],
+        "uncovered": marks.uncovered,
+        "gamma": marks.gamma,
+    }
+
+
 def _fit_svm_class(train: DataFrame, n: int, width: int, p: dict) -> Learned:
-    gamma = _gamma(train, width, p["scaled"])
-    lifted = kernel.fourier(train, width, gamma, p["width"]).persist(StorageLevel.MEMORY_AND_DISK)
-    svc = mc.LinearSVC(regParam=1.0 / (p["C"] * n), standardization=False, maxIter=100, tol=1e-3)
-    classes = lifted.agg(F.max(LABEL)).first()[0] + 1
+    """One machine for two classes, else one for each class against the others."""
+    marks = _landmarks(train, width, p)
+    classes = int(train.agg(F.max(LABEL)).first()[0]) + 1
+    mine = [1] if classes <= 2 else range(classes)
+    fitted = [
+        machines.fit(train, marks, p["C"], label=F.when(F.col(LABEL) == i, 1.0).otherwise(-1.0), partitions=p["partitions"])
+        for i in mine
+    ]
+    report = _machine_report(marks, fitted)
     if classes > 2:
-        many = mc.OneVsRest(classifier=svc, parallelism=4).fit(lifted)
-        predict = lambda df: _value_score(many.transform(kernel.fourier(df, width, gamma, p["width"])))
-    else:
-        model = svc.fit(lifted)
 
-        def margin(df: DataFrame) -> DataFrame:
-            out = model.transform(df).withColumnRenamed(FEATURES, "_lifted")
-            return out.withColumn(FEATURES, F.col("rawPrediction")).drop("rawPrediction")
+        def predict(df: DataFrame) -> DataFrame:
+            v = F.col("_values")
+            out = machines.values(df, marks, fitted, "_values")
+            return _value_score(out.withColumn("prediction", (F.array_position(v, F.array_max(v)) - 1).cast("double"))).drop("_values")
 
-        sigmoid = mc.LogisticRegression(maxIter=100).fit(margin(lifted).select(FEATURES, LABEL))
+    else:
+        margins = machines.values(train, marks, fitted, "_values")
+        known = margins.select(array_to_vector("_values").alias(FEATURES), LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+        sigmoid = mc.LogisticRegression(maxIter=100).fit(known)
+        known.unpersist()
+        slope, shift = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
 
         def predict(df: DataFrame) -> DataFrame:
-            out = margin(kernel.fourier(df, width, gamma, p["width"])).withColumnRenamed("prediction", "_side")
-            return _class_score(sigmoid.transform(out).drop("prediction")).withColumnRenamed("_side", "prediction")
+            margin = F.col("_values")[0]
+            out = machines.values(df, marks, fitted, "_values").withColumn("prediction", F.when(margin > 0, 1.0).otherwise(0.0))
+            return out.withColumn("score", 1 / (1 + F.exp(-(margin * slope + shift)))).drop("_values")
 
-    lifted.unpersist()
-    return Learned(predict)
+    return Learned(predict, report=report)
 
 
 def _fit_svm_reg(train: DataFrame, n: int, width: int, p: dict) -> Learned:
-    gamma = _gamma(train, width, p["scaled"])
-    lifted = kernel.fourier(train, width, gamma, p["width"])
-    model = mr.LinearRegression(
-        loss="huber", regParam=1.0 / (p["C"] * n), elasticNetParam=0.0, standardization=False, maxIter=200
-    ).fit(lifted)
-    return Learned(lambda df: _value_score(model.transform(kernel.fourier(df, width, gamma, p["width"]))))
+    marks = _landmarks(train, width, p)
+    machine = machines.fit(train, marks, p["C"], p["epsilon"], partitions=p["partitions"])
+
+    def predict(df: DataFrame) -> DataFrame:
+        out = machines.values(df, marks, [machine], "_values")
+        return _value_score(out.withColumn("prediction", F.col("_values")[0])).drop("_values")
+
+    return Learned(predict, report=_machine_report(marks, [machine]))
 
 
 FITS = {
