@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from burnish.functions.cells import col, parse_date
 from burnish.operators.clean import FENCE
+from burnish.operators.cross import wide_correlation
 from burnish.operators.grid import filter_equals
 from burnish.operators.quantiles import group_quantiles
 from burnish.operators.skew import attach
@@ -18,8 +19,8 @@ from burnish.table import DATE, NUMERIC, ROW_ID, PrepTable
 # Fixed value: bars of a histogram.
 BINS = 10
 
-# Aggregates per correlation pass; wider tables take several passes.
-PAIRS_PER_PASS = 300
+# Pairs up to which correlations are aggregates side by side.
+FEW_PAIRS = 300
 
 _ALL = "all"
 
@@ -149,27 +150,26 @@ def box_outliers(t: PrepTable, y: str, x: str = "") -> DataFrame:
 def correlation(t: PrepTable) -> DataFrame:
     """Pearson correlation of every two numeric columns over rows that hold both.
 
-    All pairs of a pass are aggregated together in one scan without a shuffle of
-    rows. A constant column has no correlation (null).
+    One scan, without a shuffle of rows: few pairs are aggregates side by side, more
+    are cross products of blocks of rows. A constant column has no correlation (null).
     """
     names = t.columns_of(NUMERIC)
     if len(names) < 2:
         raise ValueError("a correlation matrix needs at least two numeric columns")
     values = t.df.select(*[t.number(c).alias(f"_{i}") for i, c in enumerate(names)])
     pairs = list(combinations(range(len(names)), 2))
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        aggs, entries = [], []
-        for i, j in pairs[start : start + PAIRS_PER_PASS]:
-            a, b = F.col(f"_{i}"), F.col(f"_{j}")
-            both = a.isNotNull() & b.isNotNull()
-            spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-            aggs.append(F.try_divide(F.covar_pop(a, b), spread).alias(f"r{i}_{j}"))
-            r = F.col(f"r{i}_{j}").alias("r")
-            entries.append(F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), r))
-            entries.append(F.struct(F.lit(names[j]).alias("a"), F.lit(names[i]).alias("b"), r))
-        part = values.agg(*aggs).select(F.inline(F.array(*entries)))
-        out = part if out is None else out.unionByName(part)
+    if len(pairs) > FEW_PAIRS:
+        return wide_correlation(values, names)
+    aggs, entries = [], []
+    for i, j in pairs:
+        a, b = F.col(f"_{i}"), F.col(f"_{j}")
+        both = a.isNotNull() & b.isNotNull()
+        spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+        aggs.append(F.try_divide(F.covar_pop(a, b), spread).alias(f"r{i}_{j}"))
+        r = F.col(f"r{i}_{j}").alias("r")
+        entries.append(F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), r))
+        entries.append(F.struct(F.lit(names[j]).alias("a"), F.lit(names[i]).alias("b"), r))
+    out = values.agg(*aggs).select(F.inline(F.array(*entries)))
     spreads = values.agg(*[F.stddev_pop(f"_{i}").alias(f"s{i}") for i in range(len(names))])
     diagonal = [
         F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.col(f"s{i}") > 0, 1.0).alias("r"))
