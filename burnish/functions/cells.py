@@ -36,6 +36,7 @@ NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
 # Dates in digits, rewritten to year-month-day before one cast. Month comes first
 # unless the first number cannot be a month or the parts are split by dots.
 DIGIT_DATE = r"^\d{1,4}[-/.]\d{1,2}([-/.]\d{1,4}([ T][0-9:.+Zz-]+)?)?$"
+YEAR_FIRST = r"^\d{4}-"
 DATE_ORDERS = (
     (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})\b", "$1-$2-$3"),
     (r"^(1[3-9]|2\d|3[01])[-/](\d{1,2})[-/](\d{4})\b", "$3-$2-$1"),
@@ -83,6 +84,7 @@ def parse_date(value: Column) -> Column:
     iso = value
     for order, rewritten in DATE_ORDERS:
         iso = F.regexp_replace(iso, order, rewritten)
+    iso = F.when(value.rlike(YEAR_FIRST), value).otherwise(iso)  # nothing to rewrite
     out = F.when(value.rlike(DIGIT_DATE), iso.try_cast("timestamp_ntz"))
     for shape, form in NAMED_DATES:
         out = out.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(form)).cast("timestamp_ntz"))

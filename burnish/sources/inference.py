@@ -36,8 +36,9 @@ def _reads_as(c: Column) -> Column:
 def _counts(df: DataFrame) -> DataFrame:
     """One row per column: values present, and how many read as each type.
 
-    Cells are stacked as (position, type read) and counted by both, so each cell is
-    looked at once and a task passes on a handful of counts per column.
+    Cells are stacked as (position, text) and then read by one expression, however many
+    columns there are: code for every column on its own grows beyond what the JVM
+    compiles. A task passes on a handful of counts per column.
     """
     names = [c for c in df.columns if c != ROW_ID]
     entries, labels = [], []
@@ -47,12 +48,15 @@ def _counts(df: DataFrame) -> DataFrame:
             raise ValueError(f"column {name} is {dtype.simpleString()}; drop or flatten it first")
         c = col(name)
         if isinstance(dtype, T.StringType):
-            reads_as = _reads_as(c)
+            cell, known = c, F.lit(None).cast("string")
         else:
-            reads_as = F.when(c.isNotNull(), "date" if isinstance(dtype, TEMPORAL) else "number")
-        entries.append(F.struct(F.lit(i).alias("position"), reads_as.alias("reads_as")))
+            cell = F.lit(None).cast("string")
+            known = F.when(c.isNotNull(), "date" if isinstance(dtype, TEMPORAL) else "number")
+        entries.append(F.struct(F.lit(i).alias("position"), cell.alias("cell"), known.alias("known")))
         labels.append(F.struct(F.lit(i).alias("position"), F.lit(name).alias("name")))
-    seen = df.select(F.inline(F.array(*entries))).groupBy("position", "reads_as").agg(F.count("*").alias("n"))
+    cells = df.select(F.inline(F.array(*entries)))
+    reads_as = F.coalesce(F.col("known"), _reads_as(F.col("cell"))).alias("reads_as")
+    seen = cells.groupBy("position", reads_as).agg(F.count("*").alias("n"))
     n = F.col("n")
 
     def total(*types: str) -> Column:
