@@ -49,13 +49,22 @@ def classification(df: DataFrame) -> DataFrame:
     )
 
 
-def confusion(df: DataFrame) -> DataFrame:
-    """Rows for every pair of classes that occur, zeros included."""
+def confusion(df: DataFrame, zeros: bool = True, labels: list | None = None) -> DataFrame:
+    """Rows for pairs of classes, with how many rows each has.
+
+    ``zeros`` adds every pair that does not occur, of classes that do: the square of the
+    classes. Without, there are as many rows at most as predictions, however many classes
+    there are. ``labels`` keeps the pairs of some true classes, with their zeros if asked.
+    """
     counts = _pairs(df)
+    mine = F.lit(True) if labels is None else F.col("label").isin(*labels)
+    if not zeros:
+        return counts.filter(mine).select("label", "prediction", "n")
     classes = counts.select(F.explode(F.array("label", "prediction")).alias("c"))
     every = classes.agg(F.sort_array(F.collect_set("c"))).scalar()  # one entry per class
-    grid = classes.distinct().select(F.col("c").alias("label"), F.explode(every).alias("prediction"))
-    filled = grid.join(counts, ["label", "prediction"], "left")
+    known = classes.distinct().select(F.col("c").alias("label")).filter(mine)
+    grid = known.select("label", F.explode(every).alias("prediction"))
+    filled = grid.join(counts.filter(mine), ["label", "prediction"], "left")
     return filled.select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -102,8 +102,8 @@ class TrainResult:
             return metrics.classification(self.predictions)
         return metrics.regression(self.predictions)
 
-    def confusion_matrix(self) -> DataFrame:
-        return metrics.confusion(self.predictions)
+    def confusion_matrix(self, zeros: bool = True) -> DataFrame:
+        return metrics.confusion(self.predictions, zeros)
 
     def roc_curve(self) -> DataFrame:
         if not self.binary:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.cells import col, fresh, parse_number
+from burnish.session import checkpointed
 from burnish.sources.inference import WHOLE_PATTERN
 from burnish.table import NUMERIC, ROW_ID, PrepTable
 
@@ -19,21 +20,18 @@ def _cleared(value: Column) -> Column:
     return F.when(~clears, value)
 
 
-def _store(t: PrepTable, name: str, edits: DataFrame) -> tuple[Column, T.DataType]:
-    """How an edited text is stored, and the type that holds old and new cells."""
+def _store(t: PrepTable, name: str, numbers: bool | None, wholes: bool | None) -> tuple[Column, T.DataType]:
+    """How an edited text is stored, and the type that holds old and new cells.
+
+    ``numbers`` and ``wholes`` tell whether all its new texts are such, null without texts.
+    """
     dtype = t.dtype(name)
     value = F.col("value")
     if isinstance(dtype, T.StringType):
         return value, dtype
-    if t.kind(name) != NUMERIC or not isinstance(dtype, T.NumericType):
+    if t.kind(name) != NUMERIC or not isinstance(dtype, T.NumericType) or numbers is False:
         return value, T.StringType()
-    mine = edits.filter((F.col("column") == name) & value.isNotNull())
-    r = mine.agg(
-        F.every(parse_number(value).isNotNull()).alias("numbers"), F.every(value.rlike(WHOLE_PATTERN)).alias("wholes")
-    ).first()
-    if r["numbers"] is False:
-        return value, T.StringType()
-    if isinstance(dtype, T.IntegralType) and r["wholes"] is not False:
+    if isinstance(dtype, T.IntegralType) and wholes is not False:
         return F.trim(value).try_cast("long"), T.LongType()
     return parse_number(value), T.DoubleType()
 
@@ -50,13 +48,19 @@ def apply_edits(t: PrepTable, edits: DataFrame) -> PrepTable:
     edits = edits.filter(F.col("column").isin(*t.columns)).withColumn("value", _cleared(F.col("value")))
     # an edit that loses, or whose row does not exist, changes nothing, types included
     won = edits.groupBy(ROW_ID, "column").agg(F.max(F.struct("seq", "value")).alias("last"))
-    edits = won.select(ROW_ID, "column", "last.seq", "last.value").join(t.df.select(ROW_ID), ROW_ID, "left_semi")
-    touched = [r["column"] for r in edits.select("column").distinct().collect()]  # at most the table's columns
+    last = won.select(ROW_ID, "column", "last.seq", "last.value").join(t.df.select(ROW_ID), ROW_ID, "left_semi")
+    # read for the types and again for the cells
+    edits = checkpointed(last, "edits")
+    value = F.col("value")
+    texts = edits.withColumn("number", F.when(value.isNotNull(), parse_number(value).isNotNull()))
+    texts = texts.withColumn("whole", F.when(value.isNotNull(), value.rlike(WHOLE_PATTERN)))
+    types = texts.groupBy("column").agg(F.every("number").alias("numbers"), F.every("whole").alias("wholes"))
+    touched = {r["column"]: (r["numbers"], r["wholes"]) for r in types.collect()}  # at most the table's columns
     if not touched:
         return t
     aggs, out = [], {}
     for i, name in enumerate(c for c in t.columns if c in touched):
-        stored, dtype = _store(t, name, edits)
+        stored, dtype = _store(t, name, *touched[name])
         latest = F.max(F.when(F.col("column") == name, F.struct("seq", stored.alias("value"))))
         (edited,) = fresh(t.columns, f"_e{i}")
         aggs.append(latest.alias(edited))

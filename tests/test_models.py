@@ -205,6 +205,16 @@ def test_confusion_fills_zeros(spark):
     assert (m["accuracy"], m["precision"], m["recall"], m["f1"]) == (0.5, 0.5, 0.5, 0.5)
 
 
+def test_confusion_of_many_classes_lists_what_occurs(spark):
+    df = spark.range(100_000).selectExpr("id AS label", "id - id % 2 AS prediction")
+    out = metrics.confusion(df, zeros=False)
+    assert out.count() == 100_000 and out.filter("n <> 1").count() == 0
+    part = metrics.confusion(df.filter("id < 50"), labels=[3, 4])
+    assert part.count() == 100 and part.agg(F.sum("n")).first()[0] == 2
+    assert metrics.confusion(df, zeros=False, labels=[3]).collect() == [(3, 2, 1)]
+
+
+
 def test_refused_inputs(spark, t):
     for call in (
         lambda: train(t, "linear", [], "y"),
