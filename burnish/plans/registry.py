@@ -1108,6 +1108,30 @@ def _(spark, sf):
     return rounded(charts.correlation(t), r=6)
 
 
+# More pairs than are aggregated side by side; zeros are missing.
+WIDE_COLUMNS = {
+    **{c: c for c in CORR_COLUMNS},
+    **{f"m{k}": f"(l_orderkey * {k} + l_linenumber * {k % 5}) % {k + 5}" for k in range(1, 25)},
+}
+
+
+@register(
+    "correlation_wide",
+    "WITH d AS (SELECT "
+    + ", ".join(f"nullif({e}, 0)::DOUBLE AS {c}" for c, e in WIDE_COLUMNS.items())
+    + " FROM lineitem)\nSELECT unnest(["
+    + ", ".join(
+        f"{{'a': '{a}', 'b': '{b}', 'r': round(corr({a}, {b}), 6) + 0}}" for a in WIDE_COLUMNS for b in WIDE_COLUMNS
+    )
+    + "], max_depth := 2) FROM d",
+)
+def _(spark, sf):
+    t = derive(
+        load(spark, sf, "lineitem"), *[F.expr(f"nullif({e}, 0)").cast("double").alias(c) for c, e in WIDE_COLUMNS.items()]
+    )
+    return charts.correlation(t).select("a", "b", (F.round("r", 6) + 0.0).alias("r"))
+
+
 # --- model preparation ---------------------------------------------------------
 
 
@@ -1289,6 +1313,48 @@ def _(spark, sf):
     return r.predictions.select(ROW_ID, "label", "prediction")
 
 
+# A class that leans clearly to one side in each status, and a number that most rows of a
+# status share: any fitted model of the status must give the larger side, the shared number.
+LEANING = "CASE WHEN (o_orderkey * 7 + o_custkey) % 10 < CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 7 ELSE 9 END THEN 'yes' ELSE 'no' END"
+SHARED = "CASE o_orderstatus WHEN 'F' THEN 10 WHEN 'O' THEN 30 ELSE 60 END + CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 7 - 3 ELSE 0 END"
+LEANING_SQL = f"""WITH d AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS _rowId, o_orderstatus,
+ CASE WHEN {LEANING} = 'yes' THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM orders), {_split_sql('d')},
+m AS (SELECT o_orderstatus, round(avg(y))::DOUBLE AS prediction FROM s WHERE train GROUP BY 1)
+SELECT _rowId, y AS label, prediction FROM s JOIN m USING (o_orderstatus) WHERE NOT train"""
+
+
+def _leaning(spark, sf, model, **params):
+    t = derive(load(spark, sf, "orders"), F.col("o_orderstatus"), F.expr(LEANING).alias("leans"))
+    return train(t, model, ["o_orderstatus"], "leans", params=params).predictions.select(ROW_ID, "label", "prediction")
+
+
+@register("ml_logistic_groups", LEANING_SQL)
+def _(spark, sf):
+    return _leaning(spark, sf, "logistic")
+
+
+@register("ml_forest_class_groups", LEANING_SQL)
+def _(spark, sf):
+    return _leaning(spark, sf, "forest_class", trees=20)
+
+
+@register("ml_svm_class_groups", LEANING_SQL)
+def _(spark, sf):
+    return _leaning(spark, sf, "svm_class")
+
+
+@register(
+    "ml_svm_reg_groups",
+    f"""WITH d AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS _rowId, o_orderstatus, ({SHARED})::DOUBLE AS y FROM orders), {_split_sql('d')},
+m AS (SELECT o_orderstatus, median(y) AS prediction FROM s WHERE train GROUP BY 1)
+SELECT _rowId, y AS label, prediction FROM s JOIN m USING (o_orderstatus) WHERE NOT train""",
+)
+def _(spark, sf):
+    t = derive(load(spark, sf, "orders"), F.col("o_orderstatus"), F.expr(SHARED).cast("double").alias("y"))
+    r = train(t, "svm_reg", ["o_orderstatus"], "y")
+    return r.predictions.select(ROW_ID, "label", F.round("prediction").alias("prediction"))
+
+
 @register("ml_knn_scaled")
 def _(spark, sf):
     t = load(spark, sf, "part")
