@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,34 +177,36 @@ FAMILIES = ("bigint", "double", "timestamp_ntz", "string")
 def distinct_profile(t: PrepTable, exact: bool = True) -> DataFrame:
     """Distinct values of every column, missing left out.
 
-    Exact counts stack the columns, with a slot for each storage family (whole, floating,
-    time, text), and group once: one scan and one shuffle for all of them. ``exact=False`` uses a sketch of
-    fixed size inside a single aggregation.
+    Exact counts stack the columns of each storage family (whole, floating, time, text) and
+    group once for each, so every column is read once and cells travel without padding.
+    ``exact=False`` uses a sketch of fixed size inside a single aggregation.
     """
     if not exact:
         aggs = [F.approx_count_distinct(col(c)).alias(f"_{i}") for i, c in enumerate(t.columns)]
         entries = [F.struct(F.lit(i).alias("position"), F.col(f"_{i}").alias("unique")) for i in range(len(aggs))]
         return t.df.agg(*aggs).select(F.inline(F.array(*entries)))
-    entries = []
-    for i, f in enumerate(t.data.schema.fields):
+    families: dict[str, dict[str, Column]] = {k: {} for k in FAMILIES}
+    for f in t.data.schema.fields:
         c = col(f.name)
         if isinstance(f.dataType, NESTED):
             raise ValueError(f"column {f.name} is {f.dataType.simpleString()}; drop or flatten it first")
-        cells = dict.fromkeys(FAMILIES)
         if isinstance(f.dataType, T.BooleanType):
-            cells["bigint"] = c.cast("int")
+            family, c = "bigint", c.cast("int")
         elif isinstance(f.dataType, T.IntegralType):
-            cells["bigint"] = c
+            family = "bigint"
         elif isinstance(f.dataType, FLOATING):
-            cells["double"] = c
+            family = "double"
         elif isinstance(f.dataType, TEMPORAL):
-            cells["timestamp_ntz"] = c
+            family = "timestamp_ntz"
         else:
-            cells["string"] = c
-        slots = [(F.lit(None) if v is None else v).cast(k).alias(k) for k, v in cells.items()]
-        entries.append(F.struct(F.lit(i).alias("position"), c.isNotNull().alias("present"), *slots))
-    stacked = t.df.select(F.inline(F.array(*entries))).filter("present").drop("present")
-    return stacked.distinct().groupBy("position").agg(F.count("*").alias("unique"))
+            family = "string"
+        families[family][f.name] = c.cast(family)
+    parts = [
+        _long(t, cells, "cell").distinct().groupBy("position").agg(F.count("*").alias("unique"))
+        for cells in families.values()
+        if cells
+    ]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def profile(t: PrepTable, exact: bool = True) -> DataFrame:
