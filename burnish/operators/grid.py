@@ -16,7 +16,7 @@ from burnish.functions.cells import col, fresh
 from burnish.functions.text import plain_number
 from burnish.operators.clean import as_number
 from burnish.operators.profile import BLANK
-from burnish.operators.rank import number_rows, positions
+from burnish.operators.rank import number_rows, positions, renumber
 from burnish.table import NUMERIC, ROW_ID, PrepTable
 
 # Fixed value: rows on a page.
@@ -25,6 +25,9 @@ PAGE_SIZE = 10
 # Pages this near either end are a top-k; beyond it the order is materialised.
 SHALLOW_ROWS = 10_000
 
+#: The ids of a page of at most so many rows may reach the driver.
+MAPPED_ROWS = 1_000
+
 
 @dataclass(frozen=True)
 class Page:
@@ -130,13 +133,21 @@ def page(
         (rank,) = [c for c in order.columns if c not in t.df.columns]
         rows = order.filter((F.col(rank) > first) & (F.col(rank) <= last)).orderBy(rank).drop(rank)
     if not t.dense:
-        rows = _placed(t, rows, by)
+        rows = _placed(t, rows, by, last - first)
     rows = rows.select(ROW_ID, *[col(c) for c in t.columns])
     return Page(rows, total, pages, current, first + 1 if total else 0, last, order)
 
 
-def _placed(t: PrepTable, rows: DataFrame, by: list[Column]) -> DataFrame:
-    """A page's rows with their places in the table as ids; at most a page of ids reaches the driver."""
+def _placed(t: PrepTable, rows: DataFrame, by: list[Column], size: int) -> DataFrame:
+    """A page's rows with their places in the table as ids.
+
+    The ids of an ordinary page reach the driver and are counted in one scan; a larger
+    page meets the places of all ids in a join.
+    """
+    if size > MAPPED_ROWS:
+        (own,) = fresh(t.columns, "_id")
+        places = renumber(t.df.select(ROW_ID, F.col(ROW_ID).alias(own)))
+        return rows.withColumnRenamed(ROW_ID, own).join(places, own).drop(own).orderBy(*by)
     places = positions(t.df, [r[ROW_ID] for r in rows.select(ROW_ID).collect()])
     if not places:
         return rows

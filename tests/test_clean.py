@@ -181,3 +181,15 @@ def test_pages_agree_near_and_far(spark, monkeypatch):
     assert (p.total, p.pages, p.current_page, p.start, p.end) == (500, 13, 13, 481, 500)
     none = grid.page(t, 1, 10, "nothing like it")
     assert (none.total, none.pages, none.start, none.end, none.rows.count()) == (0, 1, 0, 0, 0)
+
+
+def test_pages_of_any_size_after_rows_have_gone(spark, monkeypatch):
+    """Places by a join, as large pages take them, are those of a page whose ids reach the driver."""
+    pdf = pd.DataFrame({ROW_ID: range(1, 401), "v": [float(i * 37 % 11) if i % 9 else None for i in range(400)], "_id": "x"})
+    t = clean.drop_missing(PrepTable.of(spark.createDataFrame(pdf)), "v")
+    asks = [dict(number=n, size=150, sort_column=c, ascending=a) for n in (1, 2, 3) for c in ("v", "") for a in (True, False)]
+    asks.append(dict(number=1, size=10, needle="nothing like it"))
+    few = [[tuple(r) for r in grid.page(t, **a).rows.collect()] for a in asks]
+    assert [r[0] for r in few[2]] == list(range(1, 151))
+    monkeypatch.setattr(grid, "MAPPED_ROWS", 0)
+    assert [[tuple(r) for r in grid.page(t, **a).rows.collect()] for a in asks] == few
