@@ -558,6 +558,19 @@ def _(spark, sf):
     return grid.page(grid.filter_equals(customer(spark, sf), "c_mktsegment", "BUILDING"), 2, 5).rows
 
 
+@register(
+    "grid_page_large_of_filter",
+    """WITH d AS (SELECT row_number() OVER () AS pos, l_orderkey, l_linenumber, l_extendedprice, l_linestatus FROM lineitem),
+f AS (SELECT row_number() OVER (ORDER BY pos) AS _rowId, * EXCLUDE (pos) FROM d WHERE l_linestatus = 'O'),
+r AS (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, _rowId) AS place, count(*) OVER () AS total FROM f)
+SELECT * EXCLUDE (place, total) FROM r WHERE (place - 1) // 2000 = least(8, greatest(1, (total + 1999) // 2000)) - 1""",
+)
+def _(spark, sf):
+    names = ("l_orderkey", "l_linenumber", "l_extendedprice", "l_linestatus")
+    t = derive(load(spark, sf, "lineitem"), *[F.col(c) for c in names])
+    return grid.page(grid.filter_equals(t, "l_linestatus", "O"), 8, 2_000, sort_column="l_extendedprice", ascending=False).rows
+
+
 @register(
     "grid_page_after_dedup",
     """WITH p AS (SELECT row_number() OVER () AS pos, p_name, p_brand, p_type FROM part),
