@@ -397,3 +397,26 @@ def test_no_pages_no_records(spark, docs_of, tmp_path):
     pages = docs_of([(1, "x")], "page_id", "html").withColumn("url", F.lit(None).cast("string")).filter("page_id > 1")
     warc.write_archives(pages, str(tmp_path / "a"))
     assert warc.resolve_revisits(warc.read_archives(spark, str(tmp_path / "a"))).count() == 0
+
+
+def test_the_driver_holds_no_unpacked_filter(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    from burnish.llm import common
+
+    hashes_of = lambda batch: common.mix(batch["id"].to_numpy().astype(np.uint64))
+    rows = spark.range(2000).select((F.col("id") % 1500).alias("id")).coalesce(1)
+    bits = 1 << 29
+    tracemalloc.start()
+    try:
+        found = common.repeat_filter(rows, hashes_of, bits)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < bits // 8 // 2
+    suspects = common.Suspects(found)
+    assert suspects.bits == bits
+    asked = common.mix(np.arange(3000, dtype=np.uint64))
+    assert suspects(asked)[:500].all() and not suspects(asked)[500:].any()
