@@ -212,9 +212,11 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
 def resolve_revisits(found: DataFrame) -> DataFrame:
     """The records, revisits joined to their originals: refers_to and the payload's size.
 
-    Headers are shuffled by payload digest. ``refers_to`` is the original's page id,
-    null for responses. A revisit without an original in the archives keeps null in both.
+    Archives are parsed once and their records written, as they are looked at several
+    times. Headers are shuffled by payload digest. ``refers_to`` is the original's page
+    id, null for responses. A revisit without an original in the archives keeps null in both.
     """
+    found = checkpointed(found, "records")
     originals = found.filter("record_type = 'response'").select("digest", "record_id", F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
     asked = found.filter("record_type = 'revisit'")
     per_digest = asked.groupBy("digest").agg(F.count("*").alias("_n"), F.first("refers_to_record").alias("_record"))

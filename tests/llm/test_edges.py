@@ -393,6 +393,14 @@ def test_archives_round_trip(spark, docs_of, tmp_path):
     assert got == {(1, "response", 4), (5, "response", 0), (6, "revisit", len(body)), (7, "response", len(body))}
 
 
+def test_archives_are_parsed_once(spark, docs_of, tmp_path):
+    pages = docs_of([(1, "a"), (2, "a"), (3, "b")], "page_id", "html").withColumn("url", F.lit("http://x/"))
+    warc.write_archives(pages, str(tmp_path / "a"))
+    found = warc.resolve_revisits(warc.read_archives(spark, str(tmp_path / "a")))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found.collect()) == [(1, "revisit", 2), (2, "response", None), (3, "response", None)]
+
+
 def test_no_pages_no_records(spark, docs_of, tmp_path):
     pages = docs_of([(1, "x")], "page_id", "html").withColumn("url", F.lit(None).cast("string")).filter("page_id > 1")
     warc.write_archives(pages, str(tmp_path / "a"))
