@@ -84,6 +84,25 @@ def test_sparse_rows_and_many_partial_sums(spark, monkeypatch):
         assert m.gap <= machines.GAP * m.objective
 
 
+def test_machines_of_several_classes_share_their_passes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 2))
+    y = np.digitize(x[:, 0] + rng.normal(size=90) * 0.2, [-0.4, 0.4]).astype(float)
+    df = rows_of(spark, x, y)
+    marks = machines.choose(df, 2, 0.5, 48)
+    alone = [machines.fit(rows_of(spark, x, np.where(y == i, 1.0, -1.0)), marks) for i in range(3)]
+    seen, added = [], machines._added
+    monkeypatch.setattr(machines, "_added", lambda told, marks, asked, n: seen.append(len(asked)) or added(told, marks, asked, n))
+    both = machines.fit(df, marks, classes=[0.0, 1.0, 2.0], partitions=100)
+    assert len(seen) == max(m.passes for m in both) < sum(seen) == sum(m.passes for m in both)
+    for a, b in zip(alone, both):
+        assert b.gap <= machines.GAP * b.objective and b.objective == pytest.approx(a.objective, rel=2e-3)
+    monkeypatch.setattr(machines, "TOGETHER", 2)
+    seen.clear()
+    again = machines.fit(df, marks, classes=[0.0, 1.0, 2.0])
+    assert max(seen) == 2 and [m.objective for m in again] == pytest.approx([m.objective for m in both], rel=2e-3)
+
+
 def test_a_gap_that_is_left_is_told(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 2))
