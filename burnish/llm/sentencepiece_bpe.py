@@ -13,14 +13,18 @@ earlier, BPE would have taken it.
 
 Pieces never hold white space after another character, so texts fall apart at each
 space that follows a non-space, and ids of frequent words are kept in a bounded cache.
+The words of a batch that are not in it fill their tables together, one character of
+all of them at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -31,10 +35,47 @@ from burnish.llm.common import column, packed, unpacked
 SPACE = "▁"
 #: A space that follows a non-space starts a new segment.
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words whose ids are remembered in a worker; the cache is emptied when full.
-CACHE_WORDS = 500_000
+#: Words whose ids are remembered in a worker; when it has more, those not met since the last time go.
+CACHE_WORDS = 1 << 16
 #: Token pairs whose compatibility is remembered.
 KNOWN_PAIRS = 1_000_000
+#: Code points of texts that are digested together, words whose tables are filled
+#: together, and the longest of such words.
+TEXT_CHARS, TABLE_WORDS, TABLE_CHARS = 1 << 20, 1 << 14, 64
+
+
+class Remembered:
+    """A function of whole numbers, worked out once for each: sorted keys and their values."""
+
+    def __init__(self, work: Callable[[int], int], most: int):
+        self.work, self.most = work, most
+        self.keys, self.values = np.array([-1], dtype=np.int64), np.zeros(1, dtype=np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys, "right") - 1
+        missed = self.keys[at] != keys
+        if missed.any():
+            if len(self.keys) > self.most:
+                self.keys, self.values = self.keys[:1], self.values[:1]
+                missed[:] = True
+            new = np.unique(keys[missed])
+            place = np.searchsorted(self.keys, new)
+            found = np.fromiter(map(self.work, new.tolist()), dtype=np.int32, count=len(new))
+            self.keys, self.values = np.insert(self.keys, place, new), np.insert(self.values, place, found)
+            at = np.searchsorted(self.keys, keys, "right") - 1
+        return self.values[at]
+
+
+class Spelling(dict):
+    """The text of a token by its number and, at the end of a word, with a mark behind it; filled as met."""
+
+    def __init__(self, text: Callable[[int], str], inner: str, end: str):
+        super().__init__()
+        self.text, self.behind = text, (inner, end)
+
+    def __missing__(self, key: int) -> str:
+        out = self[key] = self.text(key >> 1) + self.behind[key & 1]
+        return out
 
 
 class PieceModel:
@@ -92,7 +133,18 @@ class PieceModel:
         self._state_of = {p: i for i, p in enumerate(self._states)}
         self._moves: list[dict[str, int]] = [{} for _ in self._states]
         self._found: list = [None] * len(self._states)
-        self._words: dict[str, tuple[str, int, str]] = {}
+        # segments met of late and before: ids joined by commas, and decoded text
+        self._recent: tuple[dict[str, str], dict[str, str]] = ({}, {})
+        self._older: tuple[dict[str, str], dict[str, str]] = ({}, {})
+        # the same by numbers: the longest token that ends in a state, the next shorter one that ends in a token;
+        # a character that is no piece has its code point behind the last token's number
+        self._longest = np.full(len(self._states), -1, dtype=np.int32)
+        self._shorter = np.full(len(order), -1, dtype=np.int32)
+        self._sizes = np.array([*self.size, 1], dtype=np.int64)
+        self._apart = Remembered(lambda pair: self.compatible(*divmod(pair, len(self.text))), KNOWN_PAIRS)
+        self._next = Remembered(self._numbered_move, KNOWN_PAIRS)
+        self._spelled_ids = Spelling(lambda k: ",".join([self.id_text[i] for i in self._ids_of(k)]), ",", "\n")
+        self._spelled_text = Spelling(lambda k: self._shown(self._ids_of(k)), "", SPACE)
 
     def _made(self, k: int) -> bool:
         return len(self.text[k]) == 1 or self.left[k] != k
@@ -135,10 +187,26 @@ class PieceModel:
         to = self._state_of[s]
         if self._found[to] is None:
             ends = (s[i:] for i in range(len(s)))
-            self._found[to] = tuple((self.made[e], len(e)) for e in ends if e in self.made)
+            found = self._found[to] = tuple((self.made[e], len(e)) for e in ends if e in self.made)
+            self._longest[to] = found[0][0]
+            for (k, _), (shorter, _) in zip(found, found[1:]):
+                self._shorter[k] = shorter
         self._moves[state][c] = to
         return to
 
+    def _numbered_move(self, move: int) -> int:
+        """The state after a character; the first one after a character that is no piece."""
+        c = chr(move & 0x1FFFFF)
+        return self._move(move >> 21, c) if c in self.chars else 0
+
+    def _ids_of(self, k: int) -> list[int]:
+        """Ids of a token's number; of a character that is no piece, those of its bytes."""
+        return [self.ids[k]] if k < len(self.ids) else [self.byte_ids[b] for b in chr(k - len(self.ids)).encode()]
+
+    def _shown(self, ids: list[int]) -> str:
+        """The decoded text of ids inside a text, where a leading space stays."""
+        return self.decode([self.words["."][1], *ids])[1:]
+
     def _stretch(self, text: str) -> list[int]:
         """Ids of a text whose characters are all pieces, by the prefix table."""
         whole = self.made.get(text)
@@ -171,6 +239,49 @@ class PieceModel:
             at -= size[k]
         return out[::-1]
 
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of the texts, one after the other, and where each one's end: all prefix tables, place by place.
+
+        A character that is no piece is a token of its own, with which nothing merges.
+        """
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        order = np.argsort(-sizes, kind="stable")
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        first, longest, step = (np.cumsum(sizes) - sizes)[order], int(sizes.max(initial=0)), len(self.text)
+        alive = np.searchsorted(-sizes[order], -np.arange(longest), "left")  # texts with a character at each place
+        last = np.empty((longest, len(texts)), dtype=np.int32)  # by prefix and text: its encoding's last token
+        state = np.zeros(len(texts), dtype=np.int64)
+        for at, n in enumerate(alive.tolist()):
+            c = code[first[:n] + at]
+            state = self._next(state[:n] << 21 | c).astype(np.int64)
+            token = np.where(state > 0, self._longest[state], step + c)
+            open_ = np.flatnonzero(state)
+            while len(open_):  # the longest first
+                k = token[open_]
+                if (k < 0).any():
+                    raise AssertionError("a prefix has no last token; the merge table is inconsistent")
+                start = at - self._sizes[k]
+                open_, k, start = open_[start >= 0], k[start >= 0], start[start >= 0]
+                before = last[start, open_].astype(np.int64)
+                open_, k, before = open_[before < step], k[before < step], before[before < step]
+                merge = self._apart(before * step + k) == 0
+                open_ = open_[merge]
+                token[open_] = self._shorter[k[merge]]
+            last[at, :n] = token
+        # backwards from the ends; each round finds one more token of every text that has one
+        at, rows, found, many = sizes[order] - 1, np.flatnonzero(sizes[order]), [], np.zeros(len(texts), dtype=np.int64)
+        while len(rows):
+            k = last[at[rows], rows]
+            found.append((rows, k))
+            many[rows] += 1
+            at[rows] -= self._sizes[np.minimum(k, step)]
+            rows = rows[at[rows] >= 0]
+        ends = np.cumsum(many[np.argsort(order)])
+        flat, place = np.empty(int(many.sum()), dtype=np.int64), ends[order] - 1
+        for r, (rows, k) in enumerate(found):
+            flat[place[rows] - r] = k
+        return flat, ends
+
     @lru_cache(maxsize=4096)  # noqa: B019
     def _run(self, n: int) -> tuple[int, ...]:
         """Ids of n spaces. All their merges rank alike, so the leftmost goes first."""
@@ -249,41 +360,60 @@ class PieceModel:
         return "".join(parts)
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text.
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
+        return self.digests([text])[0]
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """For each text, number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text.
 
         Every segment's ids hold whole characters and start afresh, so the decoded text
-        is the decoded segments joined, but for the first one's leading space.
+        is the decoded segments joined, but for the first one's leading space. Segments
+        that are not remembered are encoded together.
         """
-        words, found = self._words, []
-        if text:
-            segments = SEGMENT.findall(SPACE + text.replace(" ", SPACE))
-            found = list(map(words.get, segments))
-            if None in found:
-                found = [self._word(s) if f is None else f for s, f in zip(segments, found)]
-        n = sum([f[0] for f in found])
-        ids = ",".join([f[1] for f in found])
-        decoded = "".join([f[2] for f in found])[1:]
-        return (
-            n,
-            hashlib.sha256(ids.encode()).hexdigest(),
-            hashlib.sha256(decoded.encode()).hexdigest(),
-        )
-
-    def _word(self, s: str) -> tuple[int, str, str]:
-        """Number of ids, ids and decoded text of a segment, its leading space kept."""
-        known = self._words.get(s)
-        if known is None:
+        out, held, chars = [], [], 0
+        for text in texts:
+            held.append(SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else [])
+            chars += len(text or "")
+            if chars >= TEXT_CHARS:
+                out.extend(self._digested(held))
+                held, chars = [], 0
+        return out + self._digested(held)
+
+    def _digested(self, texts: list[list[str]]) -> list[tuple[int, str, str]]:
+        if len(self._recent[0]) >= CACHE_WORDS:
+            self._recent, self._older = ({}, {}), self._recent
+        ids_of, text_of = self._recent
+        new = set().union(*texts).difference(ids_of)
+        for s in new & self._older[0].keys():
+            ids_of[s], text_of[s] = self._older[0][s], self._older[1][s]
+        long = self._spell(new.difference(ids_of))
+        out = []
+        for segments in texts:
+            ids = ",".join(map(ids_of.__getitem__, segments))
+            text = "".join(map(text_of.__getitem__, segments))[1:]
+            n = ids.count(",") + 1 if ids else 0
+            out.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        for s in long:
+            del ids_of[s], text_of[s]
+        return out
+
+    def _spell(self, segments: set[str]) -> list[str]:
+        """Remembers segments, those of a few spaces or characters together; returns the long ones, to be forgotten."""
+        ids_of, text_of = self._recent
+        whole = len(self.byte_ids) == 256
+        plain = [s for s in segments if len(s) <= TABLE_CHARS and s[1:2] not in ("", SPACE) and (whole or self.chars.issuperset(s))]
+        for a in range(0, len(plain), TABLE_WORDS):
+            part = plain[a : a + TABLE_WORDS]
+            flat, ends = self.tokens(part)
+            keys = flat << 1
+            keys[ends - 1] += 1
+            keys = keys.tolist()
+            ids_of.update(zip(part, "".join(map(self._spelled_ids.__getitem__, keys)).split("\n")))
+            text_of.update(zip(part, "".join(map(self._spelled_text.__getitem__, keys)).split(SPACE)))
+        for s in segments.difference(plain):
             own = self.segment(s)
-            if self.byte_of.keys().isdisjoint(own):
-                decoded = "".join([self.pieces[i] for i in own]).replace(SPACE, " ")
-            else:
-                decoded = self.decode([self.words["."][1], *own])[1:]
-            known = (len(own), ",".join([self.id_text[i] for i in own]), decoded)
-            if len(s) <= 64:
-                if len(self._words) >= CACHE_WORDS:
-                    self._words.clear()
-                self._words[s] = known
-        return known
+            ids_of[s], text_of[s] = ",".join([self.id_text[i] for i in own]), self._shown(own)
+        return [s for s in segments if len(s) > TABLE_CHARS]
 
 
 def _utf8(data: bytes) -> str:
@@ -351,7 +481,7 @@ def digests(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digest(text: pd.Series) -> pd.DataFrame:
         m = load_model(model)
-        return pd.DataFrame([m.digest(t) for t in text], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame(m.digests(text.tolist()), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     new = ("n_tokens", "ids_sha256", "decoded_sha256")
     rows = docs.select(packed(docs).alias("row"), digest(column(text_col)).alias("d"))
