@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import Suspects, attach, column, packed, repeat_filter, unpacked
+from burnish.llm.common import attach, column, packed, repeat_filter, send_suspects, unpacked
 from burnish.session import checkpointed
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -59,10 +59,10 @@ def drop_repeated_lines(
             found.extend({k for k in line_keys(text, min_chars) if k})
         return np.frombuffer(b"".join(found), dtype="<u8")[::2]
 
-    suspected = repeat_filter(texts, hashes, filter_bits)
+    suspected = send_suspects(texts, repeat_filter(texts, hashes, filter_bits))
 
     def occurrences(batches):
-        suspects = Suspects(suspected)
+        suspects = suspected.value
         for batch in batches:
             keys, ids = [], []
             for i, text in zip(batch["id"], batch["text"]):
@@ -75,6 +75,7 @@ def drop_repeated_lines(
 
     kind = docs.schema[id_col].dataType.simpleString()
     seen = checkpointed(texts.mapInPandas(occurrences, f"key binary, id {kind}").distinct(), "lines")
+    suspected.destroy()
     repeated = checkpointed(
         seen.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs), "repeated"
     )

@@ -30,7 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import SHARE, SLICE, Suspects, attach, blocks, components, frequency_sketch, meet, mix, repeat_filter, slices
+from burnish.llm.common import (
+    SHARE, SLICE, attach, blocks, components, frequency_sketch, meet, mix, repeat_filter, send_suspects, short_batches, slices,
+)
 from burnish.session import checkpointed
 
 #: Seeds of the least hashes that step 2 blocks by.
@@ -283,6 +285,7 @@ def merged(comp_of: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpointed(out, "members")
 
 
+@short_batches
 def jaccard_groups(
     docs: DataFrame,
     n: int = 5,
@@ -313,10 +316,10 @@ def jaccard_groups(
         found = [shingles(t, words, n) for t in batch["text"]]
         return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
 
-    repeated = repeat_filter(texts, hashes, filter_bits)
+    repeated = send_suspects(texts, repeat_filter(texts, hashes, filter_bits))
 
     def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        suspects = Suspects(repeated)
+        suspects = repeated.value
         for batch in slices(batches):
             out = []
             for i, text in zip(batch["id"], batch["text"]):
@@ -336,6 +339,7 @@ def jaccard_groups(
 
     schema = f"id {kind}, size bigint, digest binary, set binary, kept bigint, least array<bigint>"
     sets = checkpointed(rows.mapInPandas(outline, schema), "sets")
+    repeated.destroy()
     # equal sets by 128 bits; a class then has a number of its own
     grouped = sets.filter("set IS NOT NULL").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("size", "set", "kept", "least")])
     classes = checkpointed(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")

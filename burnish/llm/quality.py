@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.session import checkpointed
+
 FEATURES = (
     "log_chars", "upper", "digit", "symbol", "exclaim", "pipe", "mean_word", "long_word", "distinct_words",
     "doubled_words", "top_word", "repeated_lines", "words_per_line", "stop_per_word", "shout_words", "odd_ends",
@@ -170,6 +172,8 @@ def score_quality(
     # the statistics meet the labels, so that no text is shuffled
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = texts.select(F.col(id_col).alias("id"), x(F.col(text_col)).alias("x")).filter("id IS NOT NULL")
+    # written between: a task that made statistics and summed them would run two Python workers, and Spark keeps those
+    known = checkpointed(known, "statistics")
     model = fit(known.join(marks, "id"), shrink, ridge, temper)
 
     @F.pandas_udf("double")

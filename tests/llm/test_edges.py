@@ -428,3 +428,52 @@ def test_the_driver_holds_no_unpacked_filter(spark):
     assert suspects.bits == bits
     asked = common.mix(np.arange(3000, dtype=np.uint64))
     assert suspects(asked)[:500].all() and not suspects(asked)[500:].any()
+
+
+# --- memory of executors -------------------------------------------------------
+
+
+def test_long_rows_come_in_short_batches(spark, docs_of, monkeypatch):
+    import pandas as pd
+
+    from burnish.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    @common.short_batches
+    def longest(rows):
+        return max(r.n for r in rows.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n int").collect())
+
+    assert longest(spark.range(0, 3000, 1, 1)) == common.SLICE
+    seen = []
+    write = ngram_join.checkpointed
+    monkeypatch.setattr(ngram_join, "checkpointed", lambda df, label: seen.append(spark.conf.get(key)) or write(df, label))
+    ngram_join.jaccard_groups(docs_of([(1, LINE), (2, LINE)]), filter_bits=BITS).collect()
+    assert set(seen) == {str(common.SLICE)} and spark.conf.get(key) == before
+    spark.conf.set(key, "100")
+    try:
+        assert longest(spark.range(0, 3000, 1, 1)) == 100 and spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_sent_filter_arrives_unpacked_and_alone(spark):
+    import pickle
+
+    from burnish.llm import common
+
+    hashes_of = lambda batch: common.mix(batch["id"].to_numpy().astype(np.uint64))
+    found = common.repeat_filter(spark.range(2000).select((F.col("id") % 1500).alias("id")).coalesce(1), hashes_of, BITS << 8)
+    got, plain = pickle.loads(pickle.dumps(common.Sent(found))), common.Suspects(found)
+    assert type(got) is common.Suspects and (got.bytes == plain.bytes).all()
+    assert vars(got).keys() == vars(plain).keys() == {"bytes", "bits"}
+
+
+def test_learning_runs_one_python_worker_a_task(spark, docs_of, monkeypatch):
+    asked = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda labelled, *rest: asked.append(labelled) or fit(labelled, *rest))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    quality.score_quality(docs_of([(i, words(i, 20)) for i in range(20)]), labels)
+    assert "EvalPython" not in asked[0]._jdf.queryExecution().executedPlan().toString()
