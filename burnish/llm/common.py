@@ -85,6 +85,14 @@ def distinct(ordered: np.ndarray) -> np.ndarray:
     return ordered[keep]
 
 
+def sorted_places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The sorted distinct places of hashes; 32 bits are enough for any filter's."""
+    both = np.empty(2 * len(hashes), dtype=np.uint32)
+    both[: len(hashes)], both[len(hashes) :] = filter_places(hashes, bits)
+    both.sort()
+    return distinct(both)
+
+
 def _pack(places: np.ndarray, size: int) -> bytes:
     """Set bits of a segment: gaps between sorted places where few are set, else all bits."""
     if len(places) * 16 < size:
@@ -156,22 +164,15 @@ def repeat_filter(rows: DataFrame, hashes_of: Callable[[pd.DataFrame], np.ndarra
     size = bits // SEGMENTS
     edges = np.arange(SEGMENTS + 1) * size
 
-    def places(hashes: np.ndarray) -> np.ndarray:
-        """The sorted distinct places of hashes; 32 bits are enough for any filter's."""
-        both = np.empty(2 * len(hashes), dtype=np.uint32)
-        both[: len(hashes)], both[len(hashes) :] = filter_places(hashes, bits)
-        both.sort()
-        return distinct(both)
-
     def seen(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         hashes = np.concatenate(found)
         found.clear()
         hashes.sort()
         first = np.ones(len(hashes), dtype=bool)
         np.not_equal(hashes[1:], hashes[:-1], out=first[1:])
-        twice = places(distinct(hashes[~first]))
+        twice = sorted_places(distinct(hashes[~first]), bits)
         hashes = hashes[first]
-        once = places(hashes)
+        once = sorted_places(hashes, bits)
         a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
         for s in range(SEGMENTS):
             if a[s + 1] > a[s]:
@@ -214,8 +215,48 @@ def repeat_filter(rows: DataFrame, hashes_of: Callable[[pd.DataFrame], np.ndarra
     return found  # sent to every executor; most bits are 0
 
 
+@short_batches
+def hash_filter(rows: DataFrame, name: str, bits: int = FILTER_BITS) -> list[bytes]:
+    """A Bloom filter of the hashes in a bigint column, in segments as those of ``repeat_filter``."""
+    size = bits // SEGMENTS
+    edges = np.arange(SEGMENTS + 1) * size
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, have = [], 0
+
+        def segments() -> Iterator[pd.DataFrame]:
+            places = sorted_places(np.concatenate(found), bits)
+            found.clear()
+            cuts = np.searchsorted(places, edges)
+            for s in range(SEGMENTS):
+                if cuts[s + 1] > cuts[s]:
+                    yield pd.DataFrame({"segment": [s], "bits": [_pack(places[cuts[s] : cuts[s + 1]] - np.uint32(s * size), size)]})
+
+        for batch in batches:
+            found.append(batch[name].to_numpy(dtype=np.int64).view(np.uint64))
+            have += len(batch)
+            if have >= CHUNK:
+                yield from segments()
+                have = 0
+        if have:
+            yield from segments()
+
+    def merge(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = np.zeros(size // 8, dtype=np.uint8)
+        for batch in batches:
+            for data in batch["bits"]:
+                whole |= _unpack(data, size)
+        yield pd.DataFrame({"segment": [key[0]], "bits": [zlib.compress(whole.tobytes(), 1)]})
+
+    schema = "segment int, bits binary"
+    found = [zlib.compress(bytes(size // 8), 1)] * SEGMENTS
+    for r in rows.select(name).mapInPandas(build, schema).groupBy("segment").applyInPandas(merge, schema).toLocalIterator():
+        found[r.segment] = bytes(r.bits)
+    return found
+
+
 class Suspects:
-    """Reads a repeat filter."""
+    """Reads a filter of hashes."""
 
     def __init__(self, segments: list[bytes]):
         first = zlib.decompress(segments[0])
@@ -232,7 +273,7 @@ class Suspects:
 
 
 class Sent:
-    """A repeat filter on its way: it leaves in compressed segments and arrives as Suspects."""
+    """A filter on its way: it leaves in compressed segments and arrives as Suspects."""
 
     def __init__(self, segments: list[bytes]):
         self.segments = segments

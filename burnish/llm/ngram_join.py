@@ -3,9 +3,11 @@
 The incidence matrix of documents by shingles is multiplied with itself in blocks, and
 every product counts overlaps. Size bounds thin it out at each step:
 
-1. A shingle that one document alone has adds to no overlap. A repeat filter drops
-   those, and with them each document left with fewer than the overlap its size needs.
-   Equal sets become one class.
+1. Linked sets share enough of their heads, the shingles of the smallest hashes. Heads
+   are dealt out by hash and each bucket tells which of its hashes several rows have;
+   only sets whose heads have enough of those are written, equal ones once, as one class.
+   Of these a repeat filter drops the shingles that one alone has, which add to no
+   overlap, and with them each set left with fewer than the overlap its size needs.
 2. Classes with an equal least hash share a block; its product finds most links, and
    linked classes become one component.
 3. What is missing are links between components. Two linked sets share one of the first
@@ -27,14 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.llm.common import (
-    SHARE, SLICE, attach, blocks, components, frequency_sketch, meet, mix, repeat_filter, send_suspects, short_batches, slices,
+    CHUNK, SHARE, SLICE, attach, blocks, components, distinct, frequency_sketch, hash_filter, meet, mix, repeat_filter,
+    send_suspects, short_batches, slices,
 )
 from burnish.session import checkpointed
 
+#: Buckets that heads are dealt to, and the bits for a row's place in its chunk; a bucket
+#: compares 32 more bits of a hash, so that its own number and those make 42.
+BUCKETS, PLACE_BITS = 1024, 14
 #: Seeds of the least hashes that step 2 blocks by.
 KEYS = 2
 #: Rows and shingles of one block of a product.
@@ -75,6 +82,84 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype="<u8")
 
 
+def head_of(size: int, percent: int) -> tuple[int, int]:
+    """How many of a set's smallest hashes its head has, and how many of them a linked set's head has at least.
+
+    Linked sets share ``need`` hashes or more. Behind the k-th that they share, either set
+    has need - k others; so it is among the first size - need + k of both, for any k.
+    """
+    need = -(-percent * size // 100)
+    k = need - need // 2
+    return size - need + k, k
+
+
+def row_tags(digests: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """A hash of each row's digest and of the hash of its id."""
+    return mix(np.frombuffer(b"".join(digests), dtype="<u8")[::2] ^ mix(ids.view(np.uint64)))
+
+
+def pack_heads(heads: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """The heads of a chunk of rows by bucket: gaps between sorted hashes and the rows' places, byte by byte."""
+    place = np.repeat(np.arange(len(heads), dtype=np.uint64), [len(h) for h in heads])
+    h = np.concatenate(heads)
+    bits = np.uint64(PLACE_BITS)
+    entries = (h & np.uint64(BUCKETS - 1)) << np.uint64(32) | h >> np.uint64(10) & np.uint64(0xFFFFFFFF)
+    entries = entries << bits | place
+    entries.sort()
+    edges = np.searchsorted(entries, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32 + PLACE_BITS)).tolist()
+    hashes, place = (entries >> bits).astype("<u4"), (entries & np.uint64((1 << PLACE_BITS) - 1)).astype("<u2")
+    for b, (low, high) in enumerate(zip(edges, edges[1:])):
+        if high > low:
+            gaps = np.diff(hashes[low:high], prepend=np.uint32(0))
+            yield b, gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + place[low:high].view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpack_heads(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of a chunk's rows in a bucket, and the rows' places."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    n = len(raw) // 6
+    gaps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.uint32), np.ascontiguousarray(raw[4 * n :].reshape(2, n).T).view("<u2").ravel()
+
+
+def repeated_heads(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each chunk the place of a row whenever one of its hashes is in the bucket twice; rosters pass as they are."""
+    if key[0] >= BUCKETS:
+        yield from (b[["chunk", "data"]].assign(roster=True) for b in batches)
+        return
+    chunks, hashes, places = [], [], []
+    for batch in batches:
+        for chunk, data in zip(batch["chunk"], batch["data"]):
+            h, p = unpack_heads(data)
+            chunks.append(chunk)
+            hashes.append(h)
+            places.append(p)
+    every = np.concatenate(hashes)
+    every.sort()
+    twice = distinct(every[1:][every[1:] == every[:-1]])
+    if not len(twice):
+        return
+    hits = [p[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h] for h, p in zip(hashes, places)]
+    found = [i for i, hit in enumerate(hits) if len(hit)]
+    yield pd.DataFrame({"chunk": [chunks[i] for i in found], "data": [hits[i].tobytes() for i in found], "roster": False})
+
+
+def shared_enough(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a chunk whose heads have as many repeated hashes as a link needs."""
+    hits, roster = [np.empty(0, dtype="<u2")], b""
+    for batch in batches:
+        for data, is_roster in zip(batch["data"], batch["roster"]):
+            if is_roster:
+                roster = data
+            else:
+                hits.append(np.frombuffer(data, dtype="<u2"))
+    n = len(roster) // 28
+    need = np.frombuffer(roster, dtype="<u4", offset=24 * n)
+    keep = np.flatnonzero(np.bincount(np.concatenate(hits), minlength=n) >= need)
+    tags = np.frombuffer(roster, dtype="<i8", count=n, offset=16 * n)
+    yield pd.DataFrame({"digest": [roster[16 * i : 16 * i + 16] for i in keep], "tag": tags[keep]})
+
+
 def linked(overlap: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
     """overlap / union >= percent / 100, in integers."""
     return (100 + percent) * overlap >= percent * (size_a + size_b)
@@ -306,43 +391,90 @@ def jaccard_groups(
     rows link like any others; rows of one id are rows of their own. Extra columns are
     ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("row"))
     kind = rows.schema["id"].dataType.simpleString()
-    texts = rows.select("text").filter("text IS NOT NULL")
 
     words = Words()  # empty here; each task fills its own copy
 
-    def hashes(batch: pd.DataFrame) -> np.ndarray:
-        found = [shingles(t, words, n) for t in batch["text"]]
-        return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+    def digest_of(full: np.ndarray) -> bytes:
+        return hashlib.blake2b(full.tobytes(), digest_size=16).digest()
 
-    repeated = send_suspects(texts, repeat_filter(texts, hashes, filter_bits))
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, chunk = TaskContext.get().partitionId(), 0
+        found, digests, ids, need, have = [], [], [], [], 0
+
+        def packed() -> pd.DataFrame:
+            number = part << 32 | chunk
+            data = dict(pack_heads(found))
+            tags = row_tags(digests, np.array(ids, dtype=np.int64))
+            data[BUCKETS + part] = b"".join(digests) + tags.astype("<u8").tobytes() + np.array(need, dtype="<u4").tobytes()
+            return pd.DataFrame({"bucket": list(data), "chunk": number, "data": list(data.values())})
 
-    def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        suspects = repeated.value
         for batch in slices(batches):
-            out = []
-            for i, text in zip(batch["id"], batch["text"]):
+            for i, text in zip(batch["row"], batch["text"]):
                 full = shingles(text, words, n)
                 if not len(full):
-                    out.append((i, 0, None, None, None, None))
-                    continue
-                digest = hashlib.blake2b(full.tobytes(), digest_size=16).digest()
-                own = full[suspects(full)]
-                if 100 * len(own) < percent * len(full):  # too few shared for any link
-                    out.append((i, len(full), digest, None, None, None))
                     continue
-                least = [mix(own ^ np.uint64(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)).min().astype(np.int64) for k in range(KEYS)]
-                out.append((i, len(full), digest, own.tobytes(), len(own), least))
-            frame = pd.DataFrame(out, columns=["id", "size", "digest", "set", "kept", "least"])
-            yield frame.astype({"kept": "Int64"} | ({"id": "Int64"} if kind in ("bigint", "int") else {}))
+                length, k = head_of(len(full), percent)
+                found.append(full[:length])
+                digests.append(digest_of(full))
+                ids.append(i)
+                need.append(k)
+                have += length
+                if have >= CHUNK or len(found) >> PLACE_BITS:
+                    yield packed()
+                    chunk += 1
+                    found, digests, ids, need, have = [], [], [], [], 0
+        if found:
+            yield packed()
+
+    # rows whose heads others share; of each digest the row of the least tag
+    dealt = rows.select("row", "text").filter("text IS NOT NULL").mapInPandas(heads, "bucket int, chunk bigint, data binary")
+    repeats = dealt.groupBy("bucket").applyInPandas(repeated_heads, "chunk bigint, data binary, roster boolean")
+    shared = repeats.groupBy("chunk").applyInPandas(shared_enough, "digest binary, tag bigint")
+    wanted = send_suspects(rows, hash_filter(shared.groupBy("digest").agg(F.min("tag").alias("tag")), "tag"))
+
+    def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chosen = wanted.value
+        for batch in slices(batches):
+            sets = [shingles(text, words, n) for text in batch["text"]]
+            digests = [digest_of(full) if len(full) else bytes(16) for full in sets]
+            asked = chosen(row_tags(digests, batch["row"].to_numpy()))
+            frame = pd.DataFrame(
+                {
+                    "id": batch["id"],
+                    "size": [len(full) for full in sets],
+                    "digest": [d if len(full) else None for d, full in zip(digests, sets)],
+                    "set": [full.tobytes() if a and len(full) else None for a, full in zip(asked, sets)],
+                }
+            )
+            yield frame.astype({"id": "Int64"} if kind in ("bigint", "int") else {})
+
+    sets = checkpointed(rows.mapInPandas(outline, f"id {kind}, size bigint, digest binary, set binary"), "sets")
+    wanted.destroy()
+
+    # shingles of one set alone go, and sets that then cannot link
+    chosen = sets.filter("set IS NOT NULL").select("digest", "size", "set")
+    hashes = lambda batch: np.concatenate([unpack(d) for d in batch["set"]]) if len(batch) else np.empty(0, np.uint64)
+    repeated = send_suspects(sets, repeat_filter(chosen.select("set"), hashes, filter_bits))
+
+    def trimmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        suspects = repeated.value
+        for batch in slices(batches):
+            out = []
+            for digest, size, data in zip(batch["digest"], batch["size"], batch["set"]):
+                own = unpack(data)
+                own = own[suspects(own)]
+                if 100 * len(own) >= percent * size:
+                    least = [mix(own ^ np.uint64(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)).min().astype(np.int64) for k in range(KEYS)]
+                    out.append((digest, size, own.tobytes(), len(own), least))
+            yield pd.DataFrame(out, columns=["digest", "size", "set", "kept", "least"])
 
-    schema = f"id {kind}, size bigint, digest binary, set binary, kept bigint, least array<bigint>"
-    sets = checkpointed(rows.mapInPandas(outline, schema), "sets")
-    repeated.destroy()
     # equal sets by 128 bits; a class then has a number of its own
-    grouped = sets.filter("set IS NOT NULL").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("size", "set", "kept", "least")])
+    alike = chosen.mapInPandas(trimmed, "digest binary, size bigint, set binary, kept bigint, least array<bigint>")
+    grouped = alike.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("size", "set", "kept", "least")])
     classes = checkpointed(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    repeated.destroy()
 
     # step 2: products of classes with an equal least hash
     keyed = classes.select("cls", "size", "set", "kept", F.posexplode("least").alias("_at", "_least"))
@@ -360,7 +492,7 @@ def jaccard_groups(
     comp_of = checkpointed(comp_of.select("cls", F.coalesce("root", "cls").alias("comp")), "members")
 
     # step 3: links between components
-    sketch = frequency_sketch(classes.select("set"), lambda b: np.concatenate([unpack(d) for d in b["set"]]) if len(b) else np.empty(0, np.uint64))
+    sketch = frequency_sketch(classes.select("set"), hashes)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches, 4 * SLICE):

@@ -122,6 +122,54 @@ def test_null_and_repeated_ids_in_groups(docs_of):
     assert {r.component_id for r in got if r.doc_id is None} == {5, None}
 
 
+def test_heads_of_linked_sets_share_enough():
+    rng = np.random.default_rng(4)
+    for trial in range(300):
+        percent, both = int(rng.integers(1, 101)), int(rng.integers(1, 60))
+        ours, theirs = (int(x) for x in rng.integers(0, max(1, 2 + both * (100 - percent) // percent), 2))
+        if 100 * both < percent * (both + ours + theirs):
+            continue
+        pool = rng.choice(1 << 40, both + ours + theirs, replace=False).astype(np.uint64)
+        for a in (pool[: both + ours], pool):
+            b = np.concatenate([pool[:both], pool[both + ours :]])
+            if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+                continue
+            (m, k), (other, least) = (ngram_join.head_of(len(x), percent) for x in (a, b))
+            shared = len(np.intersect1d(np.sort(a)[:m], np.sort(b)[:other]))
+            assert 1 <= k <= m <= len(a) and shared >= max(k, least)
+
+
+def test_heads_are_unpacked_as_they_were_packed():
+    rng = np.random.default_rng(5)
+    heads = [np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 0, 3000, 17)]
+    got = []
+    for bucket, data in ngram_join.pack_heads(heads):
+        for h, place in zip(*ngram_join.unpack_heads(data)):
+            got.append((bucket, int(h), int(place)))
+    assert sorted(got) == sorted((int(h) & 1023, int(h) >> 10 & 0xFFFFFFFF, i) for i, head in enumerate(heads) for h in head)
+
+
+def test_only_sets_that_may_link_are_written_whatever_the_filter_holds(spark, docs_of, monkeypatch):
+    rows = [(i, words(i, 40 + i)) for i in range(150)]
+    near = rows[20][1].split()
+    near[3] = "other"
+    rows += [(300, " ".join(near))] + [(400 + i, rows[7][1]) for i in range(60)]
+    written = {}
+    write = ngram_join.checkpointed
+
+    def kept(df, label):
+        written[label] = out = write(df, label)
+        return out
+
+    monkeypatch.setattr(ngram_join, "checkpointed", kept)
+    monkeypatch.setattr(ngram_join, "CHUNK", 500)  # many chunks a task
+    got = ngram_join.jaccard_groups(docs_of(rows), filter_bits=1 << 9)  # a filter that lets all through
+    assert sorted(map(tuple, got.collect())) == jaccard_by_hand(rows)
+    # the near copies, and one of the 61 exact ones
+    assert written["sets"].filter("set IS NOT NULL").count() == 3
+    assert written["sets"].filter("digest IS NOT NULL").count() == len(rows)
+
+
 # --- suffix dedup --------------------------------------------------------------
 
 
