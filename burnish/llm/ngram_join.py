@@ -103,7 +103,7 @@ def pack_heads(heads: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     place = np.repeat(np.arange(len(heads), dtype=np.uint64), [len(h) for h in heads])
     h = np.concatenate(heads)
     bits = np.uint64(PLACE_BITS)
-    entries = (h & np.uint64(BUCKETS - 1)) << np.uint64(32) | h >> np.uint64(10) & np.uint64(0xFFFFFFFF)
+    entries = (h & np.uint64(BUCKETS - 1)) << np.uint64(32) | h >> np.uint64(BUCKETS.bit_length() - 1) & np.uint64(0xFFFFFFFF)
     entries = entries << bits | place
     entries.sort()
     edges = np.searchsorted(entries, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32 + PLACE_BITS)).tolist()
